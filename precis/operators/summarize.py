@@ -37,8 +37,11 @@ def prepare_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     Sentence splitting runs before the shuffle, on the scan side.
     """
-    docs = df.select(id_col, text_col, *keep)
-    return partition_by_doc(with_sentences(docs, text_col).drop(text_col), id_col)
+    extra = [c for c in keep if c != text_col]
+    docs = with_sentences(df.select(id_col, text_col, *extra), text_col)
+    if text_col not in keep:
+        docs = docs.drop(text_col)
+    return partition_by_doc(docs, id_col)
 
 
 def score_sentences(

@@ -262,5 +262,153 @@ REGISTRY = {
 }
 
 
+# --- T: cleaning ------------------------------------------------------------------
+
+INJECTED = (
+    "inj",
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '(CNN) -- ' || text "
+    "WHEN 1 THEN 'LONDON, England (Reuters) -- ' || text "
+    "WHEN 2 THEN text || ' http://ex.org/' || CAST(doc_id AS VARCHAR) || '?a=1 end.' "
+    "WHEN 3 THEN 'Editor''s note: v' || CAST(doc_id AS VARCHAR) || '. ' || text "
+    "WHEN 4 THEN text || ' Copyright 2009 Reuters. All rights reserved.' "
+    "ELSE text || ' Read more.' END AS text FROM documents",
+)
+
+
+def _tq(fn):
+    return lambda: with_(INJECTED, body=f"SELECT doc_id, {fn('text')} AS text FROM inj")
+
+
+def q_html_to_text():
+    return f"SELECT page_id, {S.normalize(S.html_to_text('html'))} AS text FROM pages"
+
+
+def q_word_count():
+    return f"SELECT doc_id, {S.word_count('text')} AS words FROM documents"
+
+
+def q_text_stats():
+    return (
+        f"SELECT doc_id, {S.word_count('text')} AS words, "
+        f"CAST(len({S.split_sentences('text')}) AS INTEGER) AS sentences FROM documents"
+    )
+
+
+def _tfidf_summaries_cte():
+    return [
+        docs_cte(), sents_cte(), *tfidf_ctes(2, f"n_sent > {K}"), ranked_cte("rk", "sc", "score"),
+        ("summ", summary_body("rk", extra="")),
+        ("st", "SELECT s.doc_id, d.text, s.summary FROM summ s JOIN documents d USING (doc_id)"),
+    ]
+
+
+def q_compression_ratio():
+    w, sw = S.word_count("text"), S.word_count("summary")
+    return with_(
+        *_tfidf_summaries_cte(),
+        body=f"SELECT doc_id, {w} AS words, {sw} AS summary_words, "
+        f"round(CASE WHEN {w} > 0 THEN (1.0 - {sw} / {w}) * 100.0 ELSE 0.0 END, 6) AS ratio FROM st",
+    )
+
+
+def _log_select(src):
+    n = C.DEFAULT.preview_chars
+    return (
+        f"SELECT doc_id AS seq, substr(coalesce(text, ''), 1, {n}) || '...' AS preview, summary, "
+        f"'TF-IDF' AS model, {K} AS k FROM {src}"
+    )
+
+
+def q_summary_log():
+    return with_(*_tfidf_summaries_cte(), body=_log_select("st"))
+
+
+def q_recent_summaries():
+    return with_(
+        *_tfidf_summaries_cte(),
+        ("lg", _log_select("st")),
+        body="SELECT *, (SELECT count(*) FROM lg) AS total, "
+        "CAST(row_number() OVER (ORDER BY seq DESC) AS INTEGER) AS position FROM "
+        "(SELECT * FROM lg ORDER BY seq DESC LIMIT 5)",
+    )
+
+
+# --- R: corpus ----------------------------------------------------------------------
+
+CORPUS = (
+    "corpus",
+    f"SELECT doc_id, text AS article, coalesce(({S.split_sentences('text')})[1], '') AS highlights FROM documents",
+)
+CLEANED = (
+    "cleaned",
+    f"SELECT doc_id, {S.clean_text('article', False)} AS article, {S.clean_text('highlights', True)} AS highlights FROM corpus",
+)
+NONBLANK = ("nonblank", "SELECT * FROM cleaned WHERE trim(article) <> '' AND trim(highlights) <> ''")
+LENGTH = (
+    "lengthok",
+    f"SELECT * FROM nonblank WHERE {S.word_count('article')} >= {C.DEFAULT.min_article_words} "
+    f"AND {S.word_count('highlights')} >= {C.DEFAULT.min_summary_words} "
+    f"AND {S.word_count('article')} <= {C.DEFAULT.max_article_words}",
+)
+
+
+def q_corpus_scan():
+    return with_(CORPUS, body="SELECT * FROM corpus")
+
+
+def q_drop_blank():
+    return with_(CORPUS, CLEANED, NONBLANK, body="SELECT * FROM nonblank")
+
+
+def q_length_filter():
+    return with_(CORPUS, CLEANED, NONBLANK, LENGTH, body="SELECT * FROM lengthok")
+
+
+def q_dedup_keep_first():
+    return with_(
+        CORPUS,
+        body="SELECT doc_id, article FROM corpus WHERE doc_id IN (SELECT min(doc_id) FROM corpus GROUP BY article)",
+    )
+
+
+def q_clean_corpus():
+    return with_(
+        CORPUS, CLEANED, NONBLANK, LENGTH,
+        body="SELECT * FROM lengthok WHERE doc_id IN (SELECT min(doc_id) FROM lengthok GROUP BY article)",
+    )
+
+
+def q_sample_n():
+    return with_(
+        CORPUS,
+        body="SELECT doc_id, article FROM corpus ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id LIMIT 200",
+    )
+
+
+REGISTRY.update({
+    "html_to_text": q_html_to_text,
+    "strip_urls": _tq(S.strip_urls),
+    "strip_news_prefix": _tq(S.strip_news_prefix),
+    "strip_editor_note": _tq(S.strip_editor_note),
+    "strip_copyright": _tq(S.strip_copyright),
+    "strip_promo": _tq(S.strip_promo),
+    "fix_punct_spacing": _tq(S.fix_punct_spacing),
+    "normalize_ws": _tq(S.normalize),
+    "clean_article": _tq(lambda c: S.clean_text(c, False)),
+    "clean_summary": _tq(lambda c: S.clean_text(c, True)),
+    "word_count": q_word_count,
+    "text_stats": q_text_stats,
+    "compression_ratio": q_compression_ratio,
+    "summary_log": q_summary_log,
+    "recent_summaries": q_recent_summaries,
+    "corpus_scan": q_corpus_scan,
+    "drop_blank": q_drop_blank,
+    "length_filter": q_length_filter,
+    "dedup_keep_first": q_dedup_keep_first,
+    "clean_corpus": q_clean_corpus,
+    "sample_n": q_sample_n,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f() for name, f in REGISTRY.items()}

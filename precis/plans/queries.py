@@ -154,3 +154,140 @@ REGISTRY = {
 
 def queries():
     return dict(REGISTRY)
+
+
+# --- T: cleaning ------------------------------------------------------------------
+# The documents hold none of the patterns T3-T7 remove, so these queries inject
+# one deterministically into every row (same CASE in the oracle); every row of
+# the table is processed.
+
+from precis.functions import text as T  # noqa: E402
+from precis.operators import corpus as R, log as L  # noqa: E402
+
+
+def injected(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id").cast("string")
+    t = F.col("text")
+    m = F.col("doc_id") % 6
+    txt = (
+        F.when(m == 0, F.concat(F.lit("(CNN) -- "), t))
+        .when(m == 1, F.concat(F.lit("LONDON, England (Reuters) -- "), t))
+        .when(m == 2, F.concat(t, F.lit(" http://ex.org/"), i, F.lit("?a=1 end.")))
+        .when(m == 3, F.concat(F.lit("Editor's note: v"), i, F.lit(". "), t))
+        .when(m == 4, F.concat(t, F.lit(" Copyright 2009 Reuters. All rights reserved.")))
+        .otherwise(F.concat(t, F.lit(" Read more.")))
+    )
+    return d.select("doc_id", txt.alias("text"))
+
+
+def _tq(fn):
+    def q(spark, sf_dir):
+        return injected(spark, sf_dir).select("doc_id", fn(F.col("text")).alias("text"))
+
+    return q
+
+
+def q_html_to_text(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", T.normalize_ws(T.html_to_text("html")).alias("text"))
+
+
+def q_word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count("text").alias("words"))
+
+
+def q_text_stats(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    from precis.functions.sentences import split_sentences
+
+    return d.select(
+        "doc_id", T.word_count("text").alias("words"), F.size(split_sentences("text")).alias("sentences")
+    )
+
+
+def _tfidf_with_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    s = summarize.summarize(d, "text", "tfidf", K, keep=("text",))
+    return s
+
+
+def q_compression_ratio(spark, sf_dir):
+    s = _tfidf_with_text(spark, sf_dir)
+    w, sw = T.word_count("text"), T.word_count("summary")
+    return s.select(
+        "doc_id", w.alias("words"), sw.alias("summary_words"), r6(T.compression_ratio(w, sw)).alias("ratio")
+    )
+
+
+def q_summary_log(spark, sf_dir):
+    s = _tfidf_with_text(spark, sf_dir)
+    return L.log_entries(s, "text", "summary", "tfidf", K).drop("seconds")
+
+
+def q_recent_summaries(spark, sf_dir):
+    s = _tfidf_with_text(spark, sf_dir)
+    return L.recent(L.log_entries(s, "text", "summary", "tfidf", K).drop("seconds"), 5)
+
+
+# --- R: corpus ----------------------------------------------------------------------
+
+def corpus(spark, sf_dir) -> DataFrame:
+    """(doc_id, article = text, highlights = first sentence) from documents."""
+    from precis.functions.sentences import split_sentences
+
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id",
+        F.col("text").alias("article"),
+        F.coalesce(F.element_at(split_sentences("text"), 1), F.lit("")).alias("highlights"),
+    )
+
+
+def q_corpus_scan(spark, sf_dir):
+    return corpus(spark, sf_dir)
+
+
+def q_drop_blank(spark, sf_dir):
+    return R.drop_blank(R.clean_columns(corpus(spark, sf_dir)))
+
+
+def q_length_filter(spark, sf_dir):
+    return R.length_filter(R.drop_blank(R.clean_columns(corpus(spark, sf_dir))))
+
+
+def q_dedup_keep_first(spark, sf_dir):
+    return R.dedup_keep_first(corpus(spark, sf_dir).select("doc_id", "article"))
+
+
+def q_clean_corpus(spark, sf_dir):
+    return R.clean_corpus(corpus(spark, sf_dir))
+
+
+def q_sample_n(spark, sf_dir):
+    return R.sample_n(corpus(spark, sf_dir).select("doc_id", "article"), 200)
+
+
+REGISTRY.update({
+    "html_to_text": q_html_to_text,
+    "strip_urls": _tq(T.strip_urls),
+    "strip_news_prefix": _tq(T.strip_news_prefix),
+    "strip_editor_note": _tq(T.strip_editor_note),
+    "strip_copyright": _tq(T.strip_copyright),
+    "strip_promo": _tq(T.strip_promo),
+    "fix_punct_spacing": _tq(T.fix_punct_spacing),
+    "normalize_ws": _tq(T.normalize_ws),
+    "clean_article": _tq(lambda c: T.clean_text(c, False)),
+    "clean_summary": _tq(lambda c: T.clean_text(c, True)),
+    "word_count": q_word_count,
+    "text_stats": q_text_stats,
+    "compression_ratio": q_compression_ratio,
+    "summary_log": q_summary_log,
+    "recent_summaries": q_recent_summaries,
+    "corpus_scan": q_corpus_scan,
+    "drop_blank": q_drop_blank,
+    "length_filter": q_length_filter,
+    "dedup_keep_first": q_dedup_keep_first,
+    "clean_corpus": q_clean_corpus,
+    "sample_n": q_sample_n,
+})
