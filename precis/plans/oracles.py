@@ -410,5 +410,154 @@ REGISTRY.update({
 })
 
 
+# --- E: ROUGE -------------------------------------------------------------------------
+
+CONV_PAIRS = (
+    "cp",
+    "SELECT b.conv_id * 1000 + b.turn AS doc_id, b.text AS article, a.text AS highlights "
+    "FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn "
+    "WHERE a.role = 'user' AND b.role = 'assistant'",
+)
+
+
+def stem_list(x: str) -> str:
+    return f"list_transform({x}, lambda tk: {rouge_stem_sql('tk', 'duckdb')})"
+
+
+def prediction_ctes():
+    return [
+        CONV_PAIRS,
+        docs_cte("cp", "doc_id", "article"), sents_cte(),
+        *tfidf_ctes(2, f"n_sent > {K}"), ranked_cte("rk", "sc", "score"),
+        *textrank_ctes(f"n_sent > {K}"), ranked_cte("rk2", "tr_final", "textrank"),
+        ("pa", summary_body("rk", "tfidf_summary")),
+        ("pb", summary_body("rk2", "textrank_summary")),
+        ("pred", f"SELECT cp.doc_id, cp.highlights, pa.tfidf_summary, pb.textrank_summary, "
+                 f"array_to_string(d.sentences[1:{K}], ' ') AS lead_summary "
+                 f"FROM cp JOIN pa USING (doc_id) JOIN pb USING (doc_id) JOIN docs d USING (doc_id)"),
+    ]
+
+
+def rouge_ctes(src: str, keys: list[str], ref: str, pred: str):
+    """Per pair: rouge_1/2 (p, r, f) and rouge_l via a recursive LCS."""
+    k = ", ".join(keys)
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
+    bi = lambda t: f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1])"
+    return [
+        ("pp", f"SELECT {k}, {stem_list(S.rouge_tokens(ref))} AS rt, {stem_list(S.rouge_tokens(pred))} AS pt FROM {src}"),
+        ("gr", f"SELECT {k}, 1 AS n, unnest(rt) AS g, 1 AS r, 0 AS p FROM pp "
+               f"UNION ALL SELECT {k}, 1, unnest(pt), 0, 1 FROM pp "
+               f"UNION ALL SELECT {k}, 2, unnest({bi('rt')}), 1, 0 FROM pp "
+               f"UNION ALL SELECT {k}, 2, unnest({bi('pt')}), 0, 1 FROM pp"),
+        ("ovg", f"SELECT {k}, n, g, sum(r) AS cr, sum(p) AS cq FROM gr GROUP BY ALL"),
+        ("ov", f"SELECT {k}, n, sum(least(cr, cq)) AS ov FROM ovg GROUP BY ALL"),
+        ("mt", f"SELECT {k}, i, j FROM (SELECT {k}, rt, pt, generate_subscripts(rt, 1) AS i FROM pp) x, "
+               f"LATERAL (SELECT generate_subscripts(x.pt, 1) AS j) y WHERE x.rt[i] = x.pt[j]"),
+        ("nums", f"SELECT pp.{keys[0]}" + "".join(f", pp.{c}" for c in keys[1:]) + ", "
+                 "len(rt) AS rc1, len(pt) AS pc1, greatest(len(rt) - 1, 0) AS rc2, greatest(len(pt) - 1, 0) AS pc2, "
+                 "coalesce(o1.ov, 0) AS ov1, coalesce(o2.ov, 0) AS ov2 FROM pp "
+                 f"LEFT JOIN ov o1 ON {on('o1', 'pp')} AND o1.n = 1 LEFT JOIN ov o2 ON {on('o2', 'pp')} AND o2.n = 2"),
+    ]
+
+
+LCS_CTE = """lcs AS (
+  WITH RECURSIVE f({k}, lvl, i, j) AS (
+    SELECT {k}, 1, i, min(j) FROM mt GROUP BY {k}, i
+    UNION ALL
+    SELECT {mk}, f.lvl + 1, mt.i, min(mt.j) FROM f JOIN mt ON {on} AND mt.i > f.i AND mt.j > f.j
+    GROUP BY {mk}, f.lvl + 1, mt.i
+  ) SELECT {k}, max(lvl) AS lcs FROM f GROUP BY {k}
+)"""
+
+
+def rouge_final(keys: list[str]) -> str:
+    k = ", ".join(keys)
+    lcs = LCS_CTE.format(k=k, mk=", ".join(f"mt.{c}" for c in keys), on=" AND ".join(f"mt.{c} = f.{c}" for c in keys))
+    on = " AND ".join(f"l.{c} = n.{c}" for c in keys)
+    def f(p, r):
+        return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
+    p1, r1 = "CASE WHEN pc1 > 0 THEN ov1 / pc1 ELSE 0.0 END", "CASE WHEN rc1 > 0 THEN ov1 / rc1 ELSE 0.0 END"
+    p2, r2 = "CASE WHEN pc2 > 0 THEN ov2 / pc2 ELSE 0.0 END", "CASE WHEN rc2 > 0 THEN ov2 / rc2 ELSE 0.0 END"
+    pl = "CASE WHEN pc1 > 0 AND rc1 > 0 THEN coalesce(l.lcs, 0) / pc1 ELSE 0.0 END"
+    rl = "CASE WHEN pc1 > 0 AND rc1 > 0 THEN coalesce(l.lcs, 0) / rc1 ELSE 0.0 END"
+    return (
+        f", {lcs},\nscores AS (SELECT " + ", ".join(f"n.{c}" for c in keys) + ", "
+        f"{p1} AS rouge_1_p, {r1} AS rouge_1_r, {f(p1, r1)} AS rouge_1, "
+        f"{p2} AS rouge_2_p, {r2} AS rouge_2_r, {f(p2, r2)} AS rouge_2, "
+        f"{pl} AS rouge_l_p, {rl} AS rouge_l_r, {f(pl, rl)} AS rouge_l FROM nums n LEFT JOIN lcs l ON {on})\n"
+    )
+
+
+def _rouge_query(body: str, src="pred", keys=("doc_id",), ref="highlights", pred="tfidf_summary", extra=()):
+    keys = list(keys)
+    head = with_(*prediction_ctes(), *extra, *rouge_ctes(src, keys, ref, pred), body="")
+    return head.rstrip("\n") + rouge_final(keys) + body
+
+
+def q_rouge_tokens():
+    return (
+        f"SELECT conv_id, turn, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS token "
+        f"FROM (SELECT conv_id, turn, {S.rouge_tokens('text')} AS t FROM conversations)"
+    )
+
+
+def q_token_stems():
+    return (
+        f"SELECT token, {stem_sql('token', 'duckdb')} AS stem FROM "
+        f"(SELECT DISTINCT unnest({S.rouge_tokens('text')}) AS token FROM conversations)"
+    )
+
+
+def q_ngram_counts():
+    t = f"{stem_list(S.rouge_tokens('text'))}"
+    return (
+        f"WITH tk AS (SELECT conv_id, turn, {t} AS t FROM conversations), "
+        f"g AS (SELECT conv_id, turn, 1 AS n, unnest(t) AS ngram FROM tk UNION ALL "
+        f"SELECT conv_id, turn, 2, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM tk) "
+        f"SELECT conv_id, turn, n, ngram, count(*) AS cnt FROM g GROUP BY ALL"
+    )
+
+
+def q_rouge_1():
+    return _rouge_query("SELECT doc_id, round(rouge_1_p, 6) AS p, round(rouge_1_r, 6) AS r, round(rouge_1, 6) AS f FROM scores")
+
+
+def q_rouge_2():
+    return _rouge_query("SELECT doc_id, round(rouge_2_p, 6) AS p, round(rouge_2_r, 6) AS r, round(rouge_2, 6) AS f FROM scores")
+
+
+def q_rouge_l():
+    return _rouge_query("SELECT doc_id, round(rouge_l_p, 6) AS p, round(rouge_l_r, 6) AS r, round(rouge_l, 6) AS f FROM scores")
+
+
+def q_evaluate_tfidf():
+    return _rouge_query(
+        "SELECT round(avg(rouge_1), 6) AS rouge_1, round(avg(rouge_2), 6) AS rouge_2, round(avg(rouge_l), 6) AS rouge_l FROM scores"
+    )
+
+
+def q_compare_models():
+    long = ("lng", "SELECT doc_id, highlights, 'TF-IDF' AS model, tfidf_summary AS prediction FROM pred UNION ALL "
+                   "SELECT doc_id, highlights, 'TextRank', textrank_summary FROM pred UNION ALL "
+                   "SELECT doc_id, highlights, 'Lead', lead_summary FROM pred")
+    return _rouge_query(
+        "SELECT model, round(avg(rouge_1), 6) AS rouge_1, round(avg(rouge_2), 6) AS rouge_2, "
+        "round(avg(rouge_l), 6) AS rouge_l FROM scores GROUP BY model",
+        src="lng", keys=("doc_id", "model"), pred="prediction", extra=(long,),
+    )
+
+
+REGISTRY.update({
+    "rouge_tokens": q_rouge_tokens,
+    "token_stems": q_token_stems,
+    "ngram_counts": q_ngram_counts,
+    "rouge_1": q_rouge_1,
+    "rouge_2": q_rouge_2,
+    "rouge_l": q_rouge_l,
+    "evaluate_tfidf": q_evaluate_tfidf,
+    "compare_models": q_compare_models,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f() for name, f in REGISTRY.items()}

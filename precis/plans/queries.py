@@ -291,3 +291,95 @@ REGISTRY.update({
     "clean_corpus": q_clean_corpus,
     "sample_n": q_sample_n,
 })
+
+
+# --- E: ROUGE -------------------------------------------------------------------------
+
+from precis.operators import rouge as E  # noqa: E402
+from precis.functions.porter import stem  # noqa: E402
+from precis.functions.tokens import rouge_tokens  # noqa: E402
+
+
+def conv_pairs(spark, sf_dir) -> DataFrame:
+    """(doc_id, article = assistant turn, highlights = the user turn before it)."""
+    c = table(spark, sf_dir, "conversations")
+    u = c.filter(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("highlights"))
+    a = c.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("article"))
+    return a.join(u, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "article", "highlights"
+    )
+
+
+def predictions(spark, sf_dir) -> DataFrame:
+    return summarize.summarize_side_by_side(
+        conv_pairs(spark, sf_dir), "article", ("tfidf", "textrank", "lead"), K, keep=("highlights",), settings=FIXED_TR
+    )
+
+
+def q_rouge_tokens(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(rouge_tokens("text")).alias("pos", "token"))
+
+
+def q_token_stems(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    vocab = c.select(F.explode(rouge_tokens("text")).alias("token")).distinct()
+    return vocab.select("token", stem("token").alias("stem"))
+
+
+def q_ngram_counts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    t = E.stemmed_tokens(c.select("conv_id", "turn", "text"), "text", "tok")
+    g = t.select(
+        "conv_id", "turn",
+        F.explode(F.concat(
+            F.transform("tok", lambda x: F.struct(F.lit(1).alias("n"), x.alias("ngram"))),
+            F.transform(E.bigrams(F.col("tok")), lambda x: F.struct(F.lit(2).alias("n"), x.alias("ngram"))),
+        )).alias("x"),
+    )
+    return g.groupBy("conv_id", "turn", "x.n", "x.ngram").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _rouge_tfidf(spark, sf_dir):
+    return E.rouge_scores(predictions(spark, sf_dir), ["doc_id"], "highlights", "tfidf_summary")
+
+
+def q_rouge_1(spark, sf_dir):
+    s = _rouge_tfidf(spark, sf_dir)
+    return s.select("doc_id", r6("rouge_1_p").alias("p"), r6("rouge_1_r").alias("r"), r6("rouge_1").alias("f"))
+
+
+def q_rouge_2(spark, sf_dir):
+    s = _rouge_tfidf(spark, sf_dir)
+    return s.select("doc_id", r6("rouge_2_p").alias("p"), r6("rouge_2_r").alias("r"), r6("rouge_2").alias("f"))
+
+
+def q_rouge_l(spark, sf_dir):
+    s = _rouge_tfidf(spark, sf_dir)
+    return s.select("doc_id", r6("rouge_l_p").alias("p"), r6("rouge_l_r").alias("r"), r6("rouge_l").alias("f"))
+
+
+def q_evaluate_tfidf(spark, sf_dir):
+    e = E.evaluate_model(predictions(spark, sf_dir), "tfidf_summary", "highlights")
+    return e.select(*[r6(c).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l")])
+
+
+def q_compare_models(spark, sf_dir):
+    cm = E.compare_models(
+        predictions(spark, sf_dir),
+        {"TF-IDF": "tfidf_summary", "TextRank": "textrank_summary", "Lead": "lead_summary"},
+        "highlights",
+    )
+    return cm.select("model", *[r6(c).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l")])
+
+
+REGISTRY.update({
+    "rouge_tokens": q_rouge_tokens,
+    "token_stems": q_token_stems,
+    "ngram_counts": q_ngram_counts,
+    "rouge_1": q_rouge_1,
+    "rouge_2": q_rouge_2,
+    "rouge_l": q_rouge_l,
+    "evaluate_tfidf": q_evaluate_tfidf,
+    "compare_models": q_compare_models,
+})
