@@ -559,5 +559,106 @@ REGISTRY.update({
 })
 
 
+# --- M: features, labels, scaler ---------------------------------------------------------
+
+FEATS = ("tfidf", "textrank", "position", "length", "norm_length")
+
+
+def feature_ctes(src_docs):
+    return [
+        *src_docs, sents_cte(), *tfidf_ctes(1, "n_sent > 0"), *textrank_ctes("n_sent > 0"),
+        ("feat", "SELECT sc.doc_id, sc.sent_idx, sc.n_sent, sc.feature AS tfidf, "
+                 "CASE WHEN max(t.textrank) OVER (PARTITION BY t.doc_id) > 0 "
+                 "THEN t.textrank / max(t.textrank) OVER (PARTITION BY t.doc_id) ELSE t.textrank END AS textrank, "
+                 "sc.sent_idx / greatest(sc.n_sent - 1, 1) AS position, CAST(sc.n_words AS DOUBLE) AS length, "
+                 "sc.n_words / greatest(avg(sc.n_words) OVER (PARTITION BY sc.doc_id), 1.0) AS norm_length "
+                 "FROM sc JOIN tr_final t USING (doc_id, sent_idx)"),
+    ]
+
+
+def label_ctes():
+    return [
+        ("lrt", f"SELECT doc_id, {stem_list(S.rouge_tokens('highlights'))} AS t FROM cp"),
+        ("lst", f"SELECT doc_id, sent_idx, {stem_list(S.rouge_tokens('sentence'))} AS t FROM sents"),
+        ("lrc", "SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(t) AS g FROM lrt) GROUP BY ALL"),
+        ("lsc", "SELECT doc_id, sent_idx, g, count(*) AS c FROM (SELECT doc_id, sent_idx, unnest(t) AS g FROM lst) GROUP BY ALL"),
+        ("lov", "SELECT s.doc_id, s.sent_idx, sum(least(s.c, coalesce(r.c, 0))) AS ov FROM lsc s "
+                "LEFT JOIN lrc r USING (doc_id, g) GROUP BY ALL"),
+        ("lres", "SELECT st.doc_id, st.sent_idx, len(st.t) AS pl, len(rt.t) AS rl, coalesce(lov.ov, 0) AS ov "
+                 "FROM lst st JOIN lrt rt USING (doc_id) LEFT JOIN lov USING (doc_id, sent_idx)"),
+        ("lf", "SELECT doc_id, sent_idx, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM "
+               "(SELECT doc_id, sent_idx, CASE WHEN pl > 0 THEN ov / pl ELSE 0.0 END AS p, "
+               "CASE WHEN rl > 0 THEN ov / rl ELSE 0.0 END AS r FROM lres)"),
+        ("lab", f"SELECT doc_id, sent_idx, f AS rouge_1, CAST(f > {C.DEFAULT.label_threshold} AS DOUBLE) AS label FROM lf"),
+    ]
+
+
+def ts_ctes():
+    return [
+        *feature_ctes([CONV_PAIRS, docs_cte("cp", "doc_id", "article")]), *label_ctes(),
+        ("ts", "SELECT f.*, l.label FROM feat f JOIN lab l USING (doc_id, sent_idx)"),
+    ]
+
+
+def _r6(cols):
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+def q_sentence_features():
+    return with_(*feature_ctes([docs_cte()]), body=f"SELECT doc_id, sent_idx, {_r6(FEATS)} FROM feat")
+
+
+def q_weak_labels():
+    return with_(CONV_PAIRS, docs_cte("cp", "doc_id", "article"), sents_cte(), *label_ctes(),
+                 body="SELECT doc_id, sent_idx, round(rouge_1, 6) AS rouge_1, label FROM lab")
+
+
+def q_training_set():
+    return with_(*ts_ctes(), body=f"SELECT doc_id, sent_idx, {_r6(FEATS)}, label FROM ts")
+
+
+def q_class_balance():
+    return with_(*ts_ctes(), body="SELECT count(*) AS total, CAST(sum(label) AS BIGINT) AS positives, "
+                 "CAST(count(*) - sum(label) AS BIGINT) AS negatives, round(avg(label) * 100.0, 6) AS positive_pct FROM ts")
+
+
+def _scaler_long():
+    parts = [f"SELECT '{c}' AS feature, min({c}) AS data_min, max({c}) AS data_max FROM ts" for c in FEATS]
+    return ("sl", " UNION ALL ".join(parts))
+
+
+def q_scaler_fit():
+    return with_(*ts_ctes(), _scaler_long(), body=(
+        "SELECT feature, round(data_min, 6) AS data_min, round(data_max, 6) AS data_max, "
+        "round(data_max - data_min, 6) AS data_range, "
+        "round(1.0 / CASE WHEN data_max - data_min = 0 THEN 1.0 ELSE data_max - data_min END, 6) AS scale, "
+        "round(-data_min * (1.0 / CASE WHEN data_max - data_min = 0 THEN 1.0 ELSE data_max - data_min END), 6) + 0.0 AS min "
+        "FROM sl"))
+
+
+def q_scaler_transform():
+    agg = ", ".join(f"min({c}) AS mn_{c}, 1.0 / CASE WHEN max({c}) - min({c}) = 0 THEN 1.0 ELSE max({c}) - min({c}) END AS sc_{c}" for c in FEATS)
+    cols = ", ".join(f"round(ts.{c} * a.sc_{c} + (-a.mn_{c} * a.sc_{c}), 6) AS {c}" for c in FEATS)
+    return with_(*ts_ctes(), ("agg", f"SELECT {agg} FROM ts"),
+                 body=f"SELECT ts.doc_id, ts.sent_idx, {cols} FROM ts, agg a")
+
+
+def q_train_val_split():
+    return with_(CONV_PAIRS, body=(
+        "SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4)) AS INTEGER) < "
+        f"{int(round(C.DEFAULT.validation_split * 65536))} AS is_val FROM cp"))
+
+
+REGISTRY.update({
+    "sentence_features": q_sentence_features,
+    "weak_labels": q_weak_labels,
+    "training_set": q_training_set,
+    "class_balance": q_class_balance,
+    "scaler_fit": q_scaler_fit,
+    "scaler_transform": q_scaler_transform,
+    "train_val_split": q_train_val_split,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f() for name, f in REGISTRY.items()}

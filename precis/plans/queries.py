@@ -383,3 +383,94 @@ REGISTRY.update({
     "evaluate_tfidf": q_evaluate_tfidf,
     "compare_models": q_compare_models,
 })
+
+
+# --- M: features, labels, scaler, model ----------------------------------------------------
+
+from precis.operators import features as M, model as MD  # noqa: E402
+
+
+def q_sentence_features(spark, sf_dir):
+    f = M.sentence_features(sent_table(spark, sf_dir), "doc_id", FIXED_TR)
+    return f.select("doc_id", "sent_idx", *[r6(c).alias(c) for c in M.FEATURES])
+
+
+def _training_set(spark, sf_dir):
+    return M.training_set(conv_pairs(spark, sf_dir), settings=FIXED_TR)
+
+
+def q_weak_labels(spark, sf_dir):
+    docs_ = summarize.prepare_documents(conv_pairs(spark, sf_dir), "article", "doc_id", keep=("highlights",))
+    w = M.weak_labels(docs_)
+    return w.select("doc_id", "sent_idx", r6("rouge_1").alias("rouge_1"), "label")
+
+
+def q_training_set(spark, sf_dir):
+    ts = _training_set(spark, sf_dir)
+    return ts.select("doc_id", "sent_idx", *[r6(c).alias(c) for c in M.FEATURES], "label")
+
+
+def q_class_balance(spark, sf_dir):
+    cb = M.class_balance(_training_set(spark, sf_dir))
+    return cb.select("total", "positives", "negatives", r6("positive_pct").alias("positive_pct"))
+
+
+def q_scaler_fit(spark, sf_dir):
+    st = M.scaler_table(_training_set(spark, sf_dir))
+    return st.select("feature", *[r6(c).alias(c) for c in ("data_min", "data_max", "data_range", "scale", "min")])
+
+
+def q_scaler_transform(spark, sf_dir):
+    ts = _training_set(spark, sf_dir).persist()
+    scaled = M.apply_scaler(ts, M.fit_scaler(ts))
+    return scaled.select("doc_id", "sent_idx", *[r6(c).alias(c) for c in M.FEATURES])
+
+
+def q_train_val_split(spark, sf_dir):
+    return M.train_val_split(conv_pairs(spark, sf_dir).select("doc_id")).select("doc_id", "is_val")
+
+
+_MODELS: dict = {}
+
+
+def trained_model(spark, sf_dir):
+    key = (id(spark), sf_dir)
+    if key not in _MODELS:
+        ts = _training_set(spark, sf_dir).persist()
+        _MODELS[key] = (MD.train(ts, FIXED_TR), ts)
+    return _MODELS[key]
+
+
+def q_train_importance(spark, sf_dir):
+    model, _ = trained_model(spark, sf_dir)
+    return spark.createDataFrame(model.history, "epoch int, val_loss double")
+
+
+def q_training_metrics(spark, sf_dir):
+    model, ts = trained_model(spark, sf_dir)
+    return MD.training_metrics(model, ts, FIXED_TR)
+
+
+def q_predict_importance(spark, sf_dir):
+    model, ts = trained_model(spark, sf_dir)
+    return MD.predict_importance(model, ts).select("doc_id", "sent_idx", "importance")
+
+
+def q_summaries_hybrid(spark, sf_dir):
+    model, _ = trained_model(spark, sf_dir)
+    return summarize.summarize(conv_pairs(spark, sf_dir), "article", "hybrid", K, model=model, settings=FIXED_TR)
+
+
+REGISTRY.update({
+    "sentence_features": q_sentence_features,
+    "weak_labels": q_weak_labels,
+    "training_set": q_training_set,
+    "class_balance": q_class_balance,
+    "scaler_fit": q_scaler_fit,
+    "scaler_transform": q_scaler_transform,
+    "train_val_split": q_train_val_split,
+    "train_importance": q_train_importance,
+    "training_metrics": q_training_metrics,
+    "predict_importance": q_predict_importance,
+    "summaries_hybrid": q_summaries_hybrid,
+})
