@@ -107,7 +107,7 @@ def training_set(pairs: DataFrame, id_col: str = "doc_id", text_col: str = "arti
         (F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "") & (F.trim(F.coalesce(F.col(summary_col), F.lit(""))) != "")
     )
     docs = prepare_documents(usable, text_col, id_col, keep=(summary_col,))
-    sent = N.sentence_table(docs.filter(F.col("n_sent") > 0), id_col)
+    sent = N.sentence_table(docs, id_col)
     feats = sentence_features(sent, id_col, settings)
     labels = weak_labels(docs, id_col, summary_col, settings.label_threshold)
     return feats.join(labels, [id_col, "sent_idx"])

@@ -32,12 +32,23 @@ def partition_by_doc(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.repartition(id_col)
 
 
-def sentence_table(df: DataFrame, id_col: str = "doc_id", sentences_col: str = "sentences") -> DataFrame:
-    """(id, n_sent, sent_idx, sentence, n_words), one row per sentence."""
+def sentence_table(df: DataFrame, id_col: str = "doc_id", sentences_col: str = "sentences",
+                   min_sent: int = 1, outer: bool = False) -> DataFrame:
+    """(id, n_sent, sent_idx, sentence, n_words), one row per sentence
+    of the documents with at least ``min_sent`` sentences.
+
+    The document filter is folded into the explode (``explode(when(...))``)
+    instead of a Filter: a Filter would be pushed below the id-partitioning
+    exchange and into the scan, re-running the sentence split there and
+    preventing the exchange from being shared with the other branches.
+    ``outer`` keeps one row (sent_idx null) for documents without sentences.
+    """
+    arr = F.when(F.col("n_sent") >= min_sent, F.col(sentences_col))
+    gen = F.posexplode_outer(arr) if outer else F.posexplode(arr)
     return df.select(
         id_col,
         "n_sent",
-        F.posexplode(sentences_col).alias("sent_idx", "sentence"),
+        gen.alias("sent_idx", "sentence"),
     ).withColumn("n_words", words_of_normalized("sentence"))
 
 

@@ -35,13 +35,15 @@ def resolve_method(method: str) -> str:
 def prepare_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep=()) -> DataFrame:
     """(id, *keep, sentences, n_sent), partitioned by id.
 
-    Sentence splitting runs before the shuffle, on the scan side.
+    The raw rows are shuffled first and split into sentences after the
+    exchange, so the regex work runs with the parallelism of the shuffle
+    partitions, independent of how the input files are laid out.  Rows need
+    an id (null ids cannot be keyed).
     """
     extra = [c for c in keep if c != text_col]
-    docs = with_sentences(df.select(id_col, text_col, *extra), text_col)
-    if text_col not in keep:
-        docs = docs.drop(text_col)
-    return partition_by_doc(docs, id_col)
+    raw = df.select(id_col, text_col, *extra).filter(F.col(id_col).isNotNull())
+    docs = with_sentences(partition_by_doc(raw, id_col), text_col)
+    return docs if text_col in keep else docs.drop(text_col)
 
 
 def score_sentences(
@@ -52,31 +54,62 @@ def score_sentences(
     settings: C.Settings = C.DEFAULT,
     model=None,
     only_long: bool = True,
+    carry_text: bool = False,
 ) -> DataFrame:
-    """Sentence scores (id, sent_idx, score) of one method, for documents
-    that need them (n > k unless ``only_long`` is False)."""
+    """Sentence scores (id, n_sent, sent_idx, score[, sentence]) of one method.
+
+    With ``only_long`` only documents with n > k are scored; the others (and,
+    with ``carry_text``, empty documents as one null row) pass through so the
+    caller can assemble every summary from this one table.
+    """
     k = resolve_k(k)
-    src = docs.filter(F.col("n_sent") > k) if only_long else docs.filter(F.col("n_sent") > 0)
-    sent = sentence_table(src, id_col)
+    min_sent = k + 1 if only_long else 1
+    text = ["sentence"] if carry_text else []
     if method == "tfidf":
-        return tfidf_scores(sent, id_col, min_df=settings.min_df_plain, max_df=settings.max_df).select(
-            id_col, "sent_idx", "score"
-        )
+        sent = sentence_table(docs, id_col, min_sent=0 if carry_text else min_sent, outer=carry_text)
+        sc = tfidf_scores(sent, id_col, min_df=settings.min_df_plain, max_df=settings.max_df,
+                          min_sent=min_sent, carry_text=carry_text)
+        return sc.select(id_col, "n_sent", "sent_idx", "score", *text)
     if method == "textrank":
-        vec = sentence_vectors(sent, id_col, min_df=settings.min_df_hybrid)
-        tr = textrank_scores(vec, id_col, settings.damping, settings.tol, settings.max_iter)
-        return tr.select(id_col, "sent_idx", F.col("textrank").alias("score"))
+        sent = sentence_table(docs, id_col, min_sent=0 if carry_text else min_sent, outer=carry_text)
+        vec = sentence_vectors(sent, id_col, min_df=settings.min_df_hybrid, min_sent=min_sent, carry_text=carry_text)
+        tr = textrank_scores(vec, id_col, settings.damping, settings.tol, settings.max_iter, carry_text=carry_text)
+        return tr.select(id_col, "n_sent", "sent_idx", F.col("textrank").alias("score"), *text)
     if method == "hybrid":
-        from precis.operators.model import predict_importance
         from precis.operators.features import sentence_features
+        from precis.operators.model import predict_importance
 
         if model is None:
             raise RuntimeError("Model not trained. Train or load an importance model first.")
+        sent = sentence_table(docs, id_col, min_sent=min_sent)
         feats = sentence_features(sent, id_col, settings)
-        return predict_importance(model, feats).select(id_col, "sent_idx", F.col("importance").alias("score"))
+        return predict_importance(model, feats).select(id_col, "n_sent", "sent_idx", F.col("importance").alias("score"))
     raise ValueError(method)
 
 
+def collect_summaries(selected: DataFrame, id_col: str = "doc_id", out: str = "summary") -> DataFrame:
+    """K2 from rows that carry their text: (id, n_sent, summary).
+
+    At most k rows per document reach this aggregation (WindowGroupLimit);
+    null rows of empty documents are skipped by ``array_join``, giving ''.
+    """
+    picked = selected.groupBy(id_col, "n_sent").agg(
+        F.sort_array(F.collect_list(F.struct("sent_idx", "sentence"))).alias("_p")
+    )
+    return picked.select(
+        id_col,
+        F.col("n_sent").cast("int").alias("n_sent"),
+        F.coalesce(F.array_join(F.transform("_p", lambda x: x["sentence"]), " "), F.lit("")).alias(out),
+    )
+
+
+def _attach(res: DataFrame, df: DataFrame, id_col: str, keep) -> DataFrame:
+    if not keep:
+        return res
+    side = df.select(id_col, *keep).filter(F.col(id_col).isNotNull())
+    return res.join(side, id_col).select(id_col, *keep, *[c for c in res.columns if c != id_col])
+
+
 def summarize(
     df: DataFrame,
     text_col: str = "text",
@@ -88,16 +121,24 @@ def summarize(
     keep=(),
     settings: C.Settings = C.DEFAULT,
 ) -> DataFrame:
-    """One summary per row: (id, *keep, n_sent, summary)."""
+    """One summary per row: (id, *keep, n_sent, summary).
+
+    TF-IDF, TextRank and Lead run as one linear plan (shuffle by id, split,
+    score, rank, collect) with no self-join: the sentence text rides on one
+    sentinel row per sentence.  ``keep`` columns are joined back by id.
+    """
     method = resolve_method(method)
     k = resolve_k(k)
-    docs = prepare_documents(df, text_col, id_col, keep)
+    docs = prepare_documents(df, text_col, id_col)
     if method == "lead":
-        res = docs.withColumn(out, lead_k("sentences", k))
+        res = docs.select(id_col, F.col("n_sent").cast("int").alias("n_sent"), lead_k("sentences", k).alias(out))
+    elif method in ("tfidf", "textrank"):
+        scored = score_sentences(docs, method, k, id_col, settings, model, carry_text=True)
+        res = collect_summaries(top_k(scored, k, id_col), id_col, out)
     else:
         selected = top_k(score_sentences(docs, method, k, id_col, settings, model), k, id_col)
-        res = assemble(docs, selected, k, id_col, out)
-    return res.select(id_col, *keep, "n_sent", out)
+        res = assemble(docs, selected, k, id_col, out).select(id_col, F.col("n_sent").cast("int").alias("n_sent"), out)
+    return _attach(res, df, id_col, keep).select(id_col, *keep, "n_sent", out)
 
 
 def summarize_side_by_side(
@@ -110,42 +151,38 @@ def summarize_side_by_side(
     keep=(),
     settings: C.Settings = C.DEFAULT,
 ) -> DataFrame:
-    """Several methods over the same split, one column per method.
+    """Several methods over the same documents, one column per method.
 
-    The sentence split and the shuffle are shared; the selections of all
-    methods are unioned and collected in one aggregation.
+    Every method yields its selected rows with their text; the selections
+    are unioned and collected in one aggregation per document (no join).
     """
     methods = [resolve_method(m) for m in methods]
     k = resolve_k(k)
-    docs = prepare_documents(df, text_col, id_col, keep)
+    docs = prepare_documents(df, text_col, id_col)
     picks = None
     for m in methods:
         if m == "lead":
-            continue
-        sel = top_k(score_sentences(docs, m, k, id_col, settings, model), k, id_col)
-        sel = sel.select(id_col, F.lit(m).alias("method"), "sent_idx")
-        picks = sel if picks is None else picks.unionByName(sel)
-    res = docs
-    if picks is not None:
-        agg = picks.groupBy(id_col).agg(
-            *[
-                F.sort_array(F.collect_list(F.when(F.col("method") == m, F.col("sent_idx")))).alias(f"_{m}")
-                for m in methods
-                if m != "lead"
-            ]
-        )
-        res = docs.join(agg, id_col, "left")
-    cols = []
-    for m in methods:
-        if m == "lead":
-            expr = lead_k("sentences", k)
+            sent = sentence_table(docs, id_col, min_sent=0, outer=True)
+            sel = sent.filter(F.col("sent_idx").isNull() | (F.col("sent_idx") < k))
+        elif m in ("tfidf", "textrank"):
+            sel = top_k(score_sentences(docs, m, k, id_col, settings, model, carry_text=True), k, id_col)
         else:
-            chosen = F.transform(F.col(f"_{m}"), lambda i: F.element_at(F.col("sentences"), i + 1))
-            expr = F.when(F.col("n_sent") <= k, F.array_join("sentences", " ")).otherwise(
-                F.coalesce(F.array_join(chosen, " "), F.lit(""))
-            )
-        cols.append(expr.alias(f"{m}_summary"))
-    return res.select(id_col, *keep, "n_sent", *cols)
+            raise ValueError("side-by-side supports tfidf, textrank and lead")
+        sel = sel.select(id_col, F.col("n_sent").cast("int").alias("n_sent"), F.lit(m).alias("method"),
+                         "sent_idx", "sentence")
+        picks = sel if picks is None else picks.unionByName(sel)
+    agg = picks.groupBy(id_col, "n_sent").agg(
+        *[
+            F.sort_array(F.collect_list(F.when(F.col("method") == m, F.struct("sent_idx", "sentence")))).alias(f"_{m}")
+            for m in methods
+        ]
+    )
+    cols = [
+        F.coalesce(F.array_join(F.transform(f"_{m}", lambda x: x["sentence"]), " "), F.lit("")).alias(f"{m}_summary")
+        for m in methods
+    ]
+    res = agg.select(id_col, "n_sent", *cols)
+    return _attach(res, df, id_col, keep).select(id_col, *keep, "n_sent", *[f"{m}_summary" for m in methods])
 
 
 def summarize_text(spark, text: str, method: str = "tfidf", k=None, model=None) -> DataFrame:

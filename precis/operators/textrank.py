@@ -37,16 +37,18 @@ from pyspark.sql import Window
 from precis import config as C
 from precis.operators.tfidf import tfidf_weights
 
-KERNEL_SCHEMA = "{id} long, sent_idx int, textrank double, converged boolean, iterations int"
+KERNEL_SCHEMA = "{id} long, n_sent int, sent_idx int, textrank double, converged boolean, iterations int"
 
 
-def sentence_vectors(sent: DataFrame, id_col: str = "doc_id", min_df: int = C.DEFAULT.min_df_hybrid) -> DataFrame:
+def sentence_vectors(sent: DataFrame, id_col: str = "doc_id", min_df: int = C.DEFAULT.min_df_hybrid,
+                     min_sent: int = 1, carry_text: bool = False) -> DataFrame:
     """G1 (default provider): L2-normalised TF-IDF rows, zero for pruned terms.
 
-    One row per (id, sentence, term) plus a null-term row for sentences
-    without terms, so every sentence of every document is present.
+    One row per (id, sentence, term) plus a null-term row per sentence, so
+    every sentence of every document is present (with ``carry_text`` that row
+    holds the sentence text).
     """
-    w = tfidf_weights(sent, id_col, min_df=min_df)
+    w = tfidf_weights(sent, id_col, min_df=min_df, min_sent=min_sent, carry_text=carry_text)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col, "sent_idx")))
     return w.select(
         id_col,
@@ -54,6 +56,7 @@ def sentence_vectors(sent: DataFrame, id_col: str = "doc_id", min_df: int = C.DE
         "sent_idx",
         F.when(F.col("keep"), F.col("term")).alias("term"),
         F.when(F.col("keep"), F.col("w") / norm).otherwise(F.lit(0.0)).alias("weight"),
+        *(["sentence"] if carry_text else []),
     )
 
 
@@ -87,10 +90,16 @@ def power_iteration(n, rows, cols, vals, damping, tol, max_iter):
     return x, tol == 0, it
 
 
-def _kernel(id_col: str, damping: float, tol: float, max_iter: int):
+def _kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_text: bool = False):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         doc = pdf[id_col].iloc[0]
         n = int(pdf["n_sent"].iloc[0])
+        if n == 0 or pdf["sent_idx"].isna().all():  # empty document: one null row
+            out = pd.DataFrame({id_col: [doc], "n_sent": [n], "sent_idx": [None], "textrank": [0.0],
+                                "converged": [True], "iterations": [0]})
+            if carry_text:
+                out["sentence"] = [None]
+            return out
         kept = pdf[pdf["weight"] != 0.0]
         codes, _ = pd.factorize(kept["term"])
         x, conv, iters = power_iteration(
@@ -102,28 +111,160 @@ def _kernel(id_col: str, damping: float, tol: float, max_iter: int):
             tol,
             max_iter,
         )
-        return pd.DataFrame(
-            {id_col: doc, "sent_idx": np.arange(n, dtype=np.int32), "textrank": x,
+        out = pd.DataFrame(
+            {id_col: doc, "n_sent": np.int32(n), "sent_idx": np.arange(n, dtype=np.int32), "textrank": x,
              "converged": conv, "iterations": np.int32(iters)}
         )
+        if carry_text:
+            texts = pdf.loc[pdf["sentence"].notna(), ["sent_idx", "sentence"]]
+            out["sentence"] = pd.Series(texts["sentence"].to_numpy(), index=texts["sent_idx"].astype(int)).reindex(range(n)).to_numpy()
+        return out
 
     return run
 
 
+def _batch_power_iteration(doc_ix, n_doc, node, cols, vals, n_nodes, damping, tol, max_iter):
+    """Power iteration of many independent document graphs at once.
+
+    doc_ix: document of each node; n_doc: sentences per document; node/cols/
+    vals: the non-zeros of all W (node id, (doc, term) code, weight).
+    Each document stops at its own convergence (its x is frozen).
+    """
+    n_docs = len(n_doc)
+    n_cols = int(cols.max()) + 1 if len(cols) else 0
+    df_t = np.bincount(cols, minlength=n_cols)
+    has_edge = np.bincount(node, weights=(df_t[cols] >= 2).astype(float), minlength=n_nodes) > 0
+    colsum = np.bincount(cols, weights=vals, minlength=n_cols)
+    diag = np.bincount(node, weights=vals * vals, minlength=n_nodes)
+    d = np.bincount(node, weights=vals * colsum[cols], minlength=n_nodes) - diag
+    dangling = ~has_edge
+    inv_d = np.where(dangling, 0.0, 1.0 / np.where(dangling, 1.0, d))
+    n_node = n_doc[doc_ix].astype(float)
+    x = 1.0 / n_node
+    active = np.ones(n_docs, dtype=bool)
+    done_at = np.full(n_docs, max_iter, dtype=np.int32)
+    for it in range(1, max_iter + 1):
+        y = x * inv_d
+        u = np.bincount(cols, weights=y[node] * vals, minlength=n_cols)
+        xs = np.bincount(node, weights=vals * u[cols], minlength=n_nodes) - y * diag
+        xs[dangling] = 0.0
+        dmass = np.bincount(doc_ix, weights=np.where(dangling, x, 0.0), minlength=n_docs)
+        x_new = damping * (xs + dmass[doc_ix] / n_node) + (1.0 - damping) / n_node
+        live = active[doc_ix]
+        x_new = np.where(live, x_new, x)
+        if tol > 0:
+            err = np.bincount(doc_ix, weights=np.abs(x_new - x), minlength=n_docs)
+            newly = active & (err < n_doc * tol)
+            done_at[newly] = it
+            active &= ~newly
+        x = x_new
+        if not active.any():
+            break
+    converged = ~active if tol > 0 else np.ones(n_docs, dtype=bool)
+    return x, converged, done_at
+
+
+def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_text: bool):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    out_fields = [
+        pa.field(id_col, pa.int64()), pa.field("n_sent", pa.int32()), pa.field("sent_idx", pa.int32()),
+        pa.field("textrank", pa.float64()), pa.field("converged", pa.bool_()), pa.field("iterations", pa.int32()),
+    ]
+    if carry_text:
+        out_fields.append(pa.field("sentence", pa.string()))
+    schema = pa.schema(out_fields)
+
+    def solve(t: "pa.Table") -> "pa.RecordBatch":
+        doc = t.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.r_[0, np.flatnonzero(doc[1:] != doc[:-1]) + 1]
+        row_doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(doc)]))
+        docs = doc[starts]
+        n_doc = t.column("n_sent").to_numpy(zero_copy_only=False).astype(np.int64)[starts]
+        nodes_per_doc = np.maximum(n_doc, 1)  # an empty document keeps one null row
+        offset = np.r_[0, np.cumsum(nodes_per_doc)[:-1]]
+        n_nodes = int(nodes_per_doc.sum())
+        sidx = t.column("sent_idx").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        node_of_row = offset[row_doc] + sidx
+        w = t.column("weight").fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+        kept = w != 0.0
+        term = t.column("term").filter(pa.array(kept))
+        codes = pc.dictionary_encode(term).combine_chunks().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        key = row_doc[kept] * (int(codes.max()) + 1 if len(codes) else 1) + codes
+        _, cols = np.unique(key, return_inverse=True)
+        node_doc = np.repeat(np.arange(len(docs)), nodes_per_doc)
+        x, conv, iters = _batch_power_iteration(
+            node_doc, np.maximum(n_doc, 1), node_of_row[kept], cols.astype(np.int64), w[kept],
+            n_nodes, damping, tol, max_iter,
+        )
+        local = np.arange(n_nodes) - offset[node_doc]
+        empty = (n_doc == 0)[node_doc]
+        arrays = [
+            pa.array(docs[node_doc]), pa.array(n_doc[node_doc].astype(np.int32)),
+            pa.array(local.astype(np.int32), mask=empty), pa.array(np.where(empty, 0.0, x)),
+            pa.array(conv[node_doc]), pa.array(np.where(empty, 0, iters[node_doc]).astype(np.int32)),
+        ]
+        if carry_text:
+            sent = t.column("sentence")
+            has = sent.is_valid().to_numpy(zero_copy_only=False)
+            texts = np.full(n_nodes, None, dtype=object)
+            texts[node_of_row[has]] = sent.filter(pa.array(has)).to_numpy(zero_copy_only=False)
+            arrays.append(pa.array(texts, type=pa.string()))
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    def run(batches):
+        pending = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if pending is not None:
+                t = pa.concat_tables([pending, t])
+            if t.num_rows == 0:
+                continue
+            ids = t.column(id_col)
+            last = ids[t.num_rows - 1]
+            tail = pc.equal(ids, last).to_numpy(zero_copy_only=False)
+            first_tail = int(np.argmax(tail))
+            pending = t.slice(first_tail)  # the last document may go on in the next batch
+            if first_tail > 0:
+                yield solve(t.slice(0, first_tail))
+        if pending is not None and pending.num_rows:
+            yield solve(pending)
+
+    return run, schema
+
+
 def textrank_scores(
     vectors: DataFrame,
     id_col: str = "doc_id",
     damping: float = C.DEFAULT.damping,
     tol: float = C.DEFAULT.tol,
     max_iter: int = C.DEFAULT.max_iter,
+    carry_text: bool = False,
+    partitioned: bool = True,
 ) -> DataFrame:
-    """G2-G4 per document: (id, sent_idx, textrank, converged, iterations).
+    """G2-G4 per document: (id, n_sent, sent_idx, textrank, converged, iterations[, sentence]).
 
     ``vectors`` is the output of :func:`sentence_vectors` (sparse rows).  With
     ``tol=0`` exactly ``max_iter`` iterations run (the reproducible form).
+
+    The rows of a document must share a partition — true for every table
+    built on :func:`prepare_documents` (``partitioned=True``); otherwise pass
+    ``partitioned=False`` and they are repartitioned by the id first.  Within
+    a partition the rows are sorted by id (already the case after the
+    per-sentence windows, so no extra sort), and ``mapInArrow`` solves all
+    documents of an Arrow batch in one vectorised power iteration.
     """
-    schema = KERNEL_SCHEMA.format(id=id_col)
-    return vectors.groupBy(id_col).applyInPandas(_kernel(id_col, damping, tol, max_iter), schema)
+    cols = [id_col, "n_sent", "sent_idx", "term", "weight", *(["sentence"] if carry_text else [])]
+    src = vectors.select(*cols)
+    if not partitioned:
+        src = src.repartition(id_col)
+    # only non-zero weights and the one null-term row per sentence are needed
+    src = src.filter((F.col("weight") != 0.0) | F.col("term").isNull())
+    fn, schema = _arrow_kernel(id_col, damping, tol, max_iter, carry_text)
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return src.sortWithinPartitions(id_col).mapInArrow(fn, from_arrow_schema(schema))
 
 
 def textrank_feature(tr: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -31,15 +31,36 @@ from precis.functions.tokens import is_stop_word, terms
 SENT_KEYS = ("n_sent", "sent_idx", "n_words")
 
 
-def term_rows(sent: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """F1 exploded: (id, n_sent, sent_idx, n_words, term); term null = no term."""
-    t = sent.select(id_col, *SENT_KEYS, F.explode_outer(terms("sentence")).alias("term"))
-    return t.withColumn("term", F.when(is_stop_word("term"), F.lit(None)).otherwise(F.col("term")))
+def term_rows(sent: DataFrame, id_col: str = "doc_id", min_sent: int = 1, carry_text: bool = False) -> DataFrame:
+    """F1 exploded: (id, n_sent, sent_idx, n_words, term[, sentence]).
+
+    Every sentence contributes one extra sentinel row (term null) so that it
+    survives every later aggregation; with ``carry_text`` the sentinel — and
+    only the sentinel — carries the sentence text, so text is never repeated
+    per term.  Terms are extracted only for documents with >= ``min_sent``
+    sentences (the others need no score).  Stop words become null terms.
+    """
+    toks = F.when(F.col("n_sent") >= min_sent, terms("sentence")).otherwise(F.array().cast("array<string>"))
+    text = F.col("sentence") if carry_text else F.lit(None).cast("string")
+    rows = F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("term"), text.alias("sentence"))),
+        F.transform(toks, lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("sentence"))),
+    )
+    t = sent.select(id_col, *SENT_KEYS, F.explode(rows).alias("_r"))
+    term = F.col("_r.term")
+    cols = [id_col, *SENT_KEYS, F.when(is_stop_word(term), F.lit(None)).otherwise(term).alias("term")]
+    if carry_text:
+        cols.append(F.col("_r.sentence").alias("sentence"))
+    return t.select(*cols)
 
 
-def term_freq(sent: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """tf per (document, sentence, term); the null-term row has tf 0."""
-    return term_rows(sent, id_col).groupBy(id_col, *SENT_KEYS, "term").agg(F.count("term").alias("tf"))
+def term_freq(sent: DataFrame, id_col: str = "doc_id", min_sent: int = 1, carry_text: bool = False) -> DataFrame:
+    """tf per (document, sentence, term); the null-term row has tf 0 (and
+    the sentence text with ``carry_text``)."""
+    # the text is a grouping key: only the sentinel row has it, so it is
+    # hashed once per sentence and the aggregate stays a hash aggregate
+    keys = [id_col, *SENT_KEYS, "term", *(["sentence"] if carry_text else [])]
+    return term_rows(sent, id_col, min_sent, carry_text).groupBy(*keys).agg(F.count("term").alias("tf"))
 
 
 def tfidf_weights(
@@ -47,9 +68,11 @@ def tfidf_weights(
     id_col: str = "doc_id",
     min_df: int = C.DEFAULT.min_df_plain,
     max_df: float = C.DEFAULT.max_df,
+    min_sent: int = 1,
+    carry_text: bool = False,
 ) -> DataFrame:
     """F3-F5 before normalisation: adds df, keep, idf and raw weight w."""
-    tf = term_freq(sent, id_col)
+    tf = term_freq(sent, id_col, min_sent, carry_text)
     df_ = F.count("term").over(Window.partitionBy(id_col, "term"))
     n = F.col("n_sent")
     keep = F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= F.lit(float(max_df)) * n)
@@ -74,18 +97,33 @@ def tfidf_scores(
     min_df: int = C.DEFAULT.min_df_plain,
     max_df: float = C.DEFAULT.max_df,
     max_scaled: bool = False,
+    min_sent: int = 1,
+    carry_text: bool = False,
 ) -> DataFrame:
     """F6 (plain) / F7 (``max_scaled``), with the F8 uniform fallback.
 
-    Returns (id, n_sent, sent_idx, n_words, score, status); ``status`` is
-    'ok' or 'no_vocabulary' (no term survives pruning: every score is 1/n).
+    Returns (id, n_sent, sent_idx, n_words, score, status[, sentence]);
+    ``status`` is 'ok' or 'no_vocabulary' (no term survives pruning: every
+    score is 1/n).  Rows of empty documents (sent_idx null, from an outer
+    explode) pass through with score 0.
     """
-    w = tfidf_weights(sent, id_col, min_df, max_df)
-    per_sent = w.groupBy(id_col, *SENT_KEYS).agg(
-        F.sum("w").alias("sw"),
-        F.sum(F.col("w") * F.col("w")).alias("sw2"),
-        F.max(F.col("keep").cast("int")).alias("any_keep"),
-    )
+    w = tfidf_weights(sent, id_col, min_df, max_df, min_sent, carry_text)
+    if carry_text:
+        # per-sentence sums by a window, read off the one sentinel row that
+        # holds the text (a string max would force a sort-based aggregate)
+        s_w = Window.partitionBy(id_col, "sent_idx")
+        per_sent = (
+            w.withColumn("sw", F.sum("w").over(s_w))
+            .withColumn("sw2", F.sum(F.col("w") * F.col("w")).over(s_w))
+            .withColumn("any_keep", F.max(F.col("keep").cast("int")).over(s_w))
+            .filter(F.col("term").isNull() & (F.col("sentence").isNotNull() | F.col("sent_idx").isNull()))
+        )
+    else:
+        per_sent = w.groupBy(id_col, *SENT_KEYS).agg(
+            F.sum("w").alias("sw"),
+            F.sum(F.col("w") * F.col("w")).alias("sw2"),
+            F.max(F.col("keep").cast("int")).alias("any_keep"),
+        )
     doc = Window.partitionBy(id_col)
     ok = F.max("any_keep").over(doc) == 1
     raw = F.when(F.col("sw2") > 0, F.col("sw") / F.sqrt("sw2")).otherwise(F.lit(0.0)) / (F.col("n_words") + 1)
@@ -95,9 +133,11 @@ def tfidf_scores(
         scored = F.when(mx > 0, F.col("raw") / mx).otherwise(F.col("raw"))
     else:
         scored = F.col("raw")
+    uniform = F.when(F.col("n_sent") > 0, F.lit(1.0) / F.col("n_sent")).otherwise(F.lit(0.0))
     return out.select(
         id_col,
         *SENT_KEYS,
-        F.when(F.col("ok"), scored).otherwise(F.lit(1.0) / F.col("n_sent")).alias("score"),
+        F.when(F.col("ok"), scored).otherwise(uniform).alias("score"),
         F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("no_vocabulary")).alias("status"),
+        *(["sentence"] if carry_text else []),
     )

@@ -28,8 +28,7 @@ def docs(spark, sf_dir) -> DataFrame:
 
 
 def sent_table(spark, sf_dir, min_sent: int = 1) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return sentences.sentence_table(d.filter(F.col("n_sent") >= min_sent), "doc_id")
+    return sentences.sentence_table(docs(spark, sf_dir), "doc_id", min_sent=min_sent)
 
 
 def r6(c):
