@@ -306,6 +306,30 @@ def _join_groups(nodes: DataFrame, groups: DataFrame, group_col: str, n_groups,
     return nodes.join(side, group_col)
 
 
+def _unit_vectors(df: DataFrame, group_col: str, id_col: str, vec_col: str) -> DataFrame:
+    e = F.transform(F.col(vec_col), lambda v: v.cast("double"))
+    norm = F.sqrt(_dot(e, e))
+    return df.select(
+        group_col,
+        id_col,
+        F.when(norm > 0, F.transform(e, lambda v: v / norm)).otherwise(F.transform(e, lambda v: v * 0.0)).alias("e"),
+    ).withColumn("sq", _dot(F.col("e"), F.col("e")))
+
+
+def similarity_degrees(df: DataFrame, group_col: str, id_col: str, vec_col: str,
+                       settings: C.Settings = C.DEFAULT) -> DataFrame:
+    """G2-G3 aggregated: each node's weighted degree sum_j cos(i, j), j != i,
+    within its group — e_i . (sum_j e_j) - ||e_i||^2, no pairs formed."""
+    base = _unit_vectors(df, group_col, id_col, vec_col)
+    stats = base.agg(F.countDistinct(group_col).alias("g"), F.max(F.size("e")).alias("dim")).first()
+    n_groups = stats["g"] if (stats["g"] or 0) * ((stats["dim"] or 0) + 4) <= settings.broadcast_max_rows else None
+    colsum = _group_sums(
+        base.withColumn("dangling", F.lit(False)).withColumn("x", F.lit(0.0)), group_col, F.lit(1.0)
+    ).drop("err", "dmass")
+    j = _join_groups(base, colsum, group_col, n_groups, settings.broadcast_max_rows)
+    return j.select(group_col, id_col, (_dot(F.col("e"), F.col("u")) - F.col("sq") + F.lit(0.0)).alias("degree"))
+
+
 def pagerank_groups(
     df: DataFrame,
     group_col: str,
@@ -326,13 +350,7 @@ def pagerank_groups(
 
     spark = df.sparkSession
     checkpoint_dir(spark)
-    e = F.transform(F.col(vec_col), lambda v: v.cast("double"))
-    norm = F.sqrt(_dot(e, e))
-    base = df.select(
-        group_col,
-        id_col,
-        F.when(norm > 0, F.transform(e, lambda v: v / norm)).otherwise(F.transform(e, lambda v: v * 0.0)).alias("e"),
-    ).withColumn("sq", _dot(F.col("e"), F.col("e")))
+    base = _unit_vectors(df, group_col, id_col, vec_col)
 
     # the group table (one vector per group) is broadcast only when its size,
     # groups x dimensions, is within the bound; otherwise a shuffle join

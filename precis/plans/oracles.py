@@ -660,5 +660,21 @@ REGISTRY.update({
 })
 
 
+# --- G on dense vectors -------------------------------------------------------------------
+
+def q_similarity_degree():
+    return (
+        "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+        "en AS (SELECT vec_id, label, CASE WHEN sqrt(list_dot_product(v, v)) > 0 "
+        "THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) "
+        "ELSE list_transform(v, lambda x: x * 0.0) END AS u FROM e) "
+        "SELECT a.label, a.vec_id, round(coalesce(sum(list_dot_product(a.u, b.u)), 0), 6) + 0.0 AS degree "
+        "FROM en a LEFT JOIN en b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.label, a.vec_id"
+    )
+
+
+REGISTRY.update({"similarity_degree": q_similarity_degree})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f() for name, f in REGISTRY.items()}

@@ -473,3 +473,24 @@ REGISTRY.update({
     "predict_importance": q_predict_importance,
     "summaries_hybrid": q_summaries_hybrid,
 })
+
+
+# --- G on dense vectors (embeddings, group = label) -------------------------------------
+
+def q_similarity_degree(spark, sf_dir):
+    d = textrank.similarity_degrees(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    return d.select("label", "vec_id", r6("degree").alias("degree"))
+
+
+def q_pagerank_embeddings(spark, sf_dir):
+    """Reference semantics (negative similarities kept), 30 iterations at
+    most; a group that does not converge gets 1/n (rows-only check)."""
+    pr = textrank.pagerank_groups(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding",
+                                  max_iter=TR_ITER, tol=C.DEFAULT.tol)
+    return pr.select("label", "vec_id", r6("pagerank").alias("pagerank"), "converged", "iterations")
+
+
+REGISTRY.update({
+    "similarity_degree": q_similarity_degree,
+    "pagerank_embeddings": q_pagerank_embeddings,
+})
