@@ -114,14 +114,19 @@ def clean_text(col, is_summary: bool = False) -> Column:
 
 
 def word_count(col) -> Column:
-    """``len(text.split())`` — number of non-whitespace runs (0 for '')."""
-    return F.regexp_count(coerce_text(col), F.lit(P.WORD)).cast("bigint")
+    """``len(text.split())`` — number of non-whitespace runs (0 for '').
+
+    Counted as the pieces of the whitespace-normalised text (one regex pass
+    plus a split), several times cheaper than counting regex matches.
+    """
+    return words_of_normalized(normalize_ws(col))
 
 
 def words_of_normalized(col) -> Column:
     """Word count of text already normalised by T9 (cheaper: no regex)."""
-    c = _c(col)
-    return F.when(c == "", F.lit(0)).otherwise(F.size(F.split(c, " "))).cast("bigint")
+    # one reference to the input (it may be an expensive expression); only
+    # '' yields an empty piece in normalised text
+    return F.size(F.array_remove(F.split(_c(col), " "), "")).cast("bigint")
 
 
 def compression_ratio(words, summary_words) -> Column:

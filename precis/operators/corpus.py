@@ -7,10 +7,9 @@ filter -> keep-first de-duplication, as one plan.
   one-element array).  Filters on the cleaned text cannot be pushed below a
   generator, so the regex chain runs once per row instead of once more inside
   every pushed-down predicate.
-* De-duplication shuffles 32-byte digests, not texts, and is skew-proof: a
-  group of copies (possibly a third of the corpus) is first reduced map-side
-  by the partial aggregate to one row per partition, and the survivors are
-  found with a semi-join on the unique id.
+* De-duplication is one aggregation keyed by the SHA-256 of the article and
+  is skew-proof: a group of copies (possibly a third of the corpus) is first
+  reduced map-side by the partial aggregate to one row per partition.
 """
 
 from __future__ import annotations
@@ -31,14 +30,31 @@ def require_columns(df: DataFrame, cols=REQUIRED) -> None:
             raise ValueError(f"Column '{c}' not found in the dataset.")
 
 
-def clean_columns(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """R1 + T10 on both columns: (id, article, highlights) cleaned."""
+def clean_columns(df: DataFrame, id_col: str = "doc_id", partitioned: bool = False) -> DataFrame:
+    """R1 + T10 on both columns: (id, article, highlights) cleaned.
+
+    With ``partitioned`` an input with fewer partitions than the cluster's
+    parallelism is spread by id first (``spread``), so the regex chain runs
+    on every core whatever the input layout; a large scan is left alone.
+    """
+    from precis.operators.sentences import spread
+
     require_columns(df)
-    cleaned = F.struct(
-        clean_text("article", is_summary=False).alias("article"),
-        clean_text("highlights", is_summary=True).alias("highlights"),
-    )
-    return df.select(id_col, F.explode(F.array(cleaned)).alias("_c")).select(id_col, "_c.article", "_c.highlights")
+    src = df.select(id_col, "article", "highlights")
+    if partitioned:
+        src = spread(src, id_col)
+    return pin(src, id_col, article=clean_text("article", False), highlights=clean_text("highlights", True))
+
+
+def pin(df: DataFrame, *keep: str, **cols) -> DataFrame:
+    """Compute ``cols`` exactly once per row.
+
+    The values are produced by a one-element ``explode``: a Filter on them
+    cannot be pushed below a generator, so the optimizer never substitutes
+    the (expensive) expressions into pushed-down predicates.
+    """
+    st = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select(*keep, F.explode(F.array(st)).alias("_p")).select(*keep, *[f"_p.{n}" for n in cols])
 
 
 def drop_blank(df: DataFrame) -> DataFrame:
@@ -48,7 +64,7 @@ def drop_blank(df: DataFrame) -> DataFrame:
 
 def length_filter(df: DataFrame, settings: C.Settings = C.DEFAULT) -> DataFrame:
     """R3 (+R5): word-count bounds; the helper counts are dropped again."""
-    out = df.withColumn("_aw", word_count("article")).withColumn("_sw", word_count("highlights"))
+    out = pin(df, *df.columns, _aw=word_count("article"), _sw=word_count("highlights"))
     cond = (F.col("_aw") >= settings.min_article_words) & (F.col("_sw") >= settings.min_summary_words)
     if settings.max_article_words:
         cond = cond & (F.col("_aw") <= settings.max_article_words)
@@ -56,14 +72,22 @@ def length_filter(df: DataFrame, settings: C.Settings = C.DEFAULT) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, id_col: str = "doc_id", key: str = "article") -> DataFrame:
-    """One row per distinct ``key``, the one with the smallest id."""
-    firsts = df.groupBy(F.sha2(F.col(key), 256).alias("_h")).agg(F.min(id_col).alias(id_col))
-    return df.join(firsts.select(id_col), id_col, "left_semi")
+    """One row per distinct ``key``, the one with the smallest id.
+
+    One pass: rows are grouped by the SHA-256 of the key and the minimum of
+    (id, row) is kept.  The partial aggregate keeps one row per digest and
+    map partition before the shuffle, so a hot group of copies costs one
+    row per partition; the input is read once (a semi-join back would
+    evaluate the whole upstream plan — regex cleaning included — twice).
+    """
+    cols = [id_col, *[c for c in df.columns if c != id_col]]
+    best = df.groupBy(F.sha2(F.col(key), 256).alias("_h")).agg(F.min(F.struct(*cols)).alias("_r"))
+    return best.select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def clean_corpus(df: DataFrame, id_col: str = "doc_id", settings: C.Settings = C.DEFAULT) -> DataFrame:
     """The whole cleaning pipeline."""
-    return dedup_keep_first(length_filter(drop_blank(clean_columns(df, id_col)), settings), id_col)
+    return dedup_keep_first(length_filter(drop_blank(clean_columns(df, id_col, partitioned=True)), settings), id_col)
 
 
 def sample_n(df: DataFrame, n: int, seed: int = C.DEFAULT.random_state, id_col: str = "doc_id",

@@ -50,7 +50,8 @@ def f_measure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def rouge_n(pairs: DataFrame, keys, ref_tokens: str = "ref_t", pred_tokens: str = "pred_t", ns=(1, 2)) -> DataFrame:
+def rouge_n(pairs: DataFrame, keys, ref_tokens: str = "ref_t", pred_tokens: str = "pred_t", ns=(1, 2),
+            carry=()) -> DataFrame:
     """E3-E4, wide: per pair, for each n: rouge_{n}_overlap/_p/_r/_f.
 
     Side counts are per-row sizes carried as (functionally dependent) grouping
@@ -65,11 +66,15 @@ def rouge_n(pairs: DataFrame, keys, ref_tokens: str = "ref_t", pred_tokens: str
         for n in ns
         for g_col, r, p in ((ref_tokens, 1, 0), (pred_tokens, 0, 1))
     ]
-    counts = [
-        F.size(ngrams(F.col(c), n)).alias(f"{side}{n}") for n in ns for side, c in (("rc", ref_tokens), ("pc", pred_tokens))
-    ]
-    cnames = [f"{side}{n}" for n in ns for side in ("rc", "pc")]
-    base = pairs.select(*keys, *counts, F.explode_outer(F.concat(*tagged)).alias("x"))
+    def count(c, n):  # n-grams of an array of size s: max(s - n + 1, 0)
+        return F.greatest(F.size(F.col(c)) - (n - 1), F.lit(0))
+
+    counts = [count(c, n).alias(f"{side}{n}") for n in ns for side, c in (("rc", ref_tokens), ("pc", pred_tokens))]
+    cnames = [f"{side}{n}" for n in ns for side in ("rc", "pc")] + list(carry)
+    # per-pair counts are projected before the explode, so they are computed
+    # once per pair, not once per exploded n-gram row
+    per_pair = pairs.select(*keys, *counts, *carry, ref_tokens, pred_tokens)
+    base = per_pair.select(*keys, *cnames, F.explode_outer(F.concat(*tagged)).alias("x"))
     per_gram = base.groupBy(*keys, *cnames, F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(
         F.sum("x.r").alias("cr"), F.sum("x.p").alias("cp")
     )
@@ -83,7 +88,7 @@ def rouge_n(pairs: DataFrame, keys, ref_tokens: str = "ref_t", pred_tokens: str
         r = F.when(rc > 0, o / rc).otherwise(F.lit(0.0))
         cols += [o.alias(f"rouge_{n}_overlap"), p.alias(f"rouge_{n}_p"), r.alias(f"rouge_{n}_r"),
                  f_measure(p, r).alias(f"rouge_{n}_f")]
-    return ov.select(*keys, *cols)
+    return ov.select(*keys, *cols, *[c for c in cnames if c.startswith(("rc1", "pc1"))], *carry)
 
 
 def _lcs_len(a, b) -> int:
@@ -107,42 +112,43 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_lcs_len(x if x is not None else [], y if y is not None else []) for x, y in zip(a, b)])
 
 
-def rouge_l(pairs: DataFrame, ref_tokens: str = "ref_t", pred_tokens: str = "pred_t") -> DataFrame:
-    """E5: adds lcs, l_p, l_r, l_f."""
-    out = pairs.withColumn("lcs", lcs_length(F.col(ref_tokens), F.col(pred_tokens)))
-    p = F.when(F.size(pred_tokens) > 0, F.col("lcs") / F.size(pred_tokens)).otherwise(F.lit(0.0))
-    r = F.when(F.size(ref_tokens) > 0, F.col("lcs") / F.size(ref_tokens)).otherwise(F.lit(0.0))
-    ok = (F.size(pred_tokens) > 0) & (F.size(ref_tokens) > 0)
-    return out.withColumn("l_p", F.when(ok, p).otherwise(0.0)).withColumn("l_r", F.when(ok, r).otherwise(0.0)).withColumn(
-        "l_f", f_measure(F.col("l_p"), F.col("l_r"))
-    )
-
+def rouge_l_from(lcs: Column, ref_len: Column, pred_len: Column):
+    """E5: P, R, F of ROUGE-L from the LCS length and the token counts."""
+    ok = (pred_len > 0) & (ref_len > 0)
+    p = F.when(ok, lcs / pred_len).otherwise(F.lit(0.0))
+    r = F.when(ok, lcs / ref_len).otherwise(F.lit(0.0))
+    return p, r, f_measure(p, r)
 
-def prepare_pairs(df: DataFrame, keys, ref_col: str, pred_col: str) -> DataFrame:
-    """Tokenise + stem both sides; partitioned by the pair key."""
-    keys = list(keys)
-    p = df.select(*keys, ref_col, pred_col).repartition(*keys)
-    p = stemmed_tokens(p, ref_col, "ref_t")
-    return stemmed_tokens(p, pred_col, "pred_t").select(*keys, "ref_t", "pred_t")
 
+def score_token_pairs(toks: DataFrame, keys, ref_tokens: str = "ref_t", pred_tokens: str = "pred_t") -> DataFrame:
+    """ROUGE-1/2/L of pairs of (stemmed) token arrays, in one branch.
 
-def rouge_scores(df: DataFrame, keys, ref_col: str = "highlights", pred_col: str = "prediction") -> DataFrame:
-    """Per pair: rouge_1, rouge_2, rouge_l F-measures (plus P/R of each)."""
+    The LCS (Arrow UDF) is computed per pair before the one repartition on
+    the pair key; it then rides through the n-gram aggregation as a grouping
+    key, so there is no join and no second pass over the tokens.
+    """
     keys = list(keys)
-    pairs = prepare_pairs(df, keys, ref_col, pred_col)
-    wide = rouge_n(pairs, keys)
-    rl = rouge_l(pairs).select(*keys, "l_p", "l_r", "l_f")
-    out = wide.join(rl, keys)
-    return out.select(
+    t = toks.select(*keys, ref_tokens, pred_tokens, lcs_length(F.col(ref_tokens), F.col(pred_tokens)).alias("lcs"))
+    wide = rouge_n(t.repartition(*keys), keys, ref_tokens, pred_tokens, carry=("lcs",))
+    lp, lr, lf = rouge_l_from(F.col("lcs"), F.col("rc1"), F.col("pc1"))
+    return wide.select(
         *keys,
         F.col("rouge_1_f").alias("rouge_1"),
         F.col("rouge_2_f").alias("rouge_2"),
-        F.col("l_f").alias("rouge_l"),
+        lf.alias("rouge_l"),
         "rouge_1_p", "rouge_1_r", "rouge_2_p", "rouge_2_r",
-        F.col("l_p").alias("rouge_l_p"), F.col("l_r").alias("rouge_l_r"),
+        lp.alias("rouge_l_p"), lr.alias("rouge_l_r"),
     )
 
 
+def rouge_scores(df: DataFrame, keys, ref_col: str = "highlights", pred_col: str = "prediction") -> DataFrame:
+    """Per pair: rouge_1, rouge_2, rouge_l F-measures (plus P/R of each)."""
+    keys = list(keys)
+    p = stemmed_tokens(df.select(*keys, ref_col, pred_col), ref_col, "ref_t")
+    p = stemmed_tokens(p, pred_col, "pred_t")
+    return score_token_pairs(p, keys)
+
+
 def evaluate_model(df: DataFrame, pred_col: str, ref_col: str = "highlights", id_col: str = "doc_id",
                    sample_size: int | None = None, seed: int = 42) -> DataFrame:
     """Mean ROUGE-1/2/L F over a corpus (optionally an exact-n sample)."""
@@ -169,8 +175,10 @@ def compare_models(df: DataFrame, model_predictions: dict, ref_col: str = "highl
     stack = "stack({}, {}) as (model, prediction)".format(
         len(names), ", ".join(f"'{m}', `{c}`" for m, c in model_predictions.items())
     )
-    long = df.select(id_col, ref_col, F.expr(stack))
-    s = rouge_scores(long, [id_col, "model"], ref_col, "prediction")
+    # the reference is tokenised and stemmed once, before the unpivot
+    ref = stemmed_tokens(df.select(id_col, ref_col, *model_predictions.values()), ref_col, "ref_t")
+    long = stemmed_tokens(ref.select(id_col, "ref_t", F.expr(stack)), "prediction", "pred_t")
+    s = score_token_pairs(long, [id_col, "model"])
     return s.groupBy("model").agg(
         F.avg("rouge_1").alias("rouge_1"), F.avg("rouge_2").alias("rouge_2"), F.avg("rouge_l").alias("rouge_l")
     )

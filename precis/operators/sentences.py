@@ -32,6 +32,19 @@ def partition_by_doc(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.repartition(id_col)
 
 
+def spread(df: DataFrame, id_col: str) -> DataFrame:
+    """Hash-partition by ``id_col`` only when the input has fewer partitions
+    than the cluster's default parallelism (a few large files or row groups).
+
+    Heavy per-row work (regex cleaning) then runs on all cores; a large scan,
+    which already has many splits, is left alone and pays no shuffle.
+    """
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        return df.repartition(id_col)
+    return df
+
+
 def sentence_table(df: DataFrame, id_col: str = "doc_id", sentences_col: str = "sentences",
                    min_sent: int = 1, outer: bool = False) -> DataFrame:
     """(id, n_sent, sent_idx, sentence, n_words), one row per sentence

@@ -182,13 +182,13 @@ def injected(spark, sf_dir) -> DataFrame:
 
 def _tq(fn):
     def q(spark, sf_dir):
-        return injected(spark, sf_dir).select("doc_id", fn(F.col("text")).alias("text"))
+        return sentences.spread(injected(spark, sf_dir), "doc_id").select("doc_id", fn(F.col("text")).alias("text"))
 
     return q
 
 
 def q_html_to_text(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    p = sentences.spread(table(spark, sf_dir, "pages"), "page_id")
     return p.select("page_id", T.normalize_ws(T.html_to_text("html")).alias("text"))
 
 
@@ -235,7 +235,7 @@ def corpus(spark, sf_dir) -> DataFrame:
     """(doc_id, article = text, highlights = first sentence) from documents."""
     from precis.functions.sentences import split_sentences
 
-    d = table(spark, sf_dir, "documents")
+    d = sentences.spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select(
         "doc_id",
         F.col("text").alias("article"),
@@ -248,11 +248,11 @@ def q_corpus_scan(spark, sf_dir):
 
 
 def q_drop_blank(spark, sf_dir):
-    return R.drop_blank(R.clean_columns(corpus(spark, sf_dir)))
+    return R.drop_blank(R.clean_columns(corpus(spark, sf_dir), partitioned=True))
 
 
 def q_length_filter(spark, sf_dir):
-    return R.length_filter(R.drop_blank(R.clean_columns(corpus(spark, sf_dir))))
+    return R.length_filter(R.drop_blank(R.clean_columns(corpus(spark, sf_dir), partitioned=True)))
 
 
 def q_dedup_keep_first(spark, sf_dir):
