@@ -129,7 +129,9 @@ def score_token_pairs(toks: DataFrame, keys, ref_tokens: str = "ref_t", pred_tok
     """
     keys = list(keys)
     t = toks.select(*keys, ref_tokens, pred_tokens, lcs_length(F.col(ref_tokens), F.col(pred_tokens)).alias("lcs"))
-    wide = rouge_n(t.repartition(*keys), keys, ref_tokens, pred_tokens, carry=("lcs",))
+    from precis.operators.sentences import hash_partition
+
+    wide = rouge_n(hash_partition(t, *keys), keys, ref_tokens, pred_tokens, carry=("lcs",))
     lp, lr, lf = rouge_l_from(F.col("lcs"), F.col("rc1"), F.col("pc1"))
     return wide.select(
         *keys,

@@ -22,14 +22,28 @@ def with_sentences(df: DataFrame, text_col: str = "text", out: str = "sentences"
     return df.withColumn(out, split_sentences(text_col)).withColumn("n_sent", F.size(out))
 
 
+def hash_partition(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition into ``spark.sql.shuffle.partitions`` partitions.
+
+    The count is passed explicitly: the stages after this shuffle are
+    CPU-heavy text processing (regexes, stemming, kernels), and AQE would
+    otherwise coalesce a small shuffle into one or two partitions and run
+    them on one or two cores.  The count is still the cluster's setting.
+    """
+    n = df.sparkSession.conf.get("spark.sql.shuffle.partitions", None)
+    try:
+        return df.repartition(int(n), *cols)
+    except (TypeError, ValueError):
+        return df.repartition(*cols)
+
+
 def partition_by_doc(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The one shuffle of a summary job: co-locate each document's rows.
 
     Hash-partitioning on the id means every later window or aggregation keyed
-    by (id, ...) is already satisfied; the partition count comes from the
-    session (``spark.sql.shuffle.partitions``, coalesced by AQE).
+    by (id, ...) is already satisfied.
     """
-    return df.repartition(id_col)
+    return hash_partition(df, id_col)
 
 
 def spread(df: DataFrame, id_col: str) -> DataFrame:
@@ -41,7 +55,7 @@ def spread(df: DataFrame, id_col: str) -> DataFrame:
     """
     spark = df.sparkSession
     if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        return df.repartition(id_col)
+        return hash_partition(df, id_col)
     return df
 
 

@@ -55,12 +55,14 @@ def score_sentences(
     model=None,
     only_long: bool = True,
     carry_text: bool = False,
+    keep_top: int | None = None,
 ) -> DataFrame:
     """Sentence scores (id, n_sent, sent_idx, score[, sentence]) of one method.
 
     With ``only_long`` only documents with n > k are scored; the others (and,
     with ``carry_text``, empty documents as one null row) pass through so the
-    caller can assemble every summary from this one table.
+    caller can assemble every summary from this one table.  ``keep_top``
+    lets TextRank select its top rows inside the kernel.
     """
     k = resolve_k(k)
     min_sent = k + 1 if only_long else 1
@@ -73,7 +75,8 @@ def score_sentences(
     if method == "textrank":
         sent = sentence_table(docs, id_col, min_sent=0 if carry_text else min_sent, outer=carry_text)
         vec = sentence_vectors(sent, id_col, min_df=settings.min_df_hybrid, min_sent=min_sent, carry_text=carry_text)
-        tr = textrank_scores(vec, id_col, settings.damping, settings.tol, settings.max_iter, carry_text=carry_text)
+        tr = textrank_scores(vec, id_col, settings.damping, settings.tol, settings.max_iter, carry_text=carry_text,
+                             keep_top=keep_top)
         return tr.select(id_col, "n_sent", "sent_idx", F.col("textrank").alias("score"), *text)
     if method == "hybrid":
         from precis.operators.features import sentence_features
@@ -132,9 +135,12 @@ def summarize(
     docs = prepare_documents(df, text_col, id_col)
     if method == "lead":
         res = docs.select(id_col, F.col("n_sent").cast("int").alias("n_sent"), lead_k("sentences", k).alias(out))
-    elif method in ("tfidf", "textrank"):
+    elif method == "tfidf":
         scored = score_sentences(docs, method, k, id_col, settings, model, carry_text=True)
         res = collect_summaries(top_k(scored, k, id_col), id_col, out)
+    elif method == "textrank":
+        res = collect_summaries(score_sentences(docs, method, k, id_col, settings, model, carry_text=True, keep_top=k),
+                                id_col, out)
     else:
         selected = top_k(score_sentences(docs, method, k, id_col, settings, model), k, id_col)
         res = assemble(docs, selected, k, id_col, out).select(id_col, F.col("n_sent").cast("int").alias("n_sent"), out)
@@ -164,8 +170,10 @@ def summarize_side_by_side(
         if m == "lead":
             sent = sentence_table(docs, id_col, min_sent=0, outer=True)
             sel = sent.filter(F.col("sent_idx").isNull() | (F.col("sent_idx") < k))
-        elif m in ("tfidf", "textrank"):
+        elif m == "tfidf":
             sel = top_k(score_sentences(docs, m, k, id_col, settings, model, carry_text=True), k, id_col)
+        elif m == "textrank":
+            sel = score_sentences(docs, m, k, id_col, settings, model, carry_text=True, keep_top=k)
         else:
             raise ValueError("side-by-side supports tfidf, textrank and lead")
         sel = sel.select(id_col, F.col("n_sent").cast("int").alias("n_sent"), F.lit(m).alias("method"),

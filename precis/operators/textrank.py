@@ -164,7 +164,7 @@ def _batch_power_iteration(doc_ix, n_doc, node, cols, vals, n_nodes, damping, to
     return x, converged, done_at
 
 
-def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_text: bool):
+def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_text: bool, keep_top=None):
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -200,17 +200,25 @@ def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_
         )
         local = np.arange(n_nodes) - offset[node_doc]
         empty = (n_doc == 0)[node_doc]
+        sel = np.arange(n_nodes)
+        if keep_top is not None:
+            # same rule as select.top_k: score rounded to 9 digits desc, later sentence first
+            order = np.lexsort((-local, -np.round(x, 9), node_doc))
+            rank = np.empty(n_nodes, dtype=np.int64)
+            rank[order] = np.arange(n_nodes) - offset[node_doc[order]]
+            sel = np.flatnonzero(rank < keep_top)
+        nd = node_doc[sel]
         arrays = [
-            pa.array(docs[node_doc]), pa.array(n_doc[node_doc].astype(np.int32)),
-            pa.array(local.astype(np.int32), mask=empty), pa.array(np.where(empty, 0.0, x)),
-            pa.array(conv[node_doc]), pa.array(np.where(empty, 0, iters[node_doc]).astype(np.int32)),
+            pa.array(docs[nd]), pa.array(n_doc[nd].astype(np.int32)),
+            pa.array(local[sel].astype(np.int32), mask=empty[sel]), pa.array(np.where(empty, 0.0, x)[sel]),
+            pa.array(conv[nd]), pa.array(np.where(empty, 0, iters[node_doc])[sel].astype(np.int32)),
         ]
         if carry_text:
             sent = t.column("sentence")
             has = sent.is_valid().to_numpy(zero_copy_only=False)
             texts = np.full(n_nodes, None, dtype=object)
             texts[node_of_row[has]] = sent.filter(pa.array(has)).to_numpy(zero_copy_only=False)
-            arrays.append(pa.array(texts, type=pa.string()))
+            arrays.append(pa.array(texts[sel], type=pa.string()))
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches):
@@ -242,6 +250,7 @@ def textrank_scores(
     max_iter: int = C.DEFAULT.max_iter,
     carry_text: bool = False,
     partitioned: bool = True,
+    keep_top: int | None = None,
 ) -> DataFrame:
     """G2-G4 per document: (id, n_sent, sent_idx, textrank, converged, iterations[, sentence]).
 
@@ -254,6 +263,11 @@ def textrank_scores(
     a partition the rows are sorted by id (already the case after the
     per-sentence windows, so no extra sort), and ``mapInArrow`` solves all
     documents of an Arrow batch in one vectorised power iteration.
+
+    With ``keep_top=k`` only each document's k best sentences are emitted
+    (ranked like :func:`precis.operators.select.top_k`): the kernel's output
+    carries no partitioning, so selecting here means only k rows per
+    document — not every sentence and its text — cross the following shuffle.
     """
     cols = [id_col, "n_sent", "sent_idx", "term", "weight", *(["sentence"] if carry_text else [])]
     src = vectors.select(*cols)
@@ -261,7 +275,7 @@ def textrank_scores(
         src = src.repartition(id_col)
     # only non-zero weights and the one null-term row per sentence are needed
     src = src.filter((F.col("weight") != 0.0) | F.col("term").isNull())
-    fn, schema = _arrow_kernel(id_col, damping, tol, max_iter, carry_text)
+    fn, schema = _arrow_kernel(id_col, damping, tol, max_iter, carry_text, keep_top)
     from pyspark.sql.pandas.types import from_arrow_schema
 
     return src.sortWithinPartitions(id_col).mapInArrow(fn, from_arrow_schema(schema))
