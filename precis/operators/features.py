@@ -32,21 +32,32 @@ from precis.operators.tfidf import tfidf_scores
 FEATURES = ("tfidf", "textrank", "position", "length", "norm_length")
 
 
-def sentence_features(sent: DataFrame, id_col: str = "doc_id", settings: C.Settings = C.DEFAULT) -> DataFrame:
-    """M1: (id, sent_idx, n_sent, tfidf, textrank, position, length, norm_length)."""
-    tf = tfidf_scores(sent, id_col, min_df=settings.min_df_hybrid, max_df=settings.max_df, max_scaled=True)
+def sentence_features(sent: DataFrame, id_col: str = "doc_id", settings: C.Settings = C.DEFAULT,
+                      carry_text: bool = False) -> DataFrame:
+    """M1: (id, sent_idx, n_sent, tfidf, textrank, position, length, norm_length[, sentence]).
+
+    With ``carry_text`` the input is an outer sentence table (empty documents
+    as one null row) and the sentence text rides along, so summaries can be
+    assembled from this table alone; the two branches are joined null-safely
+    on the sentence index so those null rows survive.
+    """
+    tf = tfidf_scores(sent, id_col, min_df=settings.min_df_hybrid, max_df=settings.max_df, max_scaled=True,
+                      carry_text=carry_text)
     base = N.with_norm_lengths(N.with_positions(tf), id_col)
     vec = sentence_vectors(sent, id_col, min_df=settings.min_df_hybrid)
     tr = textrank_feature(textrank_scores(vec, id_col, settings.damping, settings.tol, settings.max_iter), id_col)
-    return base.join(tr.select(id_col, "sent_idx", "textrank_feature"), [id_col, "sent_idx"]).select(
+    tr = tr.select(F.col(id_col).alias("_tid"), F.col("sent_idx").alias("_tidx"), "textrank_feature")
+    cond = (F.col(id_col) == F.col("_tid")) & F.col("sent_idx").eqNullSafe(F.col("_tidx"))
+    return base.join(tr, cond).select(
         id_col,
         "sent_idx",
         "n_sent",
         F.col("score").alias("tfidf"),
         F.col("textrank_feature").alias("textrank"),
-        "position",
-        F.col("n_words").cast("double").alias("length"),
-        "norm_length",
+        F.coalesce(F.col("position"), F.lit(0.0)).alias("position"),
+        F.coalesce(F.col("n_words").cast("double"), F.lit(0.0)).alias("length"),
+        F.coalesce(F.col("norm_length"), F.lit(0.0)).alias("norm_length"),
+        *(["sentence"] if carry_text else []),
     )
 
 

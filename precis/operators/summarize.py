@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precis import config as C
-from precis.operators.select import assemble, lead_k, resolve_k, top_k
+from precis.operators.select import lead_k, resolve_k, top_k
 from precis.operators.sentences import partition_by_doc, sentence_table, with_sentences
 from precis.operators.tfidf import tfidf_scores
 from precis.operators.textrank import sentence_vectors, textrank_scores
@@ -84,9 +84,11 @@ def score_sentences(
 
         if model is None:
             raise RuntimeError("Model not trained. Train or load an importance model first.")
-        sent = sentence_table(docs, id_col, min_sent=min_sent)
-        feats = sentence_features(sent, id_col, settings)
-        return predict_importance(model, feats).select(id_col, "n_sent", "sent_idx", F.col("importance").alias("score"))
+        sent = sentence_table(docs, id_col, min_sent=0 if carry_text else min_sent, outer=carry_text)
+        feats = sentence_features(sent, id_col, settings, carry_text=carry_text)
+        return predict_importance(model, feats).select(
+            id_col, "n_sent", "sent_idx", F.col("importance").alias("score"), *text
+        )
     raise ValueError(method)
 
 
@@ -141,9 +143,9 @@ def summarize(
     elif method == "textrank":
         res = collect_summaries(score_sentences(docs, method, k, id_col, settings, model, carry_text=True, keep_top=k),
                                 id_col, out)
-    else:
-        selected = top_k(score_sentences(docs, method, k, id_col, settings, model), k, id_col)
-        res = assemble(docs, selected, k, id_col, out).select(id_col, F.col("n_sent").cast("int").alias("n_sent"), out)
+    else:  # hybrid: features (with text) -> importance -> top-k
+        scored = score_sentences(docs, method, k, id_col, settings, model, carry_text=True)
+        res = collect_summaries(top_k(scored, k, id_col), id_col, out)
     return _attach(res, df, id_col, keep).select(id_col, *keep, "n_sent", out)
 
 
