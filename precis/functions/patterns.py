@@ -55,6 +55,9 @@ PROTECT_MARK = "\u0001"
 BOUNDARY_MARK = "\u0002"
 ABBREV_ALT = "|".join(a.replace(".", "\\.") for a in C.ABBREVIATIONS)
 SENT_PROTECT = "(^|[ (])(" + ABBREV_ALT + "|\\p{Lu})\\. "
+# Java only: the same protection in one pass — the look-ahead leaves the space
+# for a neighbouring initial, which is why RE2 needs the two-pass form above
+J_SENT_PROTECT = "(^|[ (])(" + ABBREV_ALT + "|\\p{Lu})\\.(?= )"
 SENT_BANG = "([!?][\"')\\]]*) "
 SENT_DOT = "(\\.[\"')\\]]*) ([^\\p{Ll} ])"
 

@@ -4,15 +4,16 @@ On whitespace-normalised text:
 
 1. protect dots that do not end a sentence (a listed abbreviation or a single
    capital letter, preceded by start/space/'(' and followed by a space) by
-   turning them into a marker — twice, because one pass consumes the space a
-   neighbouring initial needs;
+   turning them into a marker (Java: one pass with a look-ahead; RE2, which
+   has none, needs two consuming passes for the same result);
 2. a run of ``!``/``?`` (plus closing quotes/brackets) followed by a space is a
    boundary;
 3. a ``.`` (plus closers) followed by a space and a character that is not a
    lower-case letter is a boundary;
 4. restore protected dots and split on the boundary marker.
 
-Only markers, no look-arounds: the same steps run in Spark and in RE2.
+Markers rather than look-arounds, so RE2 (the DuckDB oracle) can run the
+same steps.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from precis.functions.text import _c, normalize_ws
 
 def mark_boundaries(normalized) -> Column:
     c = _c(normalized)
-    protect_repl = "$1$2" + P.PROTECT_MARK + " "
-    c = F.regexp_replace(c, P.SENT_PROTECT, protect_repl)
-    c = F.regexp_replace(c, P.SENT_PROTECT, protect_repl)
+    # one look-ahead pass == the two consuming passes of the RE2 form
+    c = F.regexp_replace(c, P.J_SENT_PROTECT, "$1$2" + P.PROTECT_MARK)
     c = F.regexp_replace(c, P.SENT_BANG, "$1" + P.BOUNDARY_MARK)
     c = F.regexp_replace(c, P.SENT_DOT, "$1" + P.BOUNDARY_MARK + "$2")
     return F.replace(c, F.lit(P.PROTECT_MARK), F.lit("."))
