@@ -168,7 +168,19 @@ def summarize_side_by_side(
     k = resolve_k(k)
     docs = prepare_documents(df, text_col, id_col)
     picks = None
-    for m in methods:
+    if set(methods) <= {"tfidf", "textrank", "lead"}:
+        # one branch: one term stream (TF-IDF score + TextRank vectors) and
+        # one kernel pass that selects the top rows of every method
+        from precis.operators.tfidf import scoring_stream
+
+        sent = sentence_table(docs, id_col, min_sent=0, outer=True)
+        stream = scoring_stream(sent, id_col, settings, min_sent=k + 1)
+        picks = textrank_scores(stream, id_col, settings.damping, settings.tol, settings.max_iter,
+                                keep_top=k, emit=tuple(methods), extra=("tfidf",))
+        methods_iter = ()
+    else:
+        methods_iter = methods
+    for m in methods_iter:
         if m == "lead":
             sent = sentence_table(docs, id_col, min_sent=0, outer=True)
             sel = sent.filter(F.col("sent_idx").isNull() | (F.col("sent_idx") < k))

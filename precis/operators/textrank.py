@@ -164,7 +164,8 @@ def _batch_power_iteration(doc_ix, n_doc, node, cols, vals, n_nodes, damping, to
     return x, converged, done_at
 
 
-def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_text: bool, keep_top=None):
+def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_text: bool, keep_top=None,
+                  emit=None):
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -174,6 +175,9 @@ def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_
     ]
     if carry_text:
         out_fields.append(pa.field("sentence", pa.string()))
+    if emit is not None:  # multi-method selection: (id, n_sent, method, sent_idx, sentence)
+        out_fields = [pa.field(id_col, pa.int64()), pa.field("n_sent", pa.int32()), pa.field("method", pa.string()),
+                      pa.field("sent_idx", pa.int32()), pa.field("sentence", pa.string())]
     schema = pa.schema(out_fields)
 
     def solve(t: "pa.Table") -> "pa.RecordBatch":
@@ -200,13 +204,44 @@ def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_
         )
         local = np.arange(n_nodes) - offset[node_doc]
         empty = (n_doc == 0)[node_doc]
-        sel = np.arange(n_nodes)
-        if keep_top is not None:
+
+        def top(score):
             # same rule as select.top_k: score rounded to 9 digits desc, later sentence first
-            order = np.lexsort((-local, -np.round(x, 9), node_doc))
+            order = np.lexsort((-local, -np.round(score, 9), node_doc))
             rank = np.empty(n_nodes, dtype=np.int64)
             rank[order] = np.arange(n_nodes) - offset[node_doc[order]]
-            sel = np.flatnonzero(rank < keep_top)
+            return np.flatnonzero(rank < keep_top)
+
+        if emit is not None:
+            sent = t.column("sentence")
+            has = sent.is_valid().to_numpy(zero_copy_only=False)
+            texts = np.full(n_nodes, None, dtype=object)
+            texts[node_of_row[has]] = sent.filter(pa.array(has)).to_numpy(zero_copy_only=False)
+            per_node = {}
+            for name in emit:
+                if name == "textrank":
+                    per_node[name] = top(x)
+                elif name == "lead":
+                    per_node[name] = np.flatnonzero(local < keep_top)
+                else:  # a score column carried on the one text row of each sentence
+                    col = t.column(name).fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+                    vals = np.zeros(n_nodes)
+                    vals[node_of_row[has]] = col[has]
+                    per_node[name] = top(vals)
+            parts = [(m, idx) for m, idx in per_node.items()]
+            sel_all = np.concatenate([idx for _, idx in parts])
+            meth = np.concatenate([np.full(len(idx), m, dtype=object) for m, idx in parts])
+            nd = node_doc[sel_all]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(docs[nd]), pa.array(n_doc[nd].astype(np.int32)), pa.array(meth, type=pa.string()),
+                 pa.array(local[sel_all].astype(np.int32), mask=empty[sel_all]),
+                 pa.array(texts[sel_all], type=pa.string())],
+                schema=schema,
+            )
+
+        sel = np.arange(n_nodes)
+        if keep_top is not None:
+            sel = top(x)
         nd = node_doc[sel]
         arrays = [
             pa.array(docs[nd]), pa.array(n_doc[nd].astype(np.int32)),
@@ -251,6 +286,8 @@ def textrank_scores(
     carry_text: bool = False,
     partitioned: bool = True,
     keep_top: int | None = None,
+    emit=None,
+    extra=(),
 ) -> DataFrame:
     """G2-G4 per document: (id, n_sent, sent_idx, textrank, converged, iterations[, sentence]).
 
@@ -269,13 +306,13 @@ def textrank_scores(
     carries no partitioning, so selecting here means only k rows per
     document — not every sentence and its text — cross the following shuffle.
     """
-    cols = [id_col, "n_sent", "sent_idx", "term", "weight", *(["sentence"] if carry_text else [])]
+    cols = [id_col, "n_sent", "sent_idx", "term", "weight", *(["sentence"] if carry_text or emit else []), *extra]
     src = vectors.select(*cols)
     if not partitioned:
         src = src.repartition(id_col)
     # only non-zero weights and the one null-term row per sentence are needed
     src = src.filter((F.col("weight") != 0.0) | F.col("term").isNull())
-    fn, schema = _arrow_kernel(id_col, damping, tol, max_iter, carry_text, keep_top)
+    fn, schema = _arrow_kernel(id_col, damping, tol, max_iter, carry_text, keep_top, emit)
     from pyspark.sql.pandas.types import from_arrow_schema
 
     return src.sortWithinPartitions(id_col).mapInArrow(fn, from_arrow_schema(schema))

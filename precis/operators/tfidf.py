@@ -141,3 +141,46 @@ def tfidf_scores(
         F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("no_vocabulary")).alias("status"),
         *(["sentence"] if carry_text else []),
     )
+
+
+def scoring_stream(sent: DataFrame, id_col: str = "doc_id", settings: C.Settings = C.DEFAULT,
+                   min_sent: int = 1) -> DataFrame:
+    """One term stream serving TF-IDF and TextRank together.
+
+    From a single tf aggregation and df window: the plain TF-IDF score
+    (min_df = settings.min_df_plain, on the text row of each sentence, with
+    the uniform fallback) and the L2-normalised min_df = 1 sentence vectors
+    (``term``/``weight``) that feed the TextRank kernel.  Rows: (id, n_sent,
+    sent_idx, term, weight, sentence, tfidf).
+    """
+    tf = term_freq(sent, id_col, min_sent, carry_text=True)
+    n = F.col("n_sent")
+    df_ = F.count("term").over(Window.partitionBy(id_col, "term"))
+    band = F.col("term").isNotNull() & (F.col("df") <= F.lit(float(settings.max_df)) * n)
+    idf = F.log((n + 1) / (F.col("df") + 1)) + 1.0
+    w = (
+        tf.withColumn("df", df_)
+        .withColumn("k2", band & (F.col("df") >= settings.min_df_plain))
+        .withColumn("k1", band & (F.col("df") >= settings.min_df_hybrid))
+        .withColumn("w2", F.when(F.col("k2"), F.col("tf") * idf).otherwise(F.lit(0.0)))
+        .withColumn("w1", F.when(F.col("k1"), F.col("tf") * idf).otherwise(F.lit(0.0)))
+    )
+    s_w = Window.partitionBy(id_col, "sent_idx")
+    w = (
+        w.withColumn("sw2", F.sum("w2").over(s_w))
+        .withColumn("sq2", F.sum(F.col("w2") * F.col("w2")).over(s_w))
+        .withColumn("any2", F.max(F.col("k2").cast("int")).over(s_w))
+        .withColumn("sq1", F.sum(F.col("w1") * F.col("w1")).over(s_w))
+    )
+    ok = F.max("any2").over(Window.partitionBy(id_col)) == 1
+    raw = F.when(F.col("sq2") > 0, F.col("sw2") / F.sqrt("sq2")).otherwise(F.lit(0.0)) / (F.col("n_words") + 1)
+    uniform = F.when(n > 0, F.lit(1.0) / n).otherwise(F.lit(0.0))
+    return w.select(
+        id_col,
+        "n_sent",
+        "sent_idx",
+        F.when(F.col("k1"), F.col("term")).alias("term"),
+        F.when(F.col("k1"), F.col("w1") / F.sqrt("sq1")).otherwise(F.lit(0.0)).alias("weight"),
+        "sentence",
+        F.when(ok, raw).otherwise(uniform).alias("tfidf"),
+    )
