@@ -78,3 +78,25 @@ def test_every_query_has_an_oracle_or_is_rows_only():
     rows_only = {"train_importance", "training_metrics", "predict_importance", "summaries_hybrid", "pagerank_embeddings"}
     q, o = set(ENTRY.queries()), set(ENTRY.oracle_sql())
     assert o <= q and q - o <= rows_only
+
+
+def test_kernels_run_without_package_on_worker_path(tmp_path):
+    """UDF/kernel code is pickled by value: a driver started elsewhere works."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.insert(0, {repo!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('N', E.queries()['summaries_textrank'](s, '/root/testdata/sf0.001').count(),"
+        " E.queries()['rouge_l'](s, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "N 200" in out.stdout, out.stderr[-2000:]
