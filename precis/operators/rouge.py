@@ -123,15 +123,15 @@ def rouge_l_from(lcs: Column, ref_len: Column, pred_len: Column):
 def score_token_pairs(toks: DataFrame, keys, ref_tokens: str = "ref_t", pred_tokens: str = "pred_t") -> DataFrame:
     """ROUGE-1/2/L of pairs of (stemmed) token arrays, in one branch.
 
-    The LCS (Arrow UDF) is computed per pair before the one repartition on
-    the pair key; it then rides through the n-gram aggregation as a grouping
-    key, so there is no join and no second pass over the tokens.
+    The LCS (Arrow UDF) is computed per pair and rides through the n-gram
+    aggregation as a grouping key, so there is no join and no second pass
+    over the tokens.  The UDF drops the partitioning, so the aggregation's
+    own exchange follows — after the map-side partial aggregate, which is
+    cheaper than re-shuffling the token arrays.
     """
     keys = list(keys)
     t = toks.select(*keys, ref_tokens, pred_tokens, lcs_length(F.col(ref_tokens), F.col(pred_tokens)).alias("lcs"))
-    from precis.operators.sentences import hash_partition
-
-    wide = rouge_n(hash_partition(t, *keys), keys, ref_tokens, pred_tokens, carry=("lcs",))
+    wide = rouge_n(t, keys, ref_tokens, pred_tokens, carry=("lcs",))
     lp, lr, lf = rouge_l_from(F.col("lcs"), F.col("rc1"), F.col("pc1"))
     return wide.select(
         *keys,
@@ -145,8 +145,12 @@ def score_token_pairs(toks: DataFrame, keys, ref_tokens: str = "ref_t", pred_tok
 
 def rouge_scores(df: DataFrame, keys, ref_col: str = "highlights", pred_col: str = "prediction") -> DataFrame:
     """Per pair: rouge_1, rouge_2, rouge_l F-measures (plus P/R of each)."""
+    from precis.operators.sentences import hash_partition
+
     keys = list(keys)
-    p = stemmed_tokens(df.select(*keys, ref_col, pred_col), ref_col, "ref_t")
+    # spread the pairs before the CPU-heavy stemming and LCS (an explicit
+    # partition count: AQE would coalesce a small shuffle onto one core)
+    p = stemmed_tokens(hash_partition(df.select(*keys, ref_col, pred_col), keys[0]), ref_col, "ref_t")
     p = stemmed_tokens(p, pred_col, "pred_t")
     return score_token_pairs(p, keys)
 
@@ -177,8 +181,12 @@ def compare_models(df: DataFrame, model_predictions: dict, ref_col: str = "highl
     stack = "stack({}, {}) as (model, prediction)".format(
         len(names), ", ".join(f"'{m}', `{c}`" for m, c in model_predictions.items())
     )
-    # the reference is tokenised and stemmed once, before the unpivot
-    ref = stemmed_tokens(df.select(id_col, ref_col, *model_predictions.values()), ref_col, "ref_t")
+    from precis.operators.sentences import hash_partition
+
+    # the reference is tokenised and stemmed once, before the unpivot; the
+    # pairs are spread by id first (see rouge_scores)
+    wide = hash_partition(df.select(id_col, ref_col, *model_predictions.values()), id_col)
+    ref = stemmed_tokens(wide, ref_col, "ref_t")
     long = stemmed_tokens(ref.select(id_col, "ref_t", F.expr(stack)), "prediction", "pred_t")
     s = score_token_pairs(long, [id_col, "model"])
     return s.groupBy("model").agg(
