@@ -57,6 +57,7 @@ class _Gen:
         return f"(list_transform([{expr}], lambda {v}: {inner}))[1]"
 
     def cv(self, w: str) -> str:
+        """Consonant/vowel pattern: 'c'/'v' per character (y by its left side)."""
         a, h = self.var("a"), self.var("h")
         step = (
             f"CASE WHEN {h} IN ('a','e','i','o','u') THEN 'v' "
@@ -64,8 +65,26 @@ class _Gen:
             f"ELSE 'c' END"
         )
         if self.d == "spark":
-            return f"aggregate(split({w}, ''), '', ({a}, {h}) -> concat({a}, {step}))"
-        return f"list_reduce(string_split({w}, ''), lambda {a}, {h}: {a} || ({step}), '')"
+            exact = f"aggregate(split({w}, ''), '', ({a}, {h}) -> concat({a}, {step}))"
+        else:
+            exact = f"list_reduce(string_split({w}, ''), lambda {a}, {h}: {a} || ({step}), '')"
+        # fast path: map letters, then settle each y from its left neighbour
+        # with non-overlapping passes (every pair settles >= 1 y of each run);
+        # a y left after two pairs (runs of 4+) takes the exact path above
+        g = "" if self.d == "spark" else ", 'g'"
+
+        def rr(x, pat, rep):
+            return f"regexp_replace({x}, '{pat}', '{rep}'{g})"
+
+        fast = rr(f"translate({w}, '{_LETTERS}', '{_CV_MAP}')", "^y", "c")
+        for _ in range(2):
+            fast = rr(rr(fast, "cy", "cv"), "vy", "vc")
+        return self.bind(fast, lambda v: f"CASE WHEN instr({v}, 'y') > 0 THEN {exact} ELSE {v} END")
+
+
+# letters and digits of ROUGE tokens -> v (a e i o u), y (resolved later), c
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+_CV_MAP = "".join("v" if ch in "aeiou" else "y" if ch == "y" else "c" for ch in _LETTERS)
 
 
 def _q(s: str) -> str:
