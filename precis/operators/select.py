@@ -1,14 +1,11 @@
-"""Top-k selection and summary assembly (K1-K6).
+"""Top-k selection (K1, K5, K6).
 
 ``top_k`` ranks sentences inside each document; Spark plans the
 ``row_number() <= k`` filter as a per-group limit (WindowGroupLimit) before
 the window, so at most k rows per document survive the sort.
 
-``assemble`` turns the selected indexes back into text at document level:
-the (<= k) selected indexes are collected per document and looked up in the
-document's sentence array, so sentence text is never carried through the
-scoring pipeline.  Both join sides descend from the same id-partitioned
-table, so the join on the id needs no exchange.
+Summary text is assembled by ``summarize.collect_summaries`` from the
+selected rows, which carry their sentence text.
 """
 
 from __future__ import annotations
@@ -43,28 +40,6 @@ def top_k(scores: DataFrame, k, id_col: str = "doc_id", score_col: str = "score"
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def assemble(
-    docs: DataFrame,
-    selected: DataFrame,
-    k,
-    id_col: str = "doc_id",
-    out: str = "summary",
-) -> DataFrame:
-    """K2-K4: selected sentences in document order, joined by one space.
-
-    ``docs`` carries (id, sentences, n_sent); documents with n <= k pass
-    through whole (K3), empty documents give '' (K4).
-    """
-    k = resolve_k(k)
-    picked = selected.groupBy(id_col).agg(F.sort_array(F.collect_list("sent_idx")).alias("_idx"))
-    joined = docs.join(picked, id_col, "left")
-    chosen = F.transform(F.col("_idx"), lambda i: F.element_at(F.col("sentences"), i + 1))
-    summary = F.when(F.col("n_sent") <= k, F.array_join("sentences", " ")).otherwise(
-        F.coalesce(F.array_join(chosen, " "), F.lit(""))
-    )
-    return joined.withColumn(out, summary).drop("_idx")
-
-
 def lead_k(sentences_col: str, k) -> Column:
     """K6: the first k sentences."""
     return F.array_join(F.slice(F.col(sentences_col), 1, resolve_k(k)), " ")

@@ -2,12 +2,15 @@
 
 Plan of ``summarize(df, method='tfidf')`` (one exchange in total):
 
-    scan(id, text) -> split sentences (narrow)
-      -> repartition(id)                           <- the only shuffle
-      -> [n > k] posexplode -> explode terms -> tf/df/score -> top-k
-      -> join back to the document on id (same partitioning: no exchange)
-
-Documents with n <= k skip scoring (K3); empty texts give '' (K4).
+    scan(id, text) -> hash-partition by id          <- the only shuffle
+      -> split sentences -> posexplode (outer) -> explode terms + one text
+         row per sentence -> tf / df / score (aggregates and windows keyed
+         by id) -> top-k (WindowGroupLimit) -> collect <= k rows per id
+
+No self-join: each sentence's text rides on its sentinel row.  TextRank runs
+the vectorised kernel and selects its top rows inside it; side-by-side
+summaries share one term stream and one kernel pass.  Documents with n <= k
+skip scoring (K3); empty texts give '' (K4).
 """
 
 from __future__ import annotations

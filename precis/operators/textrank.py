@@ -10,9 +10,10 @@ which costs O(non-zeros) per iteration and never forms a sentence pair.  The
 row sums d come from the same identity with y = 1.  Two executions of it:
 
 * ``textrank_scores`` — one graph per document.  A document is one input row,
-  so its term rows are bounded by its text; ``groupBy(id).applyInPandas`` runs
-  a numpy power iteration per document over the sparse term rows (the input
-  is already partitioned by the id: no exchange, only a sort).
+  so its term rows are bounded by its text.  ``mapInArrow`` runs one
+  vectorised numpy power iteration over all documents of an Arrow batch (the
+  input is already partitioned and sorted by the id: no exchange, no sort);
+  ``power_iteration`` is the same iteration for a single graph.
 * ``pagerank_groups`` — dense vectors whose graph is a whole group of any
   size (one group may hold a third of all rows).  The iteration is a Spark
   job: per-group vector sums (``Summarizer``, partial aggregation map-side),
@@ -37,9 +38,6 @@ from pyspark.sql import Window
 from precis import config as C
 from precis.operators.tfidf import tfidf_weights
 
-KERNEL_SCHEMA = "{id} long, n_sent int, sent_idx int, textrank double, converged boolean, iterations int"
-
-
 def sentence_vectors(sent: DataFrame, id_col: str = "doc_id", min_df: int = C.DEFAULT.min_df_hybrid,
                      min_sent: int = 1, carry_text: bool = False) -> DataFrame:
     """G1 (default provider): L2-normalised TF-IDF rows, zero for pruned terms.
@@ -90,39 +88,6 @@ def power_iteration(n, rows, cols, vals, damping, tol, max_iter):
     return x, tol == 0, it
 
 
-def _kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_text: bool = False):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = pdf[id_col].iloc[0]
-        n = int(pdf["n_sent"].iloc[0])
-        if n == 0 or pdf["sent_idx"].isna().all():  # empty document: one null row
-            out = pd.DataFrame({id_col: [doc], "n_sent": [n], "sent_idx": [None], "textrank": [0.0],
-                                "converged": [True], "iterations": [0]})
-            if carry_text:
-                out["sentence"] = [None]
-            return out
-        kept = pdf[pdf["weight"] != 0.0]
-        codes, _ = pd.factorize(kept["term"])
-        x, conv, iters = power_iteration(
-            n,
-            kept["sent_idx"].to_numpy(np.int64),
-            np.asarray(codes, np.int64),
-            kept["weight"].to_numpy(np.float64),
-            damping,
-            tol,
-            max_iter,
-        )
-        out = pd.DataFrame(
-            {id_col: doc, "n_sent": np.int32(n), "sent_idx": np.arange(n, dtype=np.int32), "textrank": x,
-             "converged": conv, "iterations": np.int32(iters)}
-        )
-        if carry_text:
-            texts = pdf.loc[pdf["sentence"].notna(), ["sent_idx", "sentence"]]
-            out["sentence"] = pd.Series(texts["sentence"].to_numpy(), index=texts["sent_idx"].astype(int)).reindex(range(n)).to_numpy()
-        return out
-
-    return run
-
-
 def _batch_power_iteration(doc_ix, n_doc, node, cols, vals, n_nodes, damping, tol, max_iter):
     """Power iteration of many independent document graphs at once.
 
