@@ -26,8 +26,7 @@ from precis import config as C
 from precis.functions.porter import rouge_stem_sql
 from precis.functions.tokens import rouge_tokens
 from precis.operators import sentences as N
-from precis.operators.textrank import sentence_vectors, textrank_feature, textrank_scores
-from precis.operators.tfidf import tfidf_scores
+from precis.operators.textrank import textrank_scores
 
 FEATURES = ("tfidf", "textrank", "position", "length", "norm_length")
 
@@ -36,27 +35,29 @@ def sentence_features(sent: DataFrame, id_col: str = "doc_id", settings: C.Setti
                       carry_text: bool = False) -> DataFrame:
     """M1: (id, sent_idx, n_sent, tfidf, textrank, position, length, norm_length[, sentence]).
 
-    With ``carry_text`` the input is an outer sentence table (empty documents
-    as one null row) and the sentence text rides along, so summaries can be
-    assembled from this table alone; the two branches are joined null-safely
-    on the sentence index so those null rows survive.
+    One branch: the shared term stream computes the max-scaled TF-IDF score
+    and the mean sentence length by windows, the TextRank kernel hands them
+    through next to the max-scaled TextRank it computes, and position and
+    normalised length are row arithmetic on its output.  With ``carry_text``
+    (outer sentence table) the text rides along and empty documents keep one
+    row of zeros.
     """
-    tf = tfidf_scores(sent, id_col, min_df=settings.min_df_hybrid, max_df=settings.max_df, max_scaled=True,
-                      carry_text=carry_text)
-    base = N.with_norm_lengths(N.with_positions(tf), id_col)
-    vec = sentence_vectors(sent, id_col, min_df=settings.min_df_hybrid)
-    tr = textrank_feature(textrank_scores(vec, id_col, settings.damping, settings.tol, settings.max_iter), id_col)
-    tr = tr.select(F.col(id_col).alias("_tid"), F.col("sent_idx").alias("_tidx"), "textrank_feature")
-    cond = (F.col(id_col) == F.col("_tid")) & F.col("sent_idx").eqNullSafe(F.col("_tidx"))
-    return base.join(tr, cond).select(
+    from precis.operators.tfidf import scoring_stream
+
+    stream = scoring_stream(sent, id_col, settings, min_sent=1, features=True)
+    k = textrank_scores(stream, id_col, settings.damping, settings.tol, settings.max_iter, carry_text=carry_text,
+                        passthrough=("tfidf_h", "n_words", "mean_len"))
+    pos = F.col("sent_idx") / F.greatest(F.col("n_sent") - 1, F.lit(1))
+    norm = F.col("n_words") / F.greatest(F.col("mean_len"), F.lit(1.0))
+    return k.select(
         id_col,
         "sent_idx",
         "n_sent",
-        F.col("score").alias("tfidf"),
-        F.col("textrank_feature").alias("textrank"),
-        F.coalesce(F.col("position"), F.lit(0.0)).alias("position"),
-        F.coalesce(F.col("n_words").cast("double"), F.lit(0.0)).alias("length"),
-        F.coalesce(F.col("norm_length"), F.lit(0.0)).alias("norm_length"),
+        F.coalesce(F.col("tfidf_h"), F.lit(0.0)).alias("tfidf"),
+        F.coalesce(F.col("textrank_feature"), F.lit(0.0)).alias("textrank"),
+        F.coalesce(pos, F.lit(0.0)).alias("position"),
+        F.coalesce(F.col("n_words"), F.lit(0.0)).alias("length"),
+        F.coalesce(norm, F.lit(0.0)).alias("norm_length"),
         *(["sentence"] if carry_text else []),
     )
 

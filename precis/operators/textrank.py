@@ -130,7 +130,7 @@ def _batch_power_iteration(doc_ix, n_doc, node, cols, vals, n_nodes, damping, to
 
 
 def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_text: bool, keep_top=None,
-                  emit=None):
+                  emit=None, passthrough=()):
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -140,6 +140,9 @@ def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_
     ]
     if carry_text:
         out_fields.append(pa.field("sentence", pa.string()))
+    if passthrough:  # per-sentence values handed through, plus the G5/G6 feature
+        out_fields += [pa.field(c, pa.float64()) for c in passthrough]
+        out_fields.append(pa.field("textrank_feature", pa.float64()))
     if emit is not None:  # multi-method selection: (id, n_sent, method, sent_idx, sentence)
         out_fields = [pa.field(id_col, pa.int64()), pa.field("n_sent", pa.int32()), pa.field("method", pa.string()),
                       pa.field("sent_idx", pa.int32()), pa.field("sentence", pa.string())]
@@ -219,6 +222,18 @@ def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_
             texts = np.full(n_nodes, None, dtype=object)
             texts[node_of_row[has]] = sent.filter(pa.array(has)).to_numpy(zero_copy_only=False)
             arrays.append(pa.array(texts[sel], type=pa.string()))
+        if passthrough:
+            # window values are equal on every row of a sentence: any row will do
+            for c in passthrough:
+                vals = np.zeros(n_nodes)
+                vals[node_of_row] = t.column(c).fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64)
+                arrays.append(pa.array(vals[sel]))
+            # / max over the document when > 0; not converged -> 1/n
+            mx = np.maximum.reduceat(x, offset) if n_nodes else np.zeros(0)
+            mxn = mx[node_doc]
+            feat = np.where(mxn > 0, x / np.where(mxn > 0, mxn, 1.0), x)
+            feat = np.where(conv[node_doc], feat, 1.0 / np.maximum(n_doc, 1)[node_doc])
+            arrays.append(pa.array(np.where(empty, 0.0, feat)[sel]))
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches):
@@ -253,6 +268,7 @@ def textrank_scores(
     keep_top: int | None = None,
     emit=None,
     extra=(),
+    passthrough=(),
 ) -> DataFrame:
     """G2-G4 per document: (id, n_sent, sent_idx, textrank, converged, iterations[, sentence]).
 
@@ -271,13 +287,14 @@ def textrank_scores(
     carries no partitioning, so selecting here means only k rows per
     document — not every sentence and its text — cross the following shuffle.
     """
-    cols = [id_col, "n_sent", "sent_idx", "term", "weight", *(["sentence"] if carry_text or emit else []), *extra]
+    cols = [id_col, "n_sent", "sent_idx", "term", "weight", *(["sentence"] if carry_text or emit else []),
+            *extra, *passthrough]
     src = vectors.select(*cols)
     if not partitioned:
         src = src.repartition(id_col)
     # only non-zero weights and the one null-term row per sentence are needed
     src = src.filter((F.col("weight") != 0.0) | F.col("term").isNull())
-    fn, schema = _arrow_kernel(id_col, damping, tol, max_iter, carry_text, keep_top, emit)
+    fn, schema = _arrow_kernel(id_col, damping, tol, max_iter, carry_text, keep_top, emit, tuple(passthrough))
     from pyspark.sql.pandas.types import from_arrow_schema
 
     return src.sortWithinPartitions(id_col).mapInArrow(fn, from_arrow_schema(schema))

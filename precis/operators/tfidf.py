@@ -144,14 +144,17 @@ def tfidf_scores(
 
 
 def scoring_stream(sent: DataFrame, id_col: str = "doc_id", settings: C.Settings = C.DEFAULT,
-                   min_sent: int = 1) -> DataFrame:
+                   min_sent: int = 1, features: bool = False) -> DataFrame:
     """One term stream serving TF-IDF and TextRank together.
 
     From a single tf aggregation and df window: the plain TF-IDF score
     (min_df = settings.min_df_plain, on the text row of each sentence, with
     the uniform fallback) and the L2-normalised min_df = 1 sentence vectors
     (``term``/``weight``) that feed the TextRank kernel.  Rows: (id, n_sent,
-    sent_idx, term, weight, sentence, tfidf).
+    sent_idx, term, weight, sentence, tfidf).  With ``features`` also the
+    max-scaled min_df = 1 score ``tfidf_h`` (F7/F8), ``n_words`` and the
+    document's mean sentence length ``mean_len`` (N4), all by windows keyed
+    by the id, equal on every row of a sentence.
     """
     tf = term_freq(sent, id_col, min_sent, carry_text=True)
     n = F.col("n_sent")
@@ -172,6 +175,25 @@ def scoring_stream(sent: DataFrame, id_col: str = "doc_id", settings: C.Settings
         .withColumn("any2", F.max(F.col("k2").cast("int")).over(s_w))
         .withColumn("sq1", F.sum(F.col("w1") * F.col("w1")).over(s_w))
     )
+    extra = []
+    if features:
+        doc = Window.partitionBy(id_col)
+        w = (
+            w.withColumn("sw1", F.sum("w1").over(s_w))
+            .withColumn("any1", F.max(F.col("k1").cast("int")).over(s_w))
+            .withColumn("raw1", F.when(F.col("sq1") > 0, F.col("sw1") / F.sqrt("sq1")).otherwise(F.lit(0.0))
+                        / (F.col("n_words") + 1))
+            .withColumn("mx1", F.max("raw1").over(doc))
+            .withColumn("ok1", F.max("any1").over(doc) == 1)
+            .withColumn("mean_len", F.sum(F.when(F.col("sentence").isNotNull(), F.col("n_words"))).over(doc)
+                        / F.greatest(n, F.lit(1)))
+        )
+        scaled = F.when(F.col("mx1") > 0, F.col("raw1") / F.col("mx1")).otherwise(F.col("raw1"))
+        extra = [
+            F.when(F.col("ok1"), scaled).otherwise(F.when(n > 0, F.lit(1.0) / n).otherwise(F.lit(0.0))).alias("tfidf_h"),
+            F.col("n_words").cast("double").alias("n_words"),
+            F.col("mean_len").cast("double").alias("mean_len"),
+        ]
     ok = F.max("any2").over(Window.partitionBy(id_col)) == 1
     raw = F.when(F.col("sq2") > 0, F.col("sw2") / F.sqrt("sq2")).otherwise(F.lit(0.0)) / (F.col("n_words") + 1)
     uniform = F.when(n > 0, F.lit(1.0) / n).otherwise(F.lit(0.0))
@@ -183,4 +205,5 @@ def scoring_stream(sent: DataFrame, id_col: str = "doc_id", settings: C.Settings
         F.when(F.col("k1"), F.col("w1") / F.sqrt("sq1")).otherwise(F.lit(0.0)).alias("weight"),
         "sentence",
         F.when(ok, raw).otherwise(uniform).alias("tfidf"),
+        *extra,
     )
