@@ -100,3 +100,9 @@ def test_kernels_run_without_package_on_worker_path(tmp_path):
     out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env, capture_output=True,
                          text=True, timeout=600)
     assert "N 200" in out.stdout, out.stderr[-2000:]
+
+
+def test_side_by_side_reads_its_input_once(spark):
+    p = plan(ENTRY.queries()["summaries_side_by_side"](spark, SF))
+    assert p.count("FileScan parquet") == 1 and "Join" not in p
+    assert p.count("MapInArrow") == 1
