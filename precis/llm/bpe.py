@@ -91,39 +91,33 @@ def encode(text: Column, vocab: Vocabulary) -> Column:
     def ids(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = vocab.encoding()
         for a in it:
-            parts = []
             for i in range(0, len(a), BATCH):
                 rows = [encode_text(enc, t or "") for t in a.slice(i, BATCH).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows))))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
 
     return ids(text)
 
 
 def decode(ids: Column, vocab: Vocabulary) -> Column:
-    """The bytes of an array of ids; null ids give null."""
+    """struct<raw: binary, packed: binary> of an array of ids; null ids give nulls.
 
-    @F.arrow_udf("binary")
-    def raw(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = vocab.encoding()
-        for a in it:
-            yield pa.array([None if not r.is_valid else enc.decode_bytes(r.values.to_pylist()) for r in a], pa.binary())
-
-    return raw(ids)
-
-
-def pack_ids(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers; null ids give null."""
+    ``raw``: the bytes that the ids stand for.  ``packed``: the ids as little-endian
+    unsigned 32-bit integers.
+    """
 
-    @F.arrow_udf("binary")
-    def packed(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<raw:binary,packed:binary>")
+    def decoded(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = vocab.encoding()
         for a in it:
-            yield pa.array([
-                None if not r.is_valid else r.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for r in a
-            ], pa.binary())
+            for i in range(0, len(a), BATCH):
+                rows = [r.values.to_numpy(zero_copy_only=False) if r.is_valid else None for r in a.slice(i, BATCH)]
+                yield pa.StructArray.from_arrays([
+                    pa.array([None if r is None else enc.decode_bytes(r.tolist()) for r in rows], pa.binary()),
+                    pa.array([None if r is None else r.astype("<u4").tobytes() for r in rows], pa.binary()),
+                ], ["raw", "packed"])
 
-    return packed(ids)
+    return decoded(ids)
 
 
 def unpack_ids(data: bytes) -> list[int]:

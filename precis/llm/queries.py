@@ -50,11 +50,9 @@ def op4_packing(spark, sf_dir):
 def op5_bpe(spark, sf_dir):
     vocab = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), vocab).alias("ids"))
-    return ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(bpe.pack_ids(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), vocab), 256).alias("decoded_sha256"),
-    )
+    both = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.decode(F.col("ids"), vocab).alias("d"))
+    return both.select(
+        "doc_id", "n_tokens", F.sha2(F.col("d.packed"), 256).alias("ids_sha256"), F.sha2(F.col("d.raw"), 256).alias("decoded_sha256"))
 
 
 def op6_quality(spark, sf_dir):
