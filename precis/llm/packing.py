@@ -116,9 +116,10 @@ def pack_documents(docs: DataFrame, doc_id: str, length: Column, cfg: PackConfig
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        rows = pa.Table.from_batches(list(it))
-        if rows.num_rows == 0:
+        parts = [b for b in it if b.num_rows]
+        if not parts:
             return
+        rows = pa.Table.from_batches(parts)
         # an order of its own, so that a repeated task packs alike
         rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("n_tokens", "ascending")])
         where, offset, cap = pack(rows.column("n_tokens").to_numpy(), cfg)
