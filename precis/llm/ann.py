@@ -27,8 +27,8 @@ from precis.llm import vectors
 class ForestConfig:
     trees: int = 48
     bits: int = 24  # of the hash strings, at most the dimension + 1
-    share: float = 0.55  # candidates (over all trees, repeats counted) as a share of the shard
-    least: int = 400  # candidates at least
+    share: float = 0.8  # candidates (over all trees, repeats counted) as a share of the shard
+    least: int = 2_000  # candidates at least
     shard_rows: int = 16_384
     block_rows: int = 4_096  # queries of a block
     spare: int = 8  # kept from each range beyond k, for the exact order
