@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from precis.llm import common
+
 
 @dataclass(frozen=True)
 class ExtractConfig:
@@ -187,27 +189,22 @@ def learn(pages: list[str], cfg: ExtractConfig = DEFAULT) -> Weights:
         if not any(x[4] for x in parts):
             continue
         for kind, what, place, out, main in parts:
-            inside = main and not out
+            if out:
+                continue  # scores nothing in any page
             if kind == "tag":
-                tag[what, inside] += 1
+                tag[what, main] += 1
             elif n := len(what.split()):
-                word[place, inside] += n
-                word[inside, inside] += n
+                word[place, main] += n
+                word[main, main] += n
     w = Weights()
-    total = {inside: sum(n for (p, i), n in word.items() if i == inside and p == inside) for inside in (True, False)}
-    if not total[True]:
+    if not word[True, True]:
         return w
-
-    def odds(counts, key):
-        a = (counts[key, True] + cfg.smooth) / (total[True] + 2 * cfg.smooth)
-        b = (counts[key, False] + cfg.smooth) / (total[False] + 2 * cfg.smooth)
-        return math.log(a / b)
-
-    places = {p for p, _ in word}
-    w.words = {p: max(-1.0, min(1.0, odds(word, p) / 2)) for p in places}
+    w.words = {
+        p: max(-1.0, min(1.0, math.log((word[p, True] + cfg.smooth) / (word[p, False] + cfg.smooth)) / 2)) for p, _ in list(word)
+    }
     # a tag costs what its share outside of articles says, next to nothing if it belongs to running text
     w.tags = {
-        t: -0.001 - cfg.tag_cost * (tag[t, False] + 0.01) / (tag[t, True] + tag[t, False] + 0.02) for t in {t for t, _ in tag}
+        t: -0.001 - cfg.tag_cost * (tag[t, False] + 0.01) / (tag[t, True] + tag[t, False] + 0.02) for t, _ in list(tag)
     }
     return w
 
@@ -266,7 +263,7 @@ def main_text(html: Column, weights: Weights) -> Column:
 
     @F.arrow_udf("string")
     def text_of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in it:
+        for a in common.portions(it):
             yield pa.array([extract(p, weights) if p else "" for p in a.to_pylist()], pa.string())
 
     return text_of(html)
