@@ -335,7 +335,8 @@ def lookup(spark: SparkSession, capture: Capture, keys: DataFrame, payloads: boo
     both = directory.withColumn("key", F.lit(None).cast("string")).select(*cols).unionByName(
         asked.select("part", "key"), allowMissingColumns=True)
     order = ["part", F.col("key").asc_nulls_first(), "first", "at"]
-    return both.repartition("part").sortWithinPartitions(*order).select(*cols).mapInArrow(read, CAPTURES)
+    # a stated number: the rows are small, but each stands for the records that it makes a task read
+    return both.repartition(max(1, len(ranges)), "part").sortWithinPartitions(*order).select(*cols).mapInArrow(read, CAPTURES)
 
 
 def keys_of(url: Column) -> Column:
