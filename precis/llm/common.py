@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +64,13 @@ def texts_of(array: pa.Array) -> list[str]:
     return [t or "" for t in array.to_pylist()]
 
 
+def portions(it: Iterator[pa.Array], rows: int = 512) -> Iterator[pa.Array]:
+    """The Arrow arrays of an iterator UDF in portions, so that few rows at once become Python objects."""
+    for a in it:
+        for i in range(0, len(a), rows):
+            yield a.slice(i, rows)
+
+
 def slices(batch_rows: int, sizes, max_size: int):
     """(start, end) row ranges whose sizes sum to at most ``max_size``; a larger row stands alone."""
     start, total = 0, 0

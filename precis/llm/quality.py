@@ -36,7 +36,7 @@ class QualityConfig:
     l2: float = 1e-5
     seed: int = 11
     prior: float = 1.0  # score of every text when there is nothing to learn from
-    block: int = 1 << 19  # characters that are worked on at once
+    block: int = 1 << 17  # characters that are worked on at once
 
 
 DEFAULT = QualityConfig()
@@ -189,7 +189,7 @@ def score(text: Column, model: QualityModel) -> Column:
 
     @F.arrow_udf("double")
     def quality(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in it:
+        for a in common.portions(it):
             yield pa.array(shared["model"].score(common.texts_of(a)))
 
     return quality(text)

@@ -43,7 +43,7 @@ class ToxicityConfig:
     scale: float = 10.0  # of the mean before the softmax
     seed: int = 7
     prior: float = 0.0  # score of every text when there is nothing to learn from
-    block: int = 1 << 19  # characters that are worked on at once
+    block: int = 1 << 17  # characters that are worked on at once
 
 
 DEFAULT = ToxicityConfig()
@@ -228,7 +228,7 @@ def score(text: Column, model: ToxicityModel) -> Column:
 
     @F.arrow_udf("double")
     def toxicity(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in it:
+        for a in common.portions(it):
             yield pa.array(shared["model"].score(common.texts_of(a)))
 
     return toxicity(text)
