@@ -30,6 +30,8 @@ HEADLINE = (
     "html_to_text",
     "compare_models",
     "training_set",
+    "train_importance",
+    "summaries_hybrid",
 )
 
 

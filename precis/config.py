@@ -46,9 +46,6 @@ class Settings:
     random_state: int = 42
     hidden_layers: tuple = (64, 32)
 
-    # evaluation
-    eval_sample_size: int = 500
-
     # logs (T15)
     preview_chars: int = 100
 
@@ -97,18 +94,6 @@ ABBREVIATIONS = (
     "No",
 )
 
-# HTML named entities decoded by the HTML-to-text step (T2); ``&amp;`` is
-# decoded last so that ``&amp;lt;`` becomes ``&lt;`` (one decode only).
-HTML_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&pound;", "£"),
-    ("&yen;", "¥"), ("&cent;", "¢"), ("&sect;", "§"), ("&deg;", "°"),
-    ("&times;", "×"), ("&divide;", "÷"), ("&bull;", "•"),
-)
-
 # Porter stemmer irregular forms (NLTK extension mode): form -> stem.
 STEM_IRREGULAR = (
     ("skies", "sky"), ("sky", "sky"), ("dying", "die"), ("lying", "lie"),
@@ -121,6 +106,13 @@ STEM_IRREGULAR = (
 MODEL_NAMES = {"tfidf": "TF-IDF", "textrank": "TextRank", "hybrid": "Hybrid DL", "lead": "Lead"}
 
 
+def html_entities() -> dict[str, str]:
+    """HTML 5 names with their characters, from the standard library's table (names that end in a semicolon)."""
+    from html.entities import html5
+
+    return {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+
+
 @functools.lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
     """Spark ML's default English stop-word list, read from the Spark jar.

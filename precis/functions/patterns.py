@@ -46,13 +46,14 @@ WORD = C.NON_WS + "+"
 
 HTML_COMMENT = "(?s)<!--.*?-->"
 HTML_BLOCKS = tuple(
-    f"(?is)<{tag}(?:[^>a-zA-Z0-9][^>]*)?>.*?</{tag}[^>]*>" for tag in ("script", "style", "template")
+    f"(?is)<{tag}(?:[^>a-zA-Z0-9][^>]*)?>.*?(?:</{tag}[^>]*>|\\z)" for tag in ("script", "style", "template")
 )
 HTML_TAG = "<[!/?a-zA-Z][^>]*>"
 
 # Sentence splitter (N1): markers instead of look-arounds so both engines agree.
-PROTECT_MARK = "\u0001"
-BOUNDARY_MARK = "\u0002"
+# normalised text has no white space but single blanks, so these cannot occur in it
+PROTECT_MARK = "\t"
+BOUNDARY_MARK = "\n"
 ABBREV_ALT = "|".join(a.replace(".", "\\.") for a in C.ABBREVIATIONS)
 SENT_PROTECT = "(^|[ (])(" + ABBREV_ALT + "|\\p{Lu})\\. "
 # Java only: the same protection in one pass — the look-ahead leaves the space

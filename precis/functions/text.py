@@ -6,6 +6,8 @@ so they run inside whole-stage code generation and never leave the JVM.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,40 +24,48 @@ def coerce_text(col) -> Column:
     return F.coalesce(_c(col).cast("string"), F.lit(""))
 
 
-def decode_numeric_entities(col) -> Column:
-    """Decode ``&#NNN;`` / ``&#xHH;`` entities (any code point, no UDF)."""
+def decode_entities(col) -> Column:
+    """Decode every HTML character reference that ends in a semicolon, once, in one pass.
+
+    ``&#NNN;`` and ``&#xHH;`` with any number of digits; what is no character (zero,
+    a surrogate, beyond U+10FFFF) becomes U+FFFD, as in an HTML parser.  Names are
+    those of HTML 5; an unknown one stays as it is.
+    """
     c = _c(col)
+    names = F.from_json(F.lit(json.dumps(C.html_entities())), "map<string,string>")  # folded to a literal
 
     def piece(p, i):
-        dec = F.regexp_extract(p, r"^([0-9]{1,7});", 1)
-        hx = F.regexp_extract(p, r"^[xX]([0-9a-fA-F]{1,6});", 1)
-        from_dec = F.decode(F.unhex(F.lpad(F.hex(dec.cast("int")), 8, "0")), "UTF-32")
-        from_hex = F.decode(F.unhex(F.lpad(hx, 8, "0")), "UTF-32")
+        num = F.regexp_extract(p, r"^#([0-9]+|[xX][0-9a-fA-F]+);", 1)
+        dec, hx = F.regexp_replace(num, "^0+", ""), F.regexp_replace(num, "^[xX]0*", "")
+        code = F.when(num.rlike("^[xX]"), F.when(F.length(hx) <= 6, F.conv(hx, 16, 10).try_cast("int"))).otherwise(
+            F.when(F.length(dec) <= 7, dec.try_cast("int")))
+        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.coalesce(F.when(good, code), F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        name = F.try_element_at(names, F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1))
+        rest = F.substring(p, F.instr(p, ";") + 1, F.length(p))
         return (
             F.when(i == 0, p)
-            .when(dec != "", F.concat(from_dec, F.regexp_replace(p, r"^[0-9]{1,7};", "")))
-            .when(hx != "", F.concat(from_hex, F.regexp_replace(p, r"^[xX][0-9a-fA-F]{1,6};", "")))
-            .otherwise(F.concat(F.lit("&#"), p))
+            .when(num != "", F.concat(char, rest))
+            .when(name.isNotNull(), F.concat(name, rest))
+            .otherwise(F.concat(F.lit("&"), p))
         )
 
-    return F.when(F.instr(c, "&#") > 0, F.array_join(F.transform(F.split(c, "&#"), piece), "")).otherwise(c)
+    return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(F.split(c, "&"), piece), "")).otherwise(c)
 
 
 def html_to_text(col) -> Column:
     """Drop comments, script/style/template blocks and tags; decode entities.
 
-    Tags become a space (text nodes joined by " "); entities are decoded after
-    the tags are gone, ``&amp;`` last, so decoded ``<`` is never re-parsed.
+    A block without its end tag runs to the end of the text.  Tags become a space
+    (text nodes joined by " "); entities are decoded after the tags are gone, once,
+    so a decoded ``<`` or ``&`` is never read again.
     """
     c = _c(col)
     c = F.regexp_replace(c, P.HTML_COMMENT, " ")
     for block in P.HTML_BLOCKS:
         c = F.regexp_replace(c, block, " ")
     c = F.regexp_replace(c, P.HTML_TAG, " ")
-    c = decode_numeric_entities(c)
-    for ent, ch in C.HTML_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    return decode_entities(c)
 
 
 def strip_urls(col) -> Column:

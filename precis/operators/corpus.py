@@ -27,7 +27,7 @@ def require_columns(df: DataFrame, cols=REQUIRED) -> None:
     """Raise at plan time when a required column is missing."""
     for c in cols:
         if c not in df.columns:
-            raise ValueError(f"Column '{c}' not found in the dataset.")
+            raise ValueError(f"the corpus lacks its column {c!r}")
 
 
 def clean_columns(df: DataFrame, id_col: str = "doc_id", partitioned: bool = False) -> DataFrame:

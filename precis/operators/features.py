@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precis import config as C
+from precis.functions.text import normalize_ws
 from precis.functions.porter import rouge_stem_sql
 from precis.functions.tokens import rouge_tokens
 from precis.operators import sentences as N
@@ -116,7 +117,7 @@ def training_set(pairs: DataFrame, id_col: str = "doc_id", text_col: str = "arti
     from precis.operators.summarize import prepare_documents
 
     usable = pairs.filter(
-        (F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "") & (F.trim(F.coalesce(F.col(summary_col), F.lit(""))) != "")
+        (normalize_ws(text_col) != "") & (normalize_ws(summary_col) != "")
     )
     docs = prepare_documents(usable, text_col, id_col, keep=(summary_col,))
     sent = N.sentence_table(docs, id_col)

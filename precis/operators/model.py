@@ -46,7 +46,7 @@ class ImportanceModel:
 
     def _check(self):
         if not self.is_trained:
-            raise RuntimeError("Model not trained. Please train the model first.")
+            raise RuntimeError("no importance model: train one or load one")
 
     # --- M12 -----------------------------------------------------------------
     def transform(self, feats: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ class ImportanceModel:
     # --- S10 / S8 --------------------------------------------------------------
     def save(self, spark: SparkSession, path: str) -> None:
         if not self.is_trained:
-            raise RuntimeError("Cannot save untrained model")
+            raise RuntimeError("there is no trained model to save")
         self.pipeline.write().overwrite().save(os.path.join(path, "model"))
         save_scaler(spark, self.scaler, os.path.join(path, "scaler"))
 
@@ -70,7 +70,7 @@ class ImportanceModel:
         model_path = os.path.join(path, "model")
         jvm_fs = _exists(spark, model_path)
         if not jvm_fs:
-            raise FileNotFoundError(f"Model file not found at {path}")
+            raise FileNotFoundError(f"no model at {path}")
         return ImportanceModel(PipelineModel.load(model_path), load_scaler(spark, os.path.join(path, "scaler")))
 
 
@@ -93,7 +93,7 @@ def load_scaler(spark: SparkSession, path: str) -> dict:
     range is 0), a missing ``min`` is -data_min * scale.  A missing file is
     an error (an unfitted scaler could only fail later)."""
     if not _exists(spark, path):
-        raise FileNotFoundError(f"Scaler not found at {path}")
+        raise FileNotFoundError(f"no scaler at {path}")
     row = spark.read.json(path).first().asDict()
     dmin = [float(v) for v in row["data_min"]]
     rng = [float(v) for v in row["data_range"]]
@@ -130,7 +130,9 @@ def train(ts: DataFrame, settings: C.Settings = C.DEFAULT, epochs: int | None =
     """M8 + M10: fit scaler and network; early stopping on validation loss.
 
     ``ts`` is the training set (features + label).  Falsy ``epochs`` means the
-    configured default; an empty training set raises.
+    configured default; an empty training set raises.  Where the split leaves no
+    validation row there is nothing to stop on: every epoch runs, the last weights
+    stay and the history's losses are null.
     """
     epochs = epochs or settings.epochs
     scaler = fit_scaler(ts)  # raises on empty data
@@ -138,21 +140,24 @@ def train(ts: DataFrame, settings: C.Settings = C.DEFAULT, epochs: int | None =
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     data = assembler.transform(split).select("features", "label", "is_val").persist()
     tr, va = data.filter(~F.col("is_val")), data.filter(F.col("is_val"))
-    if va.limit(1).count() == 0:
-        va = tr
+    validated = va.limit(1).count() > 0
     best, best_loss, since, weights, history = None, float("inf"), 0, None, []
-    for ep in range(1, epochs + 1):
-        mlp_model = _mlp(settings, iters_per_epoch, weights).fit(tr)
-        weights = mlp_model.weights
-        loss = log_loss(mlp_model.transform(va))
-        history.append({"epoch": ep, "val_loss": loss})
-        if loss < best_loss - 1e-12:
-            best, best_loss, since = mlp_model, loss, 0
-        else:
-            since += 1
-            if since >= settings.patience:
-                break
-    data.unpersist()
+    try:
+        for ep in range(1, epochs + 1):
+            mlp_model = _mlp(settings, iters_per_epoch, weights).fit(tr)
+            weights = mlp_model.weights
+            loss = log_loss(mlp_model.transform(va)) if validated else None
+            history.append({"epoch": ep, "val_loss": loss})
+            if not validated:
+                best = mlp_model
+            elif loss < best_loss - 1e-12:
+                best, best_loss, since = mlp_model, loss, 0
+            else:
+                since += 1
+                if since >= settings.patience:
+                    break
+    finally:
+        data.unpersist()
     pipeline = PipelineModel(stages=[assembler, best])
     return ImportanceModel(pipeline, scaler, history)
 
@@ -168,7 +173,7 @@ def training_metrics(model: ImportanceModel, ts: DataFrame, settings: C.Settings
         if part.limit(1).count() == 0:
             continue
         acc = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label").evaluate(part)
-        auc = BinaryClassificationEvaluator(metricName="areaUnderROC", labelCol="label").evaluate(part)
+        auc = BinaryClassificationEvaluator(metricName="areaUnderROC", labelCol="label", rawPredictionCol="probability").evaluate(part)
         rows.append((name, float(acc), float(auc), log_loss(part)))
     return spark.createDataFrame(rows, "split string, accuracy double, auc double, loss double")
 
@@ -176,7 +181,7 @@ def training_metrics(model: ImportanceModel, ts: DataFrame, settings: C.Settings
 def predict_importance(model: ImportanceModel, feats: DataFrame) -> DataFrame:
     """Probability of the positive class per sentence."""
     if model is None:
-        raise RuntimeError("Model not trained. Please train the model first.")
+        raise RuntimeError("no importance model: train one or load one")
     return model.transform(feats)
 
 

@@ -47,14 +47,18 @@ def partition_by_doc(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def spread(df: DataFrame, id_col: str) -> DataFrame:
-    """Hash-partition by ``id_col`` only when the input has fewer partitions
-    than the cluster's default parallelism (a few large files or row groups).
+    """Hash-partition by ``id_col`` only when the input is too small to fill the
+    cluster's cores with scan splits (a few files or row groups).
 
     Heavy per-row work (regex cleaning) then runs on all cores; a large scan,
     which already has many splits, is left alone and pays no shuffle.
     """
     spark = df.sparkSession
-    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+    # the optimised plan's size statistic: asking for partitions could start a job
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes").replace("B", "b")))
+    if size < split * spark.sparkContext.defaultParallelism:
         return hash_partition(df, id_col)
     return df
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from precis import config as C
 from precis.operators.select import lead_k, resolve_k, top_k
-from precis.operators.sentences import partition_by_doc, sentence_table, with_sentences
+from precis.operators.sentences import partition_by_doc, sentence_table, spread, with_sentences
 from precis.operators.tfidf import tfidf_scores
 from precis.operators.textrank import sentence_vectors, textrank_scores
 
@@ -35,6 +35,12 @@ def resolve_method(method: str) -> str:
     return m
 
 
+def available_methods(methods, model=None) -> list[str]:
+    """The methods that can run: hybrid only with a model."""
+    found = [resolve_method(m) for m in methods]
+    return [m for m in found if m != "hybrid" or model is not None]
+
+
 def prepare_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep=()) -> DataFrame:
     """(id, *keep, sentences, n_sent), partitioned by id.
 
@@ -86,7 +92,7 @@ def score_sentences(
         from precis.operators.model import predict_importance
 
         if model is None:
-            raise RuntimeError("Model not trained. Train or load an importance model first.")
+            raise RuntimeError("the hybrid method needs an importance model: train one or load one")
         sent = sentence_table(docs, id_col, min_sent=0 if carry_text else min_sent, outer=carry_text)
         feats = sentence_features(sent, id_col, settings, carry_text=carry_text)
         return predict_importance(model, feats).select(
@@ -137,10 +143,12 @@ def summarize(
     """
     method = resolve_method(method)
     k = resolve_k(k)
-    docs = prepare_documents(df, text_col, id_col)
     if method == "lead":
-        res = docs.select(id_col, F.col("n_sent").cast("int").alias("n_sent"), lead_k("sentences", k).alias(out))
-    elif method == "tfidf":
+        # row-local: every row has its summary, whatever its id, and nothing is shuffled
+        docs = with_sentences(spread(df.select(id_col, text_col, *[c for c in keep if c not in (id_col, text_col)]), id_col), text_col)
+        return docs.select(id_col, *keep, F.col("n_sent").cast("int").alias("n_sent"), lead_k("sentences", k).alias(out))
+    docs = prepare_documents(df, text_col, id_col)
+    if method == "tfidf":
         scored = score_sentences(docs, method, k, id_col, settings, model, carry_text=True)
         res = collect_summaries(top_k(scored, k, id_col), id_col, out)
     elif method == "textrank":
@@ -191,8 +199,8 @@ def summarize_side_by_side(
             sel = top_k(score_sentences(docs, m, k, id_col, settings, model, carry_text=True), k, id_col)
         elif m == "textrank":
             sel = score_sentences(docs, m, k, id_col, settings, model, carry_text=True, keep_top=k)
-        else:
-            raise ValueError("side-by-side supports tfidf, textrank and lead")
+        else:  # hybrid: a trained model is required
+            sel = top_k(score_sentences(docs, m, k, id_col, settings, model, carry_text=True), k, id_col)
         sel = sel.select(id_col, F.col("n_sent").cast("int").alias("n_sent"), F.lit(m).alias("method"),
                          "sent_idx", "sentence")
         picks = sel if picks is None else picks.unionByName(sel)

@@ -38,6 +38,7 @@ from pyspark.sql import Window
 from precis import config as C
 from precis.operators.tfidf import tfidf_weights
 
+
 def sentence_vectors(sent: DataFrame, id_col: str = "doc_id", min_df: int = C.DEFAULT.min_df_hybrid,
                      min_sent: int = 1, carry_text: bool = False) -> DataFrame:
     """G1 (default provider): L2-normalised TF-IDF rows, zero for pruned terms.
@@ -129,13 +130,13 @@ def _batch_power_iteration(doc_ix, n_doc, node, cols, vals, n_nodes, damping, to
     return x, converged, done_at
 
 
-def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_text: bool, keep_top=None,
+def _arrow_kernel(id_col: str, id_type, damping: float, tol: float, max_iter: int, carry_text: bool, keep_top=None,
                   emit=None, passthrough=()):
     import pyarrow as pa
     import pyarrow.compute as pc
 
     out_fields = [
-        pa.field(id_col, pa.int64()), pa.field("n_sent", pa.int32()), pa.field("sent_idx", pa.int32()),
+        pa.field(id_col, id_type), pa.field("n_sent", pa.int32()), pa.field("sent_idx", pa.int32()),
         pa.field("textrank", pa.float64()), pa.field("converged", pa.bool_()), pa.field("iterations", pa.int32()),
     ]
     if carry_text:
@@ -144,15 +145,16 @@ def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_
         out_fields += [pa.field(c, pa.float64()) for c in passthrough]
         out_fields.append(pa.field("textrank_feature", pa.float64()))
     if emit is not None:  # multi-method selection: (id, n_sent, method, sent_idx, sentence)
-        out_fields = [pa.field(id_col, pa.int64()), pa.field("n_sent", pa.int32()), pa.field("method", pa.string()),
+        out_fields = [pa.field(id_col, id_type), pa.field("n_sent", pa.int32()), pa.field("method", pa.string()),
                       pa.field("sent_idx", pa.int32()), pa.field("sentence", pa.string())]
     schema = pa.schema(out_fields)
 
     def solve(t: "pa.Table") -> "pa.RecordBatch":
-        doc = t.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.r_[0, np.flatnonzero(doc[1:] != doc[:-1]) + 1]
+        doc = t.column(id_col).combine_chunks()
+        border = pc.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.r_[0, np.flatnonzero(border) + 1]
         row_doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(doc)]))
-        docs = doc[starts]
+        docs = doc.take(pa.array(starts))
         n_doc = t.column("n_sent").to_numpy(zero_copy_only=False).astype(np.int64)[starts]
         nodes_per_doc = np.maximum(n_doc, 1)  # an empty document keeps one null row
         offset = np.r_[0, np.cumsum(nodes_per_doc)[:-1]]
@@ -201,7 +203,7 @@ def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_
             meth = np.concatenate([np.full(len(idx), m, dtype=object) for m, idx in parts])
             nd = node_doc[sel_all]
             return pa.RecordBatch.from_arrays(
-                [pa.array(docs[nd]), pa.array(n_doc[nd].astype(np.int32)), pa.array(meth, type=pa.string()),
+                [docs.take(pa.array(nd)), pa.array(n_doc[nd].astype(np.int32)), pa.array(meth, type=pa.string()),
                  pa.array(local[sel_all].astype(np.int32), mask=empty[sel_all]),
                  pa.array(texts[sel_all], type=pa.string())],
                 schema=schema,
@@ -212,7 +214,7 @@ def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_
             sel = top(x)
         nd = node_doc[sel]
         arrays = [
-            pa.array(docs[nd]), pa.array(n_doc[nd].astype(np.int32)),
+            docs.take(pa.array(nd)), pa.array(n_doc[nd].astype(np.int32)),
             pa.array(local[sel].astype(np.int32), mask=empty[sel]), pa.array(np.where(empty, 0.0, x)[sel]),
             pa.array(conv[nd]), pa.array(np.where(empty, 0, iters[node_doc])[sel].astype(np.int32)),
         ]
@@ -237,22 +239,24 @@ def _arrow_kernel(id_col: str, damping: float, tol: float, max_iter: int, carry_
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches):
-        pending = None
+        pending, last = [], None  # chunks of the document that may go on in the next batch, and its id
         for b in batches:
-            t = pa.Table.from_batches([b])
-            if pending is not None:
-                t = pa.concat_tables([pending, t])
-            if t.num_rows == 0:
+            if b.num_rows == 0:
                 continue
+            t = pa.Table.from_batches([b])
             ids = t.column(id_col)
-            last = ids[t.num_rows - 1]
-            tail = pc.equal(ids, last).to_numpy(zero_copy_only=False)
-            first_tail = int(np.argmax(tail))
-            pending = t.slice(first_tail)  # the last document may go on in the next batch
+            end = ids[t.num_rows - 1]
+            first_tail = int(np.argmax(pc.equal(ids, end).to_numpy(zero_copy_only=False)))
             if first_tail > 0:
-                yield solve(t.slice(0, first_tail))
-        if pending is not None and pending.num_rows:
-            yield solve(pending)
+                yield solve(pa.concat_tables([*pending, t.slice(0, first_tail)]))
+                pending = []
+            elif pending and last != end:
+                yield solve(pa.concat_tables(pending))
+                pending = []
+            pending.append(t.slice(first_tail))
+            last = end
+        if pending:
+            yield solve(pa.concat_tables(pending))
 
     return run, schema
 
@@ -294,7 +298,10 @@ def textrank_scores(
         src = src.repartition(id_col)
     # only non-zero weights and the one null-term row per sentence are needed
     src = src.filter((F.col("weight") != 0.0) | F.col("term").isNull())
-    fn, schema = _arrow_kernel(id_col, damping, tol, max_iter, carry_text, keep_top, emit, tuple(passthrough))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(src.schema[id_col].dataType)
+    fn, schema = _arrow_kernel(id_col, id_type, damping, tol, max_iter, carry_text, keep_top, emit, tuple(passthrough))
     from pyspark.sql.pandas.types import from_arrow_schema
 
     return src.sortWithinPartitions(id_col).mapInArrow(fn, from_arrow_schema(schema))
@@ -396,7 +403,7 @@ def pagerank_groups(
     nodes = (
         _join_groups(base, colsum.join(sizes, group_col), group_col, n_groups, settings.broadcast_max_rows)
         .withColumn("d", _dot(F.col("e"), F.col("u")) - F.col("sq"))
-        .withColumn("dangling", (F.col("n") <= 1) | (F.col("sq") == 0))
+        .withColumn("dangling", (F.col("n") <= 1) | (F.col("sq") == 0) | (F.col("d") == 0))
         .withColumn("x", F.lit(1.0) / F.col("n"))
         .select(group_col, id_col, "e", "sq", "n", "d", "dangling", "x",
                 F.lit(None).cast("double").alias("x_prev"), F.lit(None).cast("int").alias("at"))

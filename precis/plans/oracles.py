@@ -13,11 +13,10 @@ from precis.functions.porter import rouge_stem_sql, stem_sql
 from precis.plans import sql as S
 
 K = C.DEFAULT.default_k
-TR_ITER = 30  # fixed iteration count of the reproducible TextRank queries
 
 
 def with_(*ctes: tuple[str, str], body: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + body
 
 
 # --- sentence table -----------------------------------------------------------
@@ -67,11 +66,14 @@ def tfidf_ctes(min_df: int, where: str = "TRUE", prefix: str = ""):
     ]
 
 
-def textrank_ctes(where: str, iters: int = TR_ITER, prefix: str = "tr_"):
-    """PageRank over L2-normalised TF-IDF rows (min_df = 1), fixed iterations,
-    through S = W W^T without forming pairs."""
+def textrank_ctes(where: str, prefix: str = "tr_"):
+    """PageRank over L2-normalised TF-IDF rows (min_df = 1) through S = W W^T
+    without forming pairs: one recursion step an iteration, and a document takes
+    part until its own sum|x' - x| < n * tol or the last iteration.  A document
+    that does not get there has the uniform 1/n (``final``)."""
     p = prefix
-    ctes = tfidf_ctes(C.DEFAULT.min_df_hybrid, where, prefix=p)[:4]
+    cfg = C.DEFAULT
+    ctes = tfidf_ctes(cfg.min_df_hybrid, where, prefix=p)[:4]
     ctes += [
         (f"{p}vec", f"SELECT doc_id, sent_idx, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, sent_idx)) AS v FROM {p}wt"),
         (f"{p}tdf", f"SELECT doc_id, term, count(*) AS c, sum(v) AS colsum FROM {p}vec GROUP BY ALL"),
@@ -83,28 +85,32 @@ def textrank_ctes(where: str, iters: int = TR_ITER, prefix: str = "tr_"):
             f"FROM sents s LEFT JOIN {p}vec v USING (doc_id, sent_idx) LEFT JOIN {p}tdf t USING (doc_id, term) "
             f"WHERE {where.replace('n_sent', 's.n_sent')} GROUP BY ALL",
         ),
-        (f"{p}x0", f"SELECT doc_id, sent_idx, 1.0 / n_sent AS x FROM {p}node"),
     ]
-    for t in range(1, iters + 1):
-        prev = f"{p}x{t - 1}"
-        ctes += [
-            (
-                f"{p}y{t}",
-                f"SELECT n.doc_id, n.sent_idx, n.n_sent, n.diag, n.dangling, x.x, "
-                f"CASE WHEN n.dangling THEN 0 ELSE x.x / n.d END AS y FROM {p}node n JOIN {prev} x USING (doc_id, sent_idx)",
-            ),
-            (f"{p}u{t}", f"SELECT v.doc_id, v.term, sum(y.y * v.v) AS u FROM {p}vec v JOIN {p}y{t} y USING (doc_id, sent_idx) GROUP BY ALL"),
-            (f"{p}s{t}", f"SELECT v.doc_id, v.sent_idx, sum(v.v * u.u) AS xs FROM {p}vec v JOIN {p}u{t} u USING (doc_id, term) GROUP BY ALL"),
-            (f"{p}m{t}", f"SELECT doc_id, sum(CASE WHEN dangling THEN x ELSE 0 END) AS dm FROM {p}y{t} GROUP BY doc_id"),
-            (
-                f"{p}x{t}",
-                f"SELECT y.doc_id, y.sent_idx, {C.DEFAULT.damping} * ("
-                f"CASE WHEN y.dangling THEN 0 ELSE coalesce(s.xs, 0) - y.y * y.diag END + m.dm / y.n_sent) "
-                f"+ (1 - {C.DEFAULT.damping}) / y.n_sent AS x "
-                f"FROM {p}y{t} y JOIN {p}m{t} m USING (doc_id) LEFT JOIN {p}s{t} s USING (doc_id, sent_idx)",
-            ),
-        ]
-    ctes.append((f"{p}final", f"SELECT doc_id, sent_idx, x AS textrank FROM {p}x{iters}"))
+    step = (
+        f"WITH y AS (SELECT n.doc_id, n.sent_idx, n.n_sent, n.diag, n.dangling, q.x, q.t, "
+        f"CASE WHEN n.dangling THEN 0 ELSE q.x / n.d END AS y FROM {p}it q JOIN {p}node n USING (doc_id, sent_idx) "
+        f"WHERE NOT q.done AND q.t < {cfg.max_iter}), "
+        f"u AS (SELECT v.doc_id, v.term, sum(y.y * v.v) AS u FROM {p}vec v JOIN y USING (doc_id, sent_idx) GROUP BY ALL), "
+        f"g AS (SELECT v.doc_id, v.sent_idx, sum(v.v * u.u) AS xs FROM {p}vec v JOIN u USING (doc_id, term) GROUP BY ALL), "
+        f"m AS (SELECT doc_id, sum(CASE WHEN dangling THEN x ELSE 0 END) AS dm FROM y GROUP BY doc_id), "
+        f"z AS (SELECT y.doc_id, y.sent_idx, y.n_sent, y.t, y.x AS old, {cfg.damping} * ("
+        f"CASE WHEN y.dangling THEN 0 ELSE coalesce(g.xs, 0) - y.y * y.diag END + m.dm / y.n_sent) "
+        f"+ (1 - {cfg.damping}) / y.n_sent AS x "
+        f"FROM y JOIN m USING (doc_id) LEFT JOIN g USING (doc_id, sent_idx)) "
+        f"SELECT doc_id, sent_idx, n_sent, x, t + 1 AS t, "
+        f"sum(abs(x - old)) OVER (PARTITION BY doc_id) < n_sent * CAST({cfg.tol} AS DOUBLE) AS done FROM z"
+    )
+    ctes += [
+        (f"{p}it", f"SELECT doc_id, sent_idx, n_sent, CAST(1.0 AS DOUBLE) / n_sent AS x, 0 AS t, FALSE AS done FROM {p}node "
+                   f"UNION ALL ({step})"),
+        # a document leaves the recursion with its last step, where the rows of the last t are its scores
+        (f"{p}last", f"SELECT *, max(t) OVER (PARTITION BY doc_id) AS stop FROM {p}it"),
+        (f"{p}final", f"SELECT doc_id, sent_idx, n_sent, x AS textrank, done AS converged, t AS iterations "
+                      f"FROM {p}last WHERE t = stop"),
+        (f"{p}feat", f"SELECT doc_id, sent_idx, CASE WHEN NOT converged THEN 1.0 / n_sent "
+                     f"WHEN max(textrank) OVER (PARTITION BY doc_id) > 0 "
+                     f"THEN textrank / max(textrank) OVER (PARTITION BY doc_id) ELSE textrank END AS feature FROM {p}final"),
+    ]
     return ctes
 
 
@@ -189,7 +195,7 @@ def q_tfidf_feature():
 
 def q_top_sentences():
     return with_(
-        docs_cte(), sents_cte(), *tfidf_ctes(2, f"n_sent > {K}"), ranked_cte("rk", "sc", "score"),
+        docs_cte(), sents_cte(), *tfidf_ctes(2, "n_sent > 0"), ranked_cte("rk", "sc", "score"),
         body=f"SELECT doc_id, sent_idx, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= {K}",
     )
 
@@ -211,7 +217,7 @@ def q_summaries_lead():
 def q_textrank_scores():
     return with_(
         docs_cte(), sents_cte(), *textrank_ctes("n_sent > 0"),
-        body="SELECT doc_id, sent_idx, round(textrank, 6) AS textrank FROM tr_final",
+        body="SELECT doc_id, sent_idx, round(textrank, 7) AS textrank, converged FROM tr_final",
     )
 
 
@@ -225,8 +231,7 @@ def q_summaries_textrank():
 def q_textrank_feature():
     return with_(
         docs_cte(), sents_cte(), *textrank_ctes("n_sent > 0"),
-        body="SELECT doc_id, sent_idx, round(CASE WHEN max(textrank) OVER (PARTITION BY doc_id) > 0 "
-        "THEN textrank / max(textrank) OVER (PARTITION BY doc_id) ELSE textrank END, 6) AS textrank_feature FROM tr_final",
+        body="SELECT doc_id, sent_idx, round(feature, 6) AS textrank_feature FROM tr_feat",
     )
 
 
@@ -414,7 +419,7 @@ REGISTRY.update({
 
 CONV_PAIRS = (
     "cp",
-    "SELECT b.conv_id * 1000 + b.turn AS doc_id, b.text AS article, a.text AS highlights "
+    "SELECT b.conv_id * 4294967296 + b.turn AS doc_id, b.text AS article, a.text AS highlights "
     "FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn "
     "WHERE a.role = 'user' AND b.role = 'assistant'",
 )
@@ -568,11 +573,10 @@ def feature_ctes(src_docs):
     return [
         *src_docs, sents_cte(), *tfidf_ctes(1, "n_sent > 0"), *textrank_ctes("n_sent > 0"),
         ("feat", "SELECT sc.doc_id, sc.sent_idx, sc.n_sent, sc.feature AS tfidf, "
-                 "CASE WHEN max(t.textrank) OVER (PARTITION BY t.doc_id) > 0 "
-                 "THEN t.textrank / max(t.textrank) OVER (PARTITION BY t.doc_id) ELSE t.textrank END AS textrank, "
+                 "t.feature AS textrank, "
                  "sc.sent_idx / greatest(sc.n_sent - 1, 1) AS position, CAST(sc.n_words AS DOUBLE) AS length, "
                  "sc.n_words / greatest(avg(sc.n_words) OVER (PARTITION BY sc.doc_id), 1.0) AS norm_length "
-                 "FROM sc JOIN tr_final t USING (doc_id, sent_idx)"),
+                 "FROM sc JOIN tr_feat t USING (doc_id, sent_idx)"),
     ]
 
 
@@ -596,7 +600,8 @@ def label_ctes():
 def ts_ctes():
     return [
         *feature_ctes([CONV_PAIRS, docs_cte("cp", "doc_id", "article")]), *label_ctes(),
-        ("ts", "SELECT f.*, l.label FROM feat f JOIN lab l USING (doc_id, sent_idx)"),
+        ("ts", "SELECT f.*, l.label FROM feat f JOIN lab l USING (doc_id, sent_idx) JOIN cp USING (doc_id) "
+               f"WHERE {S.normalize('cp.highlights')} <> ''"),
     ]
 
 
@@ -673,7 +678,55 @@ def q_similarity_degree():
     )
 
 
-REGISTRY.update({"similarity_degree": q_similarity_degree})
+def q_pagerank_embeddings():
+    cfg = C.DEFAULT
+    return f"""
+WITH RECURSIVE e AS (
+  SELECT label, vec_id, list_transform(embedding, lambda x: greatest(CAST(x AS DOUBLE), 0.0)) AS v FROM embeddings
+), en AS (
+  SELECT label, vec_id, CASE WHEN list_dot_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))
+                        ELSE v END AS u, count(*) OVER (PARTITION BY label) AS n FROM e
+), s AS (
+  SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.u, b.u) AS w
+  FROM en a JOIN en b ON a.label = b.label AND a.vec_id <> b.vec_id
+), node AS (
+  SELECT en.label, en.vec_id, en.n, coalesce(sum(s.w), 0) AS d FROM en LEFT JOIN s ON s.label = en.label AND s.i = en.vec_id
+  GROUP BY ALL
+), it AS (
+  SELECT label, vec_id, n, CAST(1.0 AS DOUBLE) / n AS x, 0 AS t, FALSE AS done FROM node
+  UNION ALL (
+    WITH y AS (
+      SELECT it.*, d, CASE WHEN d > 0 THEN x / d ELSE 0 END AS y FROM it JOIN node USING (label, vec_id, n)
+      WHERE NOT done AND t < {cfg.max_iter}
+    ), g AS (
+      SELECT s.label, s.j AS vec_id, sum(y.y * s.w) AS xs FROM s JOIN y ON y.label = s.label AND y.vec_id = s.i GROUP BY ALL
+    ), m AS (
+      SELECT label, sum(CASE WHEN d > 0 THEN 0 ELSE x END) AS dm FROM y GROUP BY label
+    ), z AS (
+      SELECT y.label, y.vec_id, y.n, y.t, y.x AS old,
+             {cfg.damping} * (CASE WHEN y.d > 0 THEN coalesce(g.xs, 0) ELSE 0 END + m.dm / y.n) + (1 - {cfg.damping}) / y.n AS x
+      FROM y JOIN m USING (label) LEFT JOIN g USING (label, vec_id)
+    )
+    SELECT label, vec_id, n, x, t + 1 AS t,
+           sum(abs(x - old)) OVER (PARTITION BY label) < n * CAST({cfg.tol} AS DOUBLE) AS done FROM z
+  )
+), fin AS (
+  SELECT *, max(t) OVER (PARTITION BY label) AS stop FROM it
+)
+SELECT label, vec_id, round(CASE WHEN done THEN x ELSE 1.0 / n END, 7) AS pagerank, done AS converged, t AS iterations
+FROM fin WHERE t = stop
+"""
+
+
+def q_sentence_vectors():
+    return _tfidf(1, "SELECT doc_id, sent_idx, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, sent_idx)), 6) AS weight FROM wt")
+
+
+REGISTRY.update({
+    "similarity_degree": q_similarity_degree,
+    "pagerank_embeddings": q_pagerank_embeddings,
+    "sentence_vectors": q_sentence_vectors,
+})
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,8 +14,6 @@ from precis import config as C
 from precis.operators import select, sentences, summarize, textrank, tfidf
 
 K = C.DEFAULT.default_k
-TR_ITER = 30
-FIXED_TR = C.DEFAULT.with_(tol=0.0, max_iter=TR_ITER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +29,13 @@ def sent_table(spark, sf_dir, min_sent: int = 1) -> DataFrame:
     return sentences.sentence_table(docs(spark, sf_dir), "doc_id", min_sent=min_sent)
 
 
+def row_local_sents(spark, sf_dir) -> DataFrame:
+    """Sentence rows for work that needs no other row of the document: no exchange
+    by id (a small table in few partitions is still spread over the cores)."""
+    d = sentences.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return sentences.sentence_table(sentences.with_sentences(d, "text"), "doc_id")
+
+
 def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -38,7 +43,7 @@ def r6(c):
 # --- N --------------------------------------------------------------------------
 
 def q_sentences(spark, sf_dir):
-    return sent_table(spark, sf_dir).select("doc_id", "sent_idx", "sentence", "n_sent")
+    return row_local_sents(spark, sf_dir).select("doc_id", "sent_idx", "sentence", "n_sent")
 
 
 def q_sentence_lengths(spark, sf_dir):
@@ -47,14 +52,14 @@ def q_sentence_lengths(spark, sf_dir):
 
 
 def q_sentence_positions(spark, sf_dir):
-    s = sentences.with_positions(sent_table(spark, sf_dir))
+    s = sentences.with_positions(row_local_sents(spark, sf_dir))
     return s.select("doc_id", "sent_idx", r6("position").alias("position"))
 
 
 # --- F --------------------------------------------------------------------------
 
 def q_terms(spark, sf_dir):
-    t = tfidf.term_rows(sent_table(spark, sf_dir))
+    t = tfidf.term_rows(row_local_sents(spark, sf_dir))
     return t.filter(F.col("term").isNotNull()).select("doc_id", "sent_idx", "term")
 
 
@@ -92,7 +97,7 @@ def q_tfidf_feature(spark, sf_dir):
 
 def q_top_sentences(spark, sf_dir):
     d = docs(spark, sf_dir)
-    sc = summarize.score_sentences(d, "tfidf", K)
+    sc = summarize.score_sentences(d, "tfidf", K, only_long=False)
     return select.top_k(sc, K).select("doc_id", "sent_idx", "rank")
 
 
@@ -105,12 +110,12 @@ def q_summaries_lead(spark, sf_dir):
 
 
 def q_summaries_textrank(spark, sf_dir):
-    return summarize.summarize(table(spark, sf_dir, "documents"), "text", "textrank", K, settings=FIXED_TR)
+    return summarize.summarize(table(spark, sf_dir, "documents"), "text", "textrank", K)
 
 
 def q_summaries_side_by_side(spark, sf_dir):
     return summarize.summarize_side_by_side(
-        table(spark, sf_dir, "documents"), "text", ("tfidf", "textrank", "lead"), K, settings=FIXED_TR
+        table(spark, sf_dir, "documents"), "text", ("tfidf", "textrank", "lead"), K
     )
 
 
@@ -118,11 +123,11 @@ def q_summaries_side_by_side(spark, sf_dir):
 
 def _textrank(spark, sf_dir):
     vec = textrank.sentence_vectors(sent_table(spark, sf_dir))
-    return textrank.textrank_scores(vec, "doc_id", FIXED_TR.damping, FIXED_TR.tol, FIXED_TR.max_iter)
+    return textrank.textrank_scores(vec, "doc_id", C.DEFAULT.damping, C.DEFAULT.tol, C.DEFAULT.max_iter)
 
 
 def q_textrank_scores(spark, sf_dir):
-    return _textrank(spark, sf_dir).select("doc_id", "sent_idx", r6("textrank").alias("textrank"))
+    return _textrank(spark, sf_dir).select("doc_id", "sent_idx", F.round("textrank", 7).alias("textrank"), "converged")
 
 
 def q_textrank_feature(spark, sf_dir):
@@ -305,13 +310,13 @@ def conv_pairs(spark, sf_dir) -> DataFrame:
     u = c.filter(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("highlights"))
     a = c.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("article"))
     return a.join(u, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "article", "highlights"
+        (F.col("conv_id") * F.lit(4294967296) + F.col("turn")).alias("doc_id"), "article", "highlights"
     )
 
 
 def predictions(spark, sf_dir) -> DataFrame:
     return summarize.summarize_side_by_side(
-        conv_pairs(spark, sf_dir), "article", ("tfidf", "textrank", "lead"), K, keep=("highlights",), settings=FIXED_TR
+        conv_pairs(spark, sf_dir), "article", ("tfidf", "textrank", "lead"), K, keep=("highlights",)
     )
 
 
@@ -390,12 +395,12 @@ from precis.operators import features as M, model as MD  # noqa: E402
 
 
 def q_sentence_features(spark, sf_dir):
-    f = M.sentence_features(sent_table(spark, sf_dir), "doc_id", FIXED_TR)
+    f = M.sentence_features(sent_table(spark, sf_dir), "doc_id")
     return f.select("doc_id", "sent_idx", *[r6(c).alias(c) for c in M.FEATURES])
 
 
 def _training_set(spark, sf_dir):
-    return M.training_set(conv_pairs(spark, sf_dir), settings=FIXED_TR)
+    return M.training_set(conv_pairs(spark, sf_dir))
 
 
 def q_weak_labels(spark, sf_dir):
@@ -429,35 +434,32 @@ def q_train_val_split(spark, sf_dir):
     return M.train_val_split(conv_pairs(spark, sf_dir).select("doc_id")).select("doc_id", "is_val")
 
 
-_MODELS: dict = {}
-
-
 def trained_model(spark, sf_dir):
-    key = (id(spark), sf_dir)
-    if key not in _MODELS:
-        ts = _training_set(spark, sf_dir).persist()
-        _MODELS[key] = (MD.train(ts, FIXED_TR), ts)
-    return _MODELS[key]
+    """A model fitted on the conversation pairs; every query that needs one trains its own."""
+    return MD.train(_training_set(spark, sf_dir))
 
 
 def q_train_importance(spark, sf_dir):
-    model, _ = trained_model(spark, sf_dir)
-    return spark.createDataFrame(model.history, "epoch int, val_loss double")
+    return spark.createDataFrame(trained_model(spark, sf_dir).history, "epoch int, val_loss double")
 
 
 def q_training_metrics(spark, sf_dir):
-    model, ts = trained_model(spark, sf_dir)
-    return MD.training_metrics(model, ts, FIXED_TR)
+    ts = _training_set(spark, sf_dir).persist()  # training and metrics read it
+    try:
+        return MD.training_metrics(MD.train(ts), ts)
+    finally:
+        ts.unpersist()
 
 
 def q_predict_importance(spark, sf_dir):
-    model, ts = trained_model(spark, sf_dir)
-    return MD.predict_importance(model, ts).select("doc_id", "sent_idx", "importance")
+    """Importance of every sentence of every document."""
+    feats = M.sentence_features(sent_table(spark, sf_dir), "doc_id")
+    return MD.predict_importance(trained_model(spark, sf_dir), feats).select("doc_id", "sent_idx", "importance")
 
 
 def q_summaries_hybrid(spark, sf_dir):
-    model, _ = trained_model(spark, sf_dir)
-    return summarize.summarize(conv_pairs(spark, sf_dir), "article", "hybrid", K, model=model, settings=FIXED_TR)
+    model = trained_model(spark, sf_dir)
+    return summarize.summarize(table(spark, sf_dir, "documents"), "text", "hybrid", K, model=model)
 
 
 REGISTRY.update({
@@ -483,14 +485,22 @@ def q_similarity_degree(spark, sf_dir):
 
 
 def q_pagerank_embeddings(spark, sf_dir):
-    """Reference semantics (negative similarities kept), 30 iterations at
-    most; a group that does not converge gets 1/n (rows-only check)."""
-    pr = textrank.pagerank_groups(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding",
-                                  max_iter=TR_ITER, tol=C.DEFAULT.tol)
-    return pr.select("label", "vec_id", r6("pagerank").alias("pagerank"), "converged", "iterations")
+    """PageRank of the cosine graph of each label, over the vectors' positive
+    parts: similarities are then never negative and the iteration converges."""
+    e = table(spark, sf_dir, "embeddings").withColumn(
+        "embedding", F.transform("embedding", lambda x: F.greatest(x.cast("double"), F.lit(0.0))))
+    pr = textrank.pagerank_groups(e, "label", "vec_id", "embedding")
+    return pr.select("label", "vec_id", F.round("pagerank", 7).alias("pagerank"), "converged", "iterations")
+
+
+def q_sentence_vectors(spark, sf_dir):
+    """L2-normalised TF-IDF rows of every sentence (the non-zero components)."""
+    v = textrank.sentence_vectors(sent_table(spark, sf_dir))
+    return v.where(F.col("weight") != 0).select("doc_id", "sent_idx", "term", r6("weight").alias("weight"))
 
 
 REGISTRY.update({
     "similarity_degree": q_similarity_degree,
     "pagerank_embeddings": q_pagerank_embeddings,
+    "sentence_vectors": q_sentence_vectors,
 })

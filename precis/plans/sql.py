@@ -26,17 +26,27 @@ def normalize(x: str) -> str:
     return f"trim({rr(coerce(x), P.WS_RUN)})"
 
 
-def decode_numeric_entities(x: str) -> str:
+def decode_entities(x: str) -> str:
+    names = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in C.html_entities().items()) + "}"
+    name = f"{names}[regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)]"
+    dec = "regexp_replace(regexp_extract(p, '^#([0-9]+);', 1), '^0+', '')"
+    hx = "regexp_replace(regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1), '^0+', '')"
+    dec_code = f"(CASE WHEN len({dec}) <= 7 THEN TRY_CAST({dec} AS INTEGER) END)"
+    hex_code = f"(CASE WHEN len({hx}) <= 6 THEN TRY_CAST('0x' || {hx} AS INTEGER) END)"
+    rest = "substr(p, instr(p, ';') + 1)"
+
+    def char(code: str) -> str:
+        return f"CASE WHEN {code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}) ELSE chr(65533) END"
+
     piece = (
         "CASE WHEN i = 1 THEN p "
-        "WHEN regexp_matches(p, '^[0-9]{1,7};') THEN chr(CAST(regexp_extract(p, '^([0-9]{1,7});', 1) AS INTEGER)) "
-        "|| regexp_replace(p, '^[0-9]{1,7};', '') "
-        "WHEN regexp_matches(p, '^[xX][0-9a-fA-F]{1,6};') THEN chr(CAST(('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{1,6});', 1)) AS INTEGER)) "
-        "|| regexp_replace(p, '^[xX][0-9a-fA-F]{1,6};', '') "
-        "ELSE '&#' || p END"
+        f"WHEN regexp_matches(p, '^#[0-9]+;') THEN {char(dec_code)} || {rest} "
+        f"WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]+;') THEN {char(hex_code)} || {rest} "
+        f"WHEN {name} IS NOT NULL THEN {name} || {rest} "
+        "ELSE '&' || p END"
     )
     return (
-        f"CASE WHEN instr({x}, '&#') > 0 THEN array_to_string(list_transform(string_split({x}, '&#'), "
+        f"CASE WHEN instr({x}, '&') > 0 THEN array_to_string(list_transform(string_split({x}, '&'), "
         f"lambda p, i: {piece}), '') ELSE {x} END"
     )
 
@@ -46,10 +56,7 @@ def html_to_text(x: str) -> str:
     for b in P.HTML_BLOCKS:
         c = rr(c, b)
     c = rr(c, P.HTML_TAG)
-    c = decode_numeric_entities(c)
-    for ent, ch in C.HTML_ENTITIES:
-        c = f"replace({c}, {lit(ent)}, {lit(ch)})"
-    return f"replace({c}, '&amp;', '&')"
+    return decode_entities(c)
 
 
 def strip_urls(x):
@@ -103,13 +110,13 @@ def words_of_normalized(x: str) -> str:
 
 def split_sentences(x: str, normalized: bool = False) -> str:
     c = x if normalized else normalize(x)
-    prot = "'\\1\\2' || chr(1) || ' '"
+    prot = "'\\1\\2' || chr(9) || ' '"
     c = f"regexp_replace({c}, {lit(P.SENT_PROTECT)}, {prot}, 'g')"
     c = f"regexp_replace({c}, {lit(P.SENT_PROTECT)}, {prot}, 'g')"
-    c = f"regexp_replace({c}, {lit(P.SENT_BANG)}, '\\1' || chr(2), 'g')"
-    c = f"regexp_replace({c}, {lit(P.SENT_DOT)}, '\\1' || chr(2) || '\\2', 'g')"
-    c = f"replace({c}, chr(1), '.')"
-    return f"list_filter(string_split({c}, chr(2)), lambda s: s <> '')"
+    c = f"regexp_replace({c}, {lit(P.SENT_BANG)}, '\\1' || chr(10), 'g')"
+    c = f"regexp_replace({c}, {lit(P.SENT_DOT)}, '\\1' || chr(10) || '\\2', 'g')"
+    c = f"replace({c}, chr(9), '.')"
+    return f"list_filter(string_split({c}, chr(10)), lambda s: s <> '')"
 
 
 def terms(x: str) -> str:

@@ -38,8 +38,8 @@ def local_session(cores: int | str = "*", app: str = "precis", extra: dict | Non
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for lineage cuts: the cluster's ``spark.checkpoint.dir`` if set.
 
-    Only when the session names none (local tests) do we set one under the
-    system temp folder; on a cluster the setting is expected to be present.
+    A local session that names none (tests) gets one under the system temp folder;
+    on a cluster, where executors do not share such a folder, it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = os.path.join(tempfile.gettempdir(), f"precis-ckpt-{uuid.uuid4().hex[:8]}")
     sc.setCheckpointDir(d)
     return d

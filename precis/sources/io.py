@@ -11,20 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
-
 from precis import config as C
 from precis.operators.corpus import REQUIRED, clean_corpus, require_columns
 
-CORPUS_SCHEMA = StructType(
-    [
-        StructField("doc_id", LongType(), True),
-        StructField("article", StringType(), True),
-        StructField("highlights", StringType(), True),
-    ]
-)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -40,10 +29,11 @@ def _fmt(path: str, fmt: str | None) -> str:
 def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """S1 + S2: (doc_id, article, highlights); extra columns are dropped.
 
-    CSV is read with a header, quoted multi-line fields and no schema
-    inference (all strings).  A file without an id column gets
-    ``monotonically_increasing_id`` — increasing in file order for a given
-    input layout, which is what keep-first de-duplication needs.
+    CSV is read with a header, quoted multi-line fields and no schema inference
+    (all strings); it needs an id column, because its rows have no place of their
+    own once files are split.  Parquet without one is numbered by (file name, row in
+    the file), so keep-first de-duplication keeps the first row of the first file
+    whatever order Spark reads the files in.
     """
     f = _fmt(path, fmt)
     if f == "csv":
@@ -54,8 +44,16 @@ def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, id_col:
     else:
         df = spark.read.format(f).load(path)
     require_columns(df, REQUIRED)
-    ident = F.col(id_col).cast("long") if id_col in df.columns else F.monotonically_increasing_id()
-    return df.select(ident.alias("doc_id"), F.col("article").cast("string"), F.col("highlights").cast("string"))
+    texts = [F.col("article").cast("string"), F.col("highlights").cast("string")]
+    if id_col in df.columns:
+        return df.select(F.col(id_col).cast("long").alias("doc_id"), *texts)
+    if f != "parquet":
+        raise ValueError(f"a {f} corpus needs an id column ({id_col!r}) that gives its rows an order")
+    rows = df.select(*texts, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_no"))
+    files = sorted(r["file"] for r in rows.select("file").distinct().collect())  # names only, one for each file
+    order = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, file_no long")
+    return rows.join(F.broadcast(order), "file").select(
+        (F.col("file_no") * F.lit(1 << 40) + F.col("row_no")).alias("doc_id"), "article", "highlights")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -68,12 +66,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 def load_or_build_clean(spark: SparkSession, raw_path: str, clean_path: str,
                         settings: C.Settings = C.DEFAULT) -> DataFrame:
-    """Read the cleaned corpus if it exists, else clean, write, re-read.
+    """Read the cleaned corpus if it is complete, else clean, write, re-read.
+
+    Complete means that the writer has left its success marker.
 
     Writing and re-reading also cuts the lineage of the cleaning plan, so
     later jobs start from the stored table.
     """
-    if not path_exists(spark, clean_path):
+    if not path_exists(spark, f"{clean_path.rstrip('/')}/_SUCCESS"):
         write_table(clean_corpus(read_corpus(spark, raw_path), settings=settings), clean_path)
     return spark.read.parquet(clean_path)
 
@@ -89,11 +89,13 @@ def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.xxhash64("path").alias("doc_id"), "path", "text")
 
 
-def write_summaries(df: DataFrame, path: str, fmt: str = "parquet", summary_col: str = "summary") -> None:
-    """Summaries to Parquet/JSON (with their id) or to text (one line each;
-    summaries are whitespace-normalised, so a line is a whole summary)."""
+def write_summaries(df: DataFrame, path: str, fmt: str = "parquet", summary_col: str = "summary",
+                    id_col: str = "doc_id") -> None:
+    """Summaries to Parquet/JSON (with their id) or to text: one line each, the
+    id, a tab and the summary (whitespace-normalised, so a line is a whole summary)."""
     if fmt == "text":
-        df.select(summary_col).write.mode("overwrite").text(path)
+        line = F.concat_ws("\t", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(summary_col), F.lit("")))
+        df.select(line.alias("value")).write.mode("overwrite").text(path)
     else:
         write_table(df, path, fmt)
 

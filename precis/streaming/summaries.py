@@ -42,10 +42,15 @@ def summarize_stream(
     name: str = "summaries",
     available_now: bool = False,
     settings: C.Settings = C.DEFAULT,
+    checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Start the query: each micro-batch is summarised and appended."""
-    spark = stream.sparkSession
-    ckpt = os.path.join(checkpoint_dir(spark), "stream-" + name)
+    """Start the query: each micro-batch is summarised and appended.
+
+    ``checkpoint`` is the stream's own folder; a restart with the same folder goes on
+    where the stream stopped.  Without it the folder follows from the name, below the
+    shared checkpoint folder.
+    """
+    ckpt = checkpoint or os.path.join(checkpoint_dir(stream.sparkSession), "stream-" + name)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         # one folder per epoch, overwritten on replay: a re-run micro-batch

@@ -75,9 +75,12 @@ def test_oracle_matches(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    rows_only = {"train_importance", "training_metrics", "predict_importance", "summaries_hybrid", "pagerank_embeddings"}
-    q, o = set(ENTRY.queries()), set(ENTRY.oracle_sql())
+    from precis.plans import oracles, queries
+
+    rows_only = {"train_importance", "training_metrics", "predict_importance", "summaries_hybrid"}
+    q, o = set(queries.queries()), set(oracles.oracle_sql())
     assert o <= q and q - o <= rows_only
+    assert q <= set(ENTRY.queries()) and o <= set(ENTRY.oracle_sql()) <= set(ENTRY.queries())
 
 
 def test_kernels_run_without_package_on_worker_path(tmp_path):

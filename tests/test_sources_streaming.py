@@ -19,8 +19,8 @@ def test_csv_round_trip_and_reuse(spark, tmp_path):
     S.write_table(df.coalesce(1), p, "csv")
     back = S.read_corpus(spark, p, "csv")
     assert sorted(back.collect()) == sorted(df.collect())
-    no_id = S.read_corpus(spark, p, "csv", id_col="missing")
-    assert no_id.select("doc_id").distinct().count() == 2
+    with pytest.raises(ValueError):
+        S.read_corpus(spark, p, "csv", id_col="missing")
     clean = str(tmp_path / "clean")
     assert not S.path_exists(spark, clean)
     first = S.load_or_build_clean(spark, p, clean)
