@@ -69,6 +69,8 @@ def portions(it: Iterator[pa.Array], rows: int = 512) -> Iterator[pa.Array]:
     for a in it:
         for i in range(0, len(a), rows):
             yield a.slice(i, rows)
+        del a
+        pa.default_memory_pool().release_unused()  # idle workers should not sit on the last batch
 
 
 def slices(batch_rows: int, sizes, max_size: int):
