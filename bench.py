@@ -30,8 +30,6 @@ HEADLINE = (
     "html_to_text",
     "compare_models",
     "training_set",
-    "train_importance",
-    "summaries_hybrid",
 )
 
 

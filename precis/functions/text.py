@@ -46,7 +46,7 @@ def decode_entities(col) -> Column:
         return (
             F.when(i == 0, p)
             .when(num != "", F.concat(char, rest))
-            .when(name.isNotNull(), F.concat(name, rest))
+            .when(p.rlike("^[A-Za-z][A-Za-z0-9]*;"), F.coalesce(F.concat(name, rest), F.concat(F.lit("&"), p)))
             .otherwise(F.concat(F.lit("&"), p))
         )
 
