@@ -8,6 +8,10 @@ trees at once, one bit at a time, until the ranges together hold enough candidat
 prefixes therefore are as long as the data's density allows.  Candidates are scored
 exactly; queries that share a range share one matrix product.
 
+Equal vectors are one member of the trees, which carries all its ids.  Single
+precision only leaves out members that its error bound keeps below the k best, so
+however many candidates tie, the smallest ids are found.
+
 Nearness is the inner product.  Vectors get one more component that makes them
 equally long, so that the angle orders them as the inner product does.
 """
@@ -31,7 +35,7 @@ class ForestConfig:
     least: int = 2_000  # candidates at least
     shard_rows: int = 16_384
     block_rows: int = 4_096  # queries of a block
-    spare: int = 8  # kept from each range beyond k, for the exact order
+    block_pairs: int = 1 << 17  # candidates that are scored exactly at once
     seed: int = 5
 
 
@@ -39,9 +43,12 @@ DEFAULT = ForestConfig()
 
 
 class Forest:
-    """The trees of one shard."""
+    """The trees of one shard, over its distinct vectors."""
 
     def __init__(self, X: np.ndarray, cfg: ForestConfig = DEFAULT):
+        raw = np.ascontiguousarray(X + 0.0).view(np.dtype((np.void, X.shape[1] * X.itemsize))).ravel()
+        _, self.rows, self.of = np.unique(raw, return_index=True, return_inverse=True)  # 0.0 and -0.0 are equal
+        X = X[self.rows]
         self.cfg, self.n = cfg, len(X)
         norm = np.linalg.norm(X, axis=1)
         self.top = float(norm.max()) or 1.0
@@ -84,11 +91,22 @@ class Forest:
         return first, end
 
     def search(self, X: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids: np.ndarray, k: int):
-        """(query ids, vector ids, scores) of the ``k`` best candidates of each query, its own id left out."""
-        keep = k + self.cfg.spare
-        X32, Q32 = X.astype(np.float32), Q.astype(np.float32)
+        """(query ids, vector ids, scores) of the ``k`` best candidates of each query, its own id left out.
+
+        ``X`` and ``ids`` are the rows that the forest was made of.
+        """
+        X = X[self.rows]
+        listed = np.lexsort((ids, self.of))  # the rows of each vector by id
+        ids, of = ids[listed], self.of[listed]
+        begin = np.searchsorted(of, np.arange(self.n + 1))
+        own, own_rows = self._own(ids, of, qids)
+        alone = own[own_rows == np.diff(begin)[own % self.n]]  # vectors that only the query itself has
+        norm = np.linalg.norm(Q, axis=1, keepdims=True)
+        X32, Q32 = (X / self.top).astype(np.float32), (Q / np.where(norm > 0, norm, 1.0)).astype(np.float32)
+        # a product is off by at most so much, however it is summed
+        off = ((X.shape[1] + 8) * 2.0**-23 * np.linalg.norm(X, axis=1) / self.top + 1e-30).astype(np.float32)
         first, end = self.ranges(Q)
-        found = np.full((len(Q), len(self.trees) * keep), -1, np.int64)
+        found = np.zeros((len(Q), self.n), bool)
         for t, (_, _, order, _) in enumerate(self.trees):
             pair = first[t] * (self.n + 1) + end[t]
             by = np.argsort(pair, kind="stable")
@@ -98,34 +116,77 @@ class Forest:
                     continue
                 members = order[a:b]
                 s = Q32[group] @ X32[members].T
-                s[qids[group][:, None] == ids[members][None, :]] = -np.inf
-                if b - a > keep:
-                    top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                if len(alone):
+                    place = np.full(self.n, -1)
+                    place[members] = np.arange(b - a)
+                    at = np.full(len(Q), -1)
+                    at[group] = np.arange(len(group))
+                    r, c = at[alone // self.n], place[alone % self.n]
+                    both = (r >= 0) & (c >= 0)
+                    s[r[both], c[both]] = -np.inf
+                if b - a > k:
+                    least = s - off[members]
+                    least.partition(b - a - k, axis=1)
+                    s += off[members]
+                    r, c = np.nonzero(s >= least[:, b - a - k, None])
                 else:
-                    top = np.tile(np.arange(b - a), (len(group), 1))
-                found[group, t * keep:t * keep + top.shape[1]] = members[top]
-        found.sort(axis=1)
-        found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
-        out = []
-        for i in range(0, len(Q), 256):
-            f = found[i:i + 256]
-            q, c = np.nonzero(f >= 0)
-            x = f[q, c]
+                    r, c = np.nonzero(s > -np.inf)
+                found[group[r], members[c]] = True
+        found[alone // self.n, alone % self.n] = False
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        total = np.cumsum(found.sum(1))
+        i = 0
+        while i < len(Q):
+            upto = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + self.cfg.block_pairs, "right")))
+            q, x = np.nonzero(found[i:upto])
             q += i
-            s32 = np.einsum("ij,ij->i", Q32[q], X32[x])
-            other = ids[x] != qids[q]
-            q, x, s32 = q[other], x[other], s32[other]
-            o = np.lexsort((-s32, q))
+            s = np.einsum("ij,ij->i", Q32[q], X32[x])
+            low = s - off[x]
+            o = np.lexsort((-low, q))
             place = np.arange(len(o)) - np.searchsorted(q[o], q[o])
-            o = o[place < keep]
-            q, x = q[o], x[o]
+            least = np.full(len(Q), -np.inf, np.float32)
+            least[q[o][place == k - 1]] = low[o][place == k - 1]
+            near = s + off[x] >= least[q]
+            q, x = q[near], x[near]
             s = np.einsum("ij,ij->i", Q[q], X[x])
-            o = np.lexsort((ids[x], -s, q))
+            # the smallest k ids of each vector besides the query's own
+            key = q * self.n + x
+            where = np.searchsorted(own, key)
+            hit = where < len(own)
+            hit[hit] = own[where[hit]] == key[hit]
+            more = np.zeros(len(q), np.int64)
+            more[hit] = own_rows[where[hit]]
+            # of each query the k best vectors by score and smallest id hold its k best rows
+            low_id = ids[begin[x]]
+            for j in np.flatnonzero(hit):
+                mine = ids[begin[x[j]]:begin[x[j] + 1]]
+                low_id[j] = mine[mine != qids[q[j]]][0]
+            o = np.lexsort((low_id, -s, q))
             place = np.arange(len(o)) - np.searchsorted(q[o], q[o])
             o = o[place < k]
-            out.append((qids[q[o]], ids[x[o]], s[o]))
+            q, x, s, more = q[o], x[o], s[o], more[o]
+            size = np.minimum(begin[x + 1] - begin[x], k + more)
+            each = np.repeat(np.arange(len(q)), size)
+            row = begin[x][each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+            q, s, vec = q[each], s[each], ids[row]
+            other = vec != qids[q]
+            q, s, vec = q[other], s[other], vec[other]
+            o = np.lexsort((vec, -s, q))
+            place = np.arange(len(o)) - np.searchsorted(q[o], q[o])
+            o = o[place < k]
+            out.append((qids[q[o]], vec[o], s[o]))
+            i = upto
         return [np.concatenate(p) for p in zip(*out)]
 
+    def _own(self, ids: np.ndarray, of: np.ndarray, qids: np.ndarray):
+        """(query * n + vector, rows) where rows of the vector have the query's id, ascending."""
+        by = np.argsort(ids, kind="stable")
+        lo, hi = np.searchsorted(ids[by], qids), np.searchsorted(ids[by], qids, "right")
+        size = hi - lo
+        q = np.repeat(np.arange(len(qids)), size)
+        row = by[np.repeat(lo, size) + np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size)]
+        return np.unique(q * self.n + of[row], return_counts=True)
+
 
 def nearest(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20,
             cfg: ForestConfig = DEFAULT) -> DataFrame:

@@ -80,6 +80,27 @@ def test_nearest_odd_rows_and_ties(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_with_thousands_of_copies():
+    """Of any number of tied candidates those with the smallest ids stay, whatever the order of the rows."""
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(8000, 12))
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    X[:3000] = X[0]  # copies
+    X[3000:6000] = 0.0
+    X[3000:6000, :2] = X[0, :2]  # equal scores by vectors that differ in what no query sees
+    X[3000:6000, 11] = np.arange(3000) / 1e5
+    ids = rng.permutation(len(X)).astype(np.int64)
+    Q = np.vstack([X[0], X[7000], np.r_[X[0, :2], np.zeros(10)]])
+    ids[6999] = ids[0]  # an id that also stands elsewhere
+    qids = np.array([ids[0], ids[7000], -1])
+    got = ann.Forest(X, ann.ForestConfig(share=50.0)).search(X, ids, Q, qids, 20)  # all are candidates: exact
+    for i, q in enumerate(qids):
+        s = np.einsum("ij,ij->i", np.tile(Q[i], (len(X), 1)), X)
+        want = [r for r in np.lexsort((ids, -s)) if ids[r] != q][:20]
+        mine = got[0] == q
+        assert got[1][mine].tolist() == ids[want].tolist() and np.allclose(got[2][mine], s[want], atol=1e-12)
+
+
 def test_forest_prefix_ranges_grow_until_enough():
     rng = np.random.default_rng(1)
     X = rng.normal(size=(500, 16))
