@@ -5,7 +5,10 @@ in the places of links, headings of the site, footers and the like negative, and
 tags negative; the weights are log-odds learned from labelled pages.  One linear
 scan finds the contiguous region of greatest score.  What is never part of an
 article (menus, adverts, forms, notices, scripts, comments, ...) scores nothing
-and is left out of the region's text.
+and is left out of the region's text.  A class, id or role says so only if it names
+nothing else; ``related-work`` or ``has-sidebar`` makes a place less likely, no more.
+Headings and what stands in an article's running text are never left out by name,
+and a form or marked place around the article itself is none.
 
 Labelled pages are pages whose author marked the article (``<article>`` or
 ``<main>``): what it holds, those places left out, is content.
@@ -35,6 +38,7 @@ class ExtractConfig:
     max_chars: int = 200_000  # longest page of that sample
     smooth: float = 2.0
     tag_cost: float = 0.5  # of a tag that only occurs outside of articles
+    weak_cost: float = 0.5  # share that a word loses where a name only contains a mark, if no such place was learned
 
 
 DEFAULT = ExtractConfig()
@@ -52,6 +56,13 @@ MARKS = {
     "footer", "contentinfo", "masthead", "share", "sharing", "social", "related", "recommended", "newsletter",
     "subscribe", "subscription", "signup", "popup", "modal", "overlay", "widget", "pagination", "login", "search",
 }
+# Words that, beside such a mark, still name the place and not what it tells of.
+NEUTRAL = {"box", "container", "wrapper", "wrap", "bar", "slot", "unit", "inner", "outer", "top", "bottom", "left", "right",
+           "site", "main", "primary", "secondary", "button", "buttons", "icon", "icons", "link", "links"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Elements that are part of the running text where they stand in an article.
+RUNNING = HEADINGS | {"section", "p", "blockquote", "pre", "code", "figure", "figcaption", "table", "thead", "tbody", "tr", "td",
+                      "th", "dl", "dt", "dd", "em", "strong", "b", "i", "mark", "q", "cite"}
 SITE_MARKS = {"header", "banner", "masthead", "topbar"}  # of the page, not of the article
 # Elements that stand within a line; every other tag ends a block.
 INLINE = {
@@ -74,49 +85,127 @@ HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?tru
 MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def _marks(attrs: str) -> set:
-    found = set()
+def _named(attrs: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether a class, id or role names a place that is no part of an article, and whether one contains such a word.
+
+    In an article an id is an anchor and names nothing.
+    """
+    marks = MARKS if in_main else MARKS | SITE_MARKS
+    whole = part = False
     for m in ATTR.finditer(attrs):
-        found.update(w.lower() for w in MARK_WORD.findall(m[2] or m[3] or m[4] or ""))
-    return found
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = {w.lower() for w in MARK_WORD.findall(name) if not w.isdigit()}
+            if words & marks:
+                part = True
+                whole = whole or words <= marks | NEUTRAL and not (in_main and m[1].lower() == "id")
+    return whole, part
+
+
+def _standing(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
+    """(never part of an article, not unless it holds the article, less likely) of an element of its own."""
+    if tag != "form" and tag in EXCLUDED or (tag == "header" and not in_main):
+        return True, False, False
+    if not attrs or tag in UNMARKED:
+        return False, tag == "form", False
+    if HIDDEN.search(attrs):
+        return True, False, False
+    whole, part = _named(attrs, in_main)
+    cut = whole and not (tag in HEADINGS or in_main and tag in RUNNING)
+    return False, cut or tag == "form", part
 
 
-def _excluded(tag: str, attrs: str, in_main: bool) -> bool:
-    if tag in EXCLUDED or (tag == "header" and not in_main):
-        return True
-    if not attrs or tag in UNMARKED:
-        return False
-    marks = _marks(attrs)
-    return bool(marks & MARKS or (not in_main and marks & SITE_MARKS) or HIDDEN.search(attrs))
+def _around_article(elements: list[tuple], texts: list[tuple]) -> set[int]:
+    """The elements that would be left out but hold the article, among forms and marked places.
+
+    Such an element holds most of the text that is marked as article on the page (a
+    form may do without a mark), and more words than remain without all of them.  In
+    an article it must hold a single further one: several are cards or comments.
+    """
+    size = len(elements)
+    held = [0] * size  # outermost <article> and <main> elements in it
+    for e in range(size - 1, -1, -1):  # a parent stands before what it holds
+        if elements[e][0] >= 0:
+            held[elements[e][0]] += 1 if elements[e][1] in MAIN else held[e]
+    asked = {e for e, (_, tag, main, _, soft, _) in enumerate(elements) if soft and (
+        held[e] == 1 if main else held[e] or tag == "form")}
+    if not asked:
+        return asked
+    words, marked, rest, total = [0] * size, [0] * size, 0, 0
+    for what, e in texts:
+        if e < 0:
+            rest += len(what.split())
+        else:
+            words[e] += len(what.split())
+    cut, within = [False] * size, [False] * size
+    for e, (parent, _, _, never, soft, _) in enumerate(elements):
+        cut[e] = parent >= 0 and cut[parent] or never or soft and e not in asked
+        within[e] = parent >= 0 and within[parent] or e in asked
+        if cut[e]:
+            words[e] = 0
+        elif not within[e]:
+            rest += words[e]
+    for e in range(size - 1, -1, -1):
+        parent, tag = elements[e][:2]
+        inner = words[e] if tag in MAIN else marked[e]
+        if parent >= 0:
+            words[parent] += words[e]
+            marked[parent] += inner
+        else:
+            total += inner
+    return {e for e in asked if (words[e] if elements[e][1] == "form" else marked[e]) > rest and (
+        elements[e][2] or 2 * marked[e] >= total)}
 
 
 def tokens(page: str) -> Iterator[tuple]:
     """The page as ("text", raw text, place, excluded, in article) and ("tag", name, block, excluded, in article).
 
-    The place of a text is its innermost element.  Damaged markup is read as
+    The place of a text is its innermost element, after a ~ where a name makes it less likely.  Damaged markup is read as
     browsers do, roughly: an end tag closes everything opened since its start tag,
     a stray one is ignored, a block's start tag ends an open paragraph, an unclosed
     comment or script runs to the end of the page, and a "<" that begins no tag is text.
     """
-    stack: list[tuple[str, bool, bool]] = []  # element, excluded, in article
+    parts, elements = _parse(page)
+    lifted: set[int] = set()
+    if any(x[4] for x in elements):
+        lifted = _around_article(elements, [(x[1], x[3]) for x in parts if x[0] == "text"])
+    state = []  # excluded, in article, less likely
+    for e, (parent, _, main, never, soft, weak) in enumerate(elements):
+        out, _, less = state[parent] if parent >= 0 else (False, False, False)
+        state.append((out or never or soft and e not in lifted, main, less or weak))
+    for kind, what, block, e in parts:
+        out, main, less = state[e] if e >= 0 else (False, False, False)
+        if kind == "text":
+            place = elements[e][1] if e >= 0 else ""
+            yield kind, what, "~" + place if less else place, out, main
+        else:
+            yield kind, what, block, out, main
+
+
+def _parse(page: str):
+    """("text", raw text, False, element) and ("tag", name, block, element) in order, and the elements.
+
+    An element is (parent, tag, in article, never, not unless it holds the article, less likely).
+    """
+    parts: list[tuple] = []
+    elements: list[tuple] = []
+    stack: list[int] = []
     at, start, size = 0, 0, len(page)
 
     def text(upto):
         if upto > start:
-            tag, out, main = stack[-1] if stack else ("", False, False)
-            yield "text", page[start:upto], tag, out, main
+            parts.append(("text", page[start:upto], False, stack[-1] if stack else -1))
 
     while True:
         at = page.find("<", at)
         if at < 0:
             break
         if page.startswith("<!--", at):
-            yield from text(at)
+            text(at)
             end = page.find("-->", at + 4)
             at = start = size if end < 0 else end + 3
             continue
         if page.startswith(("<!", "<?"), at):
-            yield from text(at)
+            text(at)
             end = page.find(">", at)
             at = start = size if end < 0 else end + 1
             continue
@@ -124,38 +213,39 @@ def tokens(page: str) -> Iterator[tuple]:
         if not m:
             at += 1
             continue
-        yield from text(at)
+        text(at)
         at = start = m.end()
         close, tag, attrs = m[1], m[2].lower(), m[3]
-        _, out, main = stack[-1] if stack else ("", False, False)
         if close:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            inner = stack[-1] if stack else -1
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if elements[stack[i]][1] == tag), -1)
             if depth >= 0:
                 del stack[depth:]
-            yield "tag", "/" + tag, tag not in INLINE, out, main
+            parts.append(("tag", "/" + tag, tag not in INLINE, inner))
             continue
         if tag in ENDS_P:
             # an open paragraph ends, unless a block of its own stands in between
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
+                name = elements[stack[i]][1]
+                if name == "p":
                     del stack[i:]
                     break
-                if stack[i][0] not in INLINE:
+                if name not in INLINE:
                     break
-            _, out, main = stack[-1] if stack else ("", False, False)
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
+        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and elements[stack[-1]][1] == tag:
             stack.pop()
-            _, out, main = stack[-1] if stack else ("", False, False)
-        main = main or tag in MAIN
-        out = out or _excluded(tag, attrs, main)
-        yield "tag", tag, tag not in INLINE, out, main
+        parent = stack[-1] if stack else -1
+        main = tag in MAIN or parent >= 0 and elements[parent][2]
+        parts.append(("tag", tag, tag not in INLINE, len(elements)))
+        elements.append((parent, tag, main, *_standing(tag, attrs, main)))
         if tag in VOID or attrs.endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = start = size if end is None else end.start()
-        stack.append((tag, out, main))
-    yield from text(size)
+        stack.append(len(elements) - 1)
+    text(size)
+    return parts, elements
 
 
 @dataclass
@@ -169,11 +259,15 @@ class Weights:
     tags: dict = field(default_factory=dict)
     word: float = 1.0  # of a place that was not seen in training
     tag: float = -0.05
+    weak: float = DEFAULT.weak_cost
 
     def of_word(self, place: str, marked: bool, inside: bool) -> float:
         if marked:
             w = self.words.get(inside, 1.0 if inside else -1.0)
             return max(w, 0.1) if inside else min(w, -0.1)
+        if place.startswith("~") and place not in self.words:
+            w = self.words.get(place[1:], self.word)
+            return w - self.weak * abs(w)
         return self.words.get(place, self.word)
 
 
@@ -196,7 +290,7 @@ def learn(pages: list[str], cfg: ExtractConfig = DEFAULT) -> Weights:
             elif n := len(what.split()):
                 word[place, main] += n
                 word[main, main] += n
-    w = Weights()
+    w = Weights(weak=cfg.weak_cost)
     if not word[True, True]:
         return w
     w.words = {

@@ -106,6 +106,29 @@ def test_damaged_and_small_pages(page, text):
     assert H.extract(page, H.Weights()) == text
 
 
+STORY = "<h1>Title</h1><p>One two three four five six.</p>"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='layout has-sidebar'><main>{STORY}</main></div>", "Title One two three four five six."),
+    (f"<div class='widget'><main>{STORY}</main></div><p>By us</p>", "Title One two three four five six."),
+    (f"<form action=/x><div>{STORY}</div></form>", "Title One two three four five six."),
+    (f"<form><div><nav>menu</nav><article>{STORY}</article></div></form>", "Title One two three four five six."),
+    (f"<article>{STORY}<h2 id='related-work'>Related work</h2><p>a</p><section id='search-results'><h2 class=search>Search</h2><p>b</p>"
+     "</section></article>", "Title One two three four five six. Related work a Search b"),
+    (f"<article>{STORY}<section id=notice><p id=share>c</p></section></article>", "Title One two three four five six. c"),
+    (f"<div class='related-work'>{STORY}</div>", "Title One two three four five six."),
+    # what is left out stays out
+    (f"<article>{STORY}<form><p>Write to us</p></form><div class='share-buttons'>Like</div></article>", "Title One two three four five six."),
+    (f"<article>{STORY}<div class=comments><article>No</article><article>{STORY * 3}</article></div></article>", "Title One two three four five six."),
+    (f"<div>{STORY}</div><div class=related><article>Other story</article></div>", "Title One two three four five six."),
+    (f"<article>{STORY}</article><div class=related><article>Other</article></div><form><p>Write</p></form>", "Title One two three four five six."),
+])
+def test_names_do_not_cut_the_article(page, text):
+    for w in (H.Weights(), H.learn([SITE % BODY] * 3)):
+        assert H.extract(page, w) == text
+
+
 def test_deep_and_long_pages():
     assert H.extract("<div>" * 3000 + "word" + "</div>" * 3000, H.Weights()).startswith("word")
     long = "<article>" + "<p>some words here</p>" * 50_000 + "</article>"
