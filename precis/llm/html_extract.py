@@ -11,7 +11,9 @@ Headings and what stands in an article's running text are never left out by name
 and a form or marked place around the article itself is none.
 
 Labelled pages are pages whose author marked the article (``<article>`` or
-``<main>``): what it holds, those places left out, is content.
+``<main>``): what it holds, those places left out, is content.  A mark that covers a
+small part of the page's running text is that of teasers; such a page teaches nothing
+and is scored as one without a mark.
 
 Parsing and scan are a row-local Arrow UDF.
 """
@@ -38,6 +40,8 @@ class ExtractConfig:
     max_chars: int = 200_000  # longest page of that sample
     smooth: float = 2.0
     tag_cost: float = 0.5  # of a tag that only occurs outside of articles
+    least_marked: float = 0.25  # share of the running text that a marked article has at least
+    least_parts: float = 0.5  # if several elements mark it, as teasers do
     weak_cost: float = 0.5  # share that a word loses where a name only contains a mark, if no such place was learned
 
 
@@ -260,6 +264,23 @@ class Weights:
     word: float = 1.0  # of a place that was not seen in training
     tag: float = -0.05
     weak: float = DEFAULT.weak_cost
+    least_marked: float = DEFAULT.least_marked
+    least_parts: float = DEFAULT.least_parts
+
+    def marks(self, parts: list[tuple]) -> bool:
+        """Whether the page marks its article: what it marks is no small part of the words that score."""
+        inside = outside = count = depth = 0
+        for kind, what, place, out, main in parts:
+            if kind == "tag":
+                if main and what in MAIN:
+                    count += depth == 0 and not out
+                    depth += 1
+                elif depth and what[0] == "/" and what[1:] in MAIN:
+                    depth -= 1
+            elif not out and (main or self.of_word(place, False, False) > 0):
+                n = len(what.split())
+                inside, outside = (inside + n, outside) if main else (inside, outside + n)
+        return inside > 0 and inside >= (self.least_parts if count > 1 else self.least_marked) * (inside + outside)
 
     def of_word(self, place: str, marked: bool, inside: bool) -> float:
         if marked:
@@ -278,9 +299,10 @@ def learn(pages: list[str], cfg: ExtractConfig = DEFAULT) -> Weights:
     everywhere and tags a little less than 0.
     """
     word, tag = Counter(), Counter()
+    w = Weights(weak=cfg.weak_cost, least_marked=cfg.least_marked, least_parts=cfg.least_parts)
     for page in pages:
         parts = list(tokens(page))
-        if not any(x[4] for x in parts):
+        if not w.marks(parts):
             continue
         for kind, what, place, out, main in parts:
             if out:
@@ -290,7 +312,6 @@ def learn(pages: list[str], cfg: ExtractConfig = DEFAULT) -> Weights:
             elif n := len(what.split()):
                 word[place, main] += n
                 word[main, main] += n
-    w = Weights(weak=cfg.weak_cost)
     if not word[True, True]:
         return w
     w.words = {
@@ -306,7 +327,7 @@ def learn(pages: list[str], cfg: ExtractConfig = DEFAULT) -> Weights:
 def extract(page: str, weights: Weights) -> str:
     """The main text of a page; empty if it has none."""
     parts = list(tokens(page))
-    marked = any(x[4] and not x[3] for x in parts if x[0] == "text" and x[1].strip())
+    marked = weights.marks(parts)
     best, total, begin, region = 0.0, 0.0, 0, None
     decoded: dict[int, str] = {}
     for i, (kind, what, place, out, main) in enumerate(parts):
@@ -332,7 +353,7 @@ def extract(page: str, weights: Weights) -> str:
         if kind == "tag":
             if block:
                 out_text.append(" ")
-        elif not out and not (marked and not parts[i][4]):
+        elif not out:
             out_text.append(decoded[i])
     return " ".join("".join(out_text).split())
 

@@ -129,6 +129,20 @@ def test_names_do_not_cut_the_article(page, text):
         assert H.extract(page, w) == text
 
 
+def test_teasers_are_not_the_article():
+    story = "".join(f"<p>Sentence {i} of the story, which is told at some length here.</p>" for i in range(30))
+    told = " ".join(f"Sentence {i} of the story, which is told at some length here." for i in range(30))
+    cards = "<div><article><h3>Other</h3><p>A teaser</p></article><article><h3>More</h3><p>A second teaser</p></article></div>"
+    for w in (H.Weights(), H.learn([SITE % BODY] * 3), H.learn([f"<div>{story}</div>{cards}"])):
+        assert told in H.extract(f"<body><div>{story}</div>{cards}</body>", w)
+        assert told in H.extract(f"<body>{cards}<div>{story}</div></body>", w)
+        # a mark that holds most of the text still decides, and nothing between its parts is dropped
+        assert H.extract(f"<p>By us</p><article>{story}</article><p>All rights</p>", w) == told
+        both = H.extract(f"<article>{story}</article><p>In between</p><article>{story}</article>", w)
+        assert both == f"{told} In between {told}"
+    assert H.learn([f"<div>{story}</div>{cards}"]) == H.Weights()
+
+
 def test_deep_and_long_pages():
     assert H.extract("<div>" * 3000 + "word" + "</div>" * 3000, H.Weights()).startswith("word")
     long = "<article>" + "<p>some words here</p>" * 50_000 + "</article>"
