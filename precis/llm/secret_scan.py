@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Fixed patterns (``BASE``) are always reported.  Besides, every long token of a text
-is a candidate.  Its encoding (hex, base32, base64, ...) is inferred from the
+is a candidate, or what a fixed pattern leaves of it; a token that fits no alphabet is
+one for each of its parts between signs.  Its encoding (hex, base32, base64, ...) is inferred from the
 characters it uses, and three tests ask whether it can be a uniformly random string
 of that alphabet: chi-squared uniformity, a runs test and the lag-1 serial
 correlation.  Fisher's method joins them into one p-value, uniform for random
@@ -49,6 +50,7 @@ ASSIGN = re.compile(
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")  # every access, hex and candidate span lies in one
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
+PART = re.compile(r"[A-Za-z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")  # their order in results
 
@@ -151,17 +153,43 @@ def scan_text(text: str, cfg: SecretConfig = DEFAULT):
     runs = [m.span() for m in RUN.finditer(text)]
     base = base_spans(text, runs)
     found = []
-    for a, b in runs:
-        if b - a < cfg.min_token or any(s < b and a < e for s, _, e in base):
+    for a, b in beside(text, runs, base):
+        if b - a < cfg.min_token:
             continue
         enc = infer_encoding(text[a:b])
-        if not enc:  # mixed alphabets, or decimal
-            continue
-        p = randomness_p(text[a:b], enc)
-        found.append((a, b, group_of(enc, b - a), min(cfg.bins - 1, int(p * cfg.bins))))
+        parts = [(a, b, enc)]
+        if enc is None:  # mixed alphabets, such as a key in a path
+            parts = [(*m.span(), infer_encoding(m[0])) for m in PART.finditer(text, a, b) if m.end() - m.start() >= cfg.min_token]
+        for s, e, enc in parts:
+            if enc:  # not decimal
+                p = randomness_p(text[s:e], enc)
+                found.append((s, e, group_of(enc, e - s), min(cfg.bins - 1, int(p * cfg.bins))))
     return base, found
 
 
+def beside(text: str, runs: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What base spans leave of the runs, without the sign that joins it to a span."""
+    covered: list[list[int]] = []
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    i = 0
+    for a, b in runs:
+        while i < len(covered) and covered[i][1] <= a:
+            i += 1
+        j, joined = i, False
+        while j < len(covered) and covered[j][0] < b:
+            s, e = covered[j]
+            if a < s:
+                yield a + (joined and text[a] in "+/_-"), s - (text[s - 1] in "+/_-")
+            a, joined = max(a, e), True
+            j += 1
+        if a < b:
+            yield a + (joined and text[a] in "+/_-"), b
+
+
 def group_of(enc: int, length: int) -> int:
     return enc * (len(_LENGTHS) + 1) + sum(length > x for x in _LENGTHS)
 
