@@ -12,7 +12,9 @@ Which p-values are secret is decided over the corpus and per length: in each gro
 of tokens of one encoding and similar length the histogram of p-values shows how
 many are random (the flat part), so the share of ordinary tokens above any cut can
 be estimated; the cut is the smallest one that keeps that share at or below
-``fdr``.  Only that histogram, whose size is fixed, reaches the driver.
+``fdr``.  Every group's histogram starts from the same few assumed tokens, so the
+rule holds for rare encodings too: alone they are cut at a small p-value, and the
+more tokens there are the more these decide.  Only that histogram, whose size is fixed, reaches the driver.
 
 The scan itself is a row-local Arrow UDF.
 """
@@ -38,8 +40,9 @@ class SecretConfig:
     fdr: float = 0.05
     flat_from: float = 0.5  # p-values above this show the share of random strings
     bins: int = 100  # of the p-value
-    least: int = 30  # tokens a group needs for a cut of its own; else its encoding's lengths are pooled
-    fallback: float = 0.3  # cut where an encoding has fewer tokens than that
+    known: float = 60.0  # tokens assumed in each group: so many random ones and as many ordinary ones
+    ordinary: float = 0.03  # p-values of the assumed ordinary tokens are below this
+    fallback: float = 0.3  # cut where there is no token at all
 
 
 DEFAULT = SecretConfig()
@@ -225,9 +228,7 @@ def cuts(scanned: DataFrame, column: str = "scan", cfg: SecretConfig = DEFAULT)
     )
     for r in rows:
         hist.setdefault(r["grp"], np.zeros(cfg.bins))[r["bin"]] += r["count"]
-    groups = len(_LENGTHS) + 1
-    pooled = {g: sum((h for k, h in hist.items() if k // groups == g // groups), np.zeros(cfg.bins)) for g in hist}
-    return {g: cut_of(h if h.sum() >= cfg.least else pooled[g], cfg) for g, h in hist.items()}
+    return {g: cut_of(h, cfg) for g, h in hist.items()}
 
 
 def cut_of(hist: np.ndarray, cfg: SecretConfig = DEFAULT) -> int:
@@ -235,8 +236,11 @@ def cut_of(hist: np.ndarray, cfg: SecretConfig = DEFAULT) -> int:
 
     Random strings spread evenly over the bins; ``cfg.bins`` if no bin qualifies.
     """
-    if hist.sum() < cfg.least:
+    if not hist.sum():
         return int(cfg.fallback * cfg.bins)
+    low = max(1, round(cfg.ordinary * cfg.bins))
+    hist = hist + cfg.known / cfg.bins
+    hist[:low] += cfg.known / low
     flat = int(cfg.flat_from * cfg.bins)
     per_bin = hist[flat:].sum() / (cfg.bins - flat)  # random strings in each bin
     for cut in range(cfg.bins):

@@ -69,6 +69,21 @@ def test_cut_controls_the_share_of_ordinary_tokens():
     assert secret_scan.cut_of(np.zeros(100)) == 30
 
 
+def test_few_tokens_are_cut_by_the_same_rule():
+    rng = random.Random(6)
+    for n in (1, 5, 29, 30, 200):  # random strings of a rare encoding
+        kept = total = 0
+        for _ in range(100):
+            p = [secret_scan.randomness_p("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=32)), 3) for _ in range(n)]
+            bins = [min(99, int(x * 100)) for x in p]
+            cut = secret_scan.cut_of(np.bincount(bins, minlength=100))
+            kept, total = kept + sum(b >= cut for b in bins), total + n
+        assert kept / total > 0.9
+    for n in (1, 29, 30, 1000):  # ordinary tokens
+        assert secret_scan.cut_of(np.bincount([0] * n, minlength=100)) >= 1
+    assert secret_scan.cut_of(np.bincount([0] * 40 + [10] * 20, minlength=100)) > 10
+
+
 def test_what_stands_beside_a_fixed_pattern_is_tested():
     rng = random.Random(4)
     key = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
