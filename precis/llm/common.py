@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from precis.session import checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,6 +62,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.float64), (n1 or 0) / n
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores before it as make it no column of ``taken``."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether every row is one row of a file: nothing but selections and filters above one scan."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and "_metadata" not in docs.columns
+
+
+def with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a key column, a struct (f, r) of two longs, that is the same whenever a row is read again.
+
+    Rows of Parquet files have their file (its hash) and their place in it, however Spark
+    cuts the files into tasks; no row is copied.  Other tables are numbered and stored.
+    """
+    if _plain_scan(docs):
+        try:
+            key = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+            return docs.select("*", key.alias(name))
+        except AnalysisException:  # files of another format have no places
+            pass
+    checkpoint_dir(docs.sparkSession)
+    key = F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r"))
+    return docs.withColumn(name, key).checkpoint()
+
+
 def texts_of(array: pa.Array) -> list[str]:
     """Python strings of an Arrow column, nulls as empty texts."""
     return [t or "" for t in array.to_pylist()]

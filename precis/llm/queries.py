@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from precis.llm import ann, bpe, html_extract, jaccard, packing, quality, secret_scan, topk, toxicity, warc
+from precis.llm import (
+    ann, bpe, hard_negatives, html_extract, jaccard, line_dedup, merkle, packing, quality, secret_scan, topk, toxicity, warc,
+)
 from precis.llm.common import held_out, table
 from precis.session import checkpoint_dir
 
@@ -83,6 +85,22 @@ def op10_main_text(spark, sf_dir):
     return d.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_merkle(spark, sf_dir):
+    return merkle.manifest_proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows)
+
+
+def op13_line_dedup(spark, sf_dir):
+    d = line_dedup.drop_common(table(spark, sf_dir, "documents"))
+    return d.select(
+        "doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries():
     import corpus_pipeline
 
@@ -97,5 +115,8 @@ def queries():
         "op8_jaccard": op8_jaccard,
         "op9_warc": op9_warc,
         "op10_main_text": op10_main_text,
+        "op11_merkle": op11_merkle,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_line_dedup": op13_line_dedup,
         "pipeline": corpus_pipeline.run,
     }

@@ -16,13 +16,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
-def clean(df: DataFrame, vec_id: str, vector: Column, zeros: bool) -> DataFrame:
-    """vec_id, v (array<double>), dim: the rows that take part.
+def clean(df: DataFrame, vec_id: str, vector: Column, zeros: bool, more: tuple = ()) -> DataFrame:
+    """vec_id, v (array<double>), the columns ``more``, dim: the rows that take part.
 
     Rows with a null id, a null or empty vector, or a null or non-finite component
     are left out, and zero vectors too unless ``zeros``.
     """
-    d = df.select(F.col(vec_id).cast("long").alias("vec_id"), vector.cast("array<double>").alias("v"))
+    d = df.select(F.col(vec_id).cast("long").alias("vec_id"), vector.cast("array<double>").alias("v"), *more)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     d = d.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite)
     if not zeros:
