@@ -1,18 +1,18 @@
 """Text-cleaning scalar functions (T1-T15): ``Column -> Column``.
 
-All of them are native Catalyst expressions (regexp_replace, trim, split, ...),
-so they run inside whole-stage code generation and never leave the JVM.
+All of them are native Catalyst expressions (regexp_replace, trim, split, ...), so they
+run inside whole-stage code generation; only texts with HTML markup leave the JVM, for
+the tokenizer of T2.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from precis import config as C
 from precis.functions import patterns as P
+from precis.functions.html import html_text, unescaped
 
 
 def _c(col) -> Column:
@@ -25,47 +25,16 @@ def coerce_text(col) -> Column:
 
 
 def decode_entities(col) -> Column:
-    """Decode every HTML character reference that ends in a semicolon, once, in one pass.
-
-    ``&#NNN;`` and ``&#xHH;`` with any number of digits; what is no character (zero,
-    a surrogate, beyond U+10FFFF) becomes U+FFFD, as in an HTML parser.  Names are
-    those of HTML 5; an unknown one stays as it is.
-    """
-    c = _c(col)
-    names = F.from_json(F.lit(json.dumps(C.html_entities())), "map<string,string>")  # folded to a literal
-
-    def piece(p, i):
-        num = F.regexp_extract(p, r"^#([0-9]+|[xX][0-9a-fA-F]+);", 1)
-        dec, hx = F.regexp_replace(num, "^0+", ""), F.regexp_replace(num, "^[xX]0*", "")
-        code = F.when(num.rlike("^[xX]"), F.when(F.length(hx) <= 6, F.conv(hx, 16, 10).try_cast("int"))).otherwise(
-            F.when(F.length(dec) <= 7, dec.try_cast("int")))
-        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.coalesce(F.when(good, code), F.lit(0xFFFD))), 8, "0")), "UTF-32")
-        name = F.try_element_at(names, F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1))
-        rest = F.substring(p, F.instr(p, ";") + 1, F.length(p))
-        return (
-            F.when(i == 0, p)
-            .when(num != "", F.concat(char, rest))
-            .when(p.rlike("^[A-Za-z][A-Za-z0-9]*;"), F.coalesce(F.concat(name, rest), F.concat(F.lit("&"), p)))
-            .otherwise(F.concat(F.lit("&"), p))
-        )
-
-    return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(F.split(c, "&"), piece), "")).otherwise(c)
+    """Every HTML character reference, decoded once; what is no character becomes U+FFFD."""
+    return unescaped(_c(col))
 
 
 def html_to_text(col) -> Column:
-    """Drop comments, script/style/template blocks and tags; decode entities.
+    """The text nodes of a page, joined by blanks; character references decoded once.
 
-    A block without its end tag runs to the end of the text.  Tags become a space
-    (text nodes joined by " "); entities are decoded after the tags are gone, once,
-    so a decoded ``<`` or ``&`` is never read again.
+    Comments, script, style and template content are no text; see :mod:`precis.functions.html`.
     """
-    c = _c(col)
-    c = F.regexp_replace(c, P.HTML_COMMENT, " ")
-    for block in P.HTML_BLOCKS:
-        c = F.regexp_replace(c, block, " ")
-    c = F.regexp_replace(c, P.HTML_TAG, " ")
-    return decode_entities(c)
+    return html_text(_c(col))
 
 
 def strip_urls(col) -> Column:
