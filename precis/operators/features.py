@@ -4,12 +4,9 @@ Features per sentence (M1): max-scaled TF-IDF (F7), max-scaled TextRank (G5),
 position (N5), length in words (N3), length / mean length (N4).
 
 Weak label (M2): 1 when ROUGE-1 F of the sentence against the document's
-reference summary is > 0.3.  Computed per document without repeating the
-reference per sentence: one explode of the reference's n-grams (tagged
-sent_idx = -1) and every sentence's n-grams, counts per (doc, sentence,
-token), the reference count of each token by a window over (doc, token).
-All keys start with the document id, so nothing shuffles again after the
-document partitioning.
+reference summary is > 0.3.  Computed for all sentences of a document at once,
+in an Arrow UDF next to the sentence split, so it needs no shuffle and no join
+with the features.
 
 Scaler (M5/M6): min/max per feature over all sentences in one aggregation;
 the fitted scaler is 5 x 5 numbers, so it is applied as literals (constant
@@ -24,16 +21,17 @@ from pyspark.sql import Window
 
 from precis import config as C
 from precis.functions.text import normalize_ws
-from precis.functions.porter import rouge_stem_sql
+from precis.functions.stem import rouge_1_of_sentences
 from precis.functions.tokens import rouge_tokens
 from precis.operators import sentences as N
+from precis.operators.sentences import CARRY
 from precis.operators.textrank import textrank_scores
 
 FEATURES = ("tfidf", "textrank", "position", "length", "norm_length")
 
 
 def sentence_features(sent: DataFrame, id_col: str = "doc_id", settings: C.Settings = C.DEFAULT,
-                      carry_text: bool = False) -> DataFrame:
+                      carry_text: bool = False, plain=(), also=()) -> DataFrame:
     """M1: (id, sent_idx, n_sent, tfidf, textrank, position, length, norm_length[, sentence]).
 
     One branch: the shared term stream computes the max-scaled TF-IDF score
@@ -46,8 +44,14 @@ def sentence_features(sent: DataFrame, id_col: str = "doc_id", settings: C.Setti
     from precis.operators.tfidf import scoring_stream
 
     stream = scoring_stream(sent, id_col, settings, min_sent=1, features=True)
+    # values that were computed for each sentence: its label's ROUGE-1, the TextRank of a user's vectors
+    given = [c for c in ("rouge_1", "given_rank") if c in stream.columns]
     k = textrank_scores(stream, id_col, settings.damping, settings.tol, settings.max_iter, carry_text=carry_text,
-                        passthrough=("tfidf_h", "n_words", "mean_len"))
+                        passthrough=("tfidf_h", "n_words", "mean_len", *plain, *given), also=also)
+    rank = F.col("textrank_feature")
+    if "given_rank" in given:
+        most = F.max("given_rank").over(Window.partitionBy(id_col))
+        rank = F.when(most > 0, F.col("given_rank") / most).otherwise(F.col("given_rank"))
     pos = F.col("sent_idx") / F.greatest(F.col("n_sent") - 1, F.lit(1))
     norm = F.col("n_words") / F.greatest(F.col("mean_len"), F.lit(1.0))
     return k.select(
@@ -55,75 +59,51 @@ def sentence_features(sent: DataFrame, id_col: str = "doc_id", settings: C.Setti
         "sent_idx",
         "n_sent",
         F.coalesce(F.col("tfidf_h"), F.lit(0.0)).alias("tfidf"),
-        F.coalesce(F.col("textrank_feature"), F.lit(0.0)).alias("textrank"),
+        F.coalesce(rank, F.lit(0.0)).alias("textrank"),
         F.coalesce(pos, F.lit(0.0)).alias("position"),
         F.coalesce(F.col("n_words"), F.lit(0.0)).alias("length"),
         F.coalesce(norm, F.lit(0.0)).alias("norm_length"),
+        *(["rouge_1"] if "rouge_1" in given else []),
+        *also,
+        *[F.col("tfidf").alias("plain_tfidf"), F.col("textrank").alias("plain_textrank")][:2 * len(plain)],
         *(["sentence"] if carry_text else []),
+        *([CARRY] if CARRY in k.columns else []),
     )
 
 
-def _stem_array(arr: str):
-    return F.expr(f"transform(`{arr}`, tk -> {rouge_stem_sql('tk')})")
+def sentence_rouge_1(summary, sentences_col: str = "sentences"):
+    """ROUGE-1 F of every sentence against the reference summary, array<double>."""
+    return rouge_1_of_sentences(F.transform(sentences_col, lambda s: rouge_tokens(s)), rouge_tokens(summary))
 
 
 def weak_labels(docs: DataFrame, id_col: str = "doc_id", summary_col: str = "highlights",
                 threshold: float = C.DEFAULT.label_threshold) -> DataFrame:
     """M2: (id, sent_idx, rouge_1, label) for every sentence of every document.
 
-    ``docs`` carries (id, sentences, summary_col), partitioned by id.
+    ``docs`` carries (id, sentences, summary_col); row-local.
     """
-    t = docs.select(
-        id_col,
-        F.transform("sentences", lambda s: rouge_tokens(s)).alias("_st"),
-        rouge_tokens(summary_col).alias("_rt"),
-    )
-    t = t.withColumn("_rt", _stem_array("_rt")).withColumn(
-        "_st", F.expr(f"transform(_st, s -> transform(s, tk -> {rouge_stem_sql('tk')}))")
-    )
-    ref = F.transform("_rt", lambda g: F.struct(F.lit(-1).alias("i"), g.alias("g")))
-    sen = F.flatten(
-        F.transform(
-            "_st",
-            lambda toks, i: F.concat(
-                F.array(F.struct(i.alias("i"), F.lit(None).cast("string").alias("g"))),
-                F.transform(toks, lambda g: F.struct(i.alias("i"), g.alias("g"))),
-            ),
-        )
-    )
-    x = t.select(id_col, F.size("_rt").alias("ref_len"), F.explode(F.concat(ref, sen)).alias("x"))
-    counts = x.groupBy(id_col, "ref_len", F.col("x.i").alias("sent_idx"), F.col("x.g").alias("g")).agg(
-        F.count("x.g").alias("c")
-    )
-    ref_c = F.max(F.when(F.col("sent_idx") == -1, F.col("c"))).over(Window.partitionBy(id_col, "g"))
-    per = counts.withColumn("rc", F.coalesce(ref_c, F.lit(0))).filter(F.col("sent_idx") >= 0)
-    s = per.groupBy(id_col, "ref_len", "sent_idx").agg(
-        F.sum(F.when(F.col("g").isNotNull(), F.least("c", "rc")).otherwise(0)).alias("ov"),
-        F.sum("c").alias("pred_len"),
-    )
-    p = F.when(F.col("pred_len") > 0, F.col("ov") / F.col("pred_len")).otherwise(F.lit(0.0))
-    r = F.when(F.col("ref_len") > 0, F.col("ov") / F.col("ref_len")).otherwise(F.lit(0.0))
-    f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    return s.select(id_col, "sent_idx", f.alias("rouge_1"), (f > threshold).cast("double").alias("label"))
+    s = docs.select(id_col, F.posexplode(sentence_rouge_1(summary_col)).alias("sent_idx", "rouge_1"))
+    return s.withColumn("label", (F.col("rouge_1") > threshold).cast("double"))
 
 
 def training_set(pairs: DataFrame, id_col: str = "doc_id", text_col: str = "article",
                  summary_col: str = "highlights", settings: C.Settings = C.DEFAULT) -> DataFrame:
-    """M3: features and weak label of every sentence of every usable pair.
+    """M3: (id, sent_idx, n_sent, features, rouge_1, label) of every sentence of every usable pair.
 
-    Blank articles or summaries are skipped (the original skips them too);
-    there is no per-row failure path to skip, so every other row is kept.
+    Blank articles or summaries are skipped (the original skips them too); there is no
+    per-row failure path to skip, so every other row is kept, whatever its id.  One
+    branch: a sentence's ROUGE-1 is computed with the split and rides along to the label.
     """
-    from precis.operators.summarize import prepare_documents
-
     usable = pairs.filter(
         (normalize_ws(text_col) != "") & (normalize_ws(summary_col) != "")
     )
-    docs = prepare_documents(usable, text_col, id_col, keep=(summary_col,))
-    sent = N.sentence_table(docs, id_col)
-    feats = sentence_features(sent, id_col, settings)
-    labels = weak_labels(docs, id_col, summary_col, settings.label_threshold)
-    return feats.join(labels, [id_col, "sent_idx"])
+    docs = N.keyed_documents(usable, text_col, (id_col,), [("_reference", F.col(summary_col))])
+    docs = docs.withColumn("rouge_1", sentence_rouge_1("_reference")).withColumn("_id", F.col(f"{N.CARRY}.`{id_col}`")).drop(N.CARRY)
+    sent = N.sentence_table(docs, N.ROW, more=("rouge_1",), also=("_id",))
+    feats = sentence_features(sent, N.ROW, settings, also=("_id",))
+    return feats.select(
+        F.col("_id").alias(id_col), "sent_idx", "n_sent", *FEATURES, "rouge_1",
+        (F.col("rouge_1") > settings.label_threshold).cast("double").alias("label"))
 
 
 def class_balance(ts: DataFrame) -> DataFrame:
@@ -180,6 +160,22 @@ def apply_scaler(df: DataFrame, scaler: dict, features=FEATURES) -> DataFrame:
     return out
 
 
+def fit_transform(ts: DataFrame, features=FEATURES) -> DataFrame:
+    """M5 + M6 in one plan: min/max over all rows as a scalar subquery, applied to every row.
+
+    Nothing runs before the result is asked for, and nothing is cached.  An empty table
+    gives no rows.
+    """
+    low = ts.agg(F.struct(*[F.min(c).alias(c) for c in features]).alias("low"), F.struct(*[F.max(c).alias(c) for c in features]).alias("high"))
+    s = low.select(F.struct("low", "high")).scalar()
+    out = ts
+    for c in features:
+        mn, mx = s["low"][c], s["high"][c]
+        scale = F.lit(1.0) / F.when(mx - mn == 0, F.lit(1.0)).otherwise(mx - mn)
+        out = out.withColumn(c, F.col(c) * scale - mn * scale + F.lit(0.0))
+    return out
+
+
 def split_bucket(id_col: str = "doc_id") -> F.Column:
     """M9: a stable bucket 0..65535 from md5 of the id (same in SQL engines)."""
     return F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4), 16, 10).cast("int")

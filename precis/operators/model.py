@@ -20,29 +20,35 @@ import os
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from precis import config as C
 from precis.operators.features import FEATURES, apply_scaler, fit_scaler, train_val_split
+from precis.operators.network import Network, fixed_network
+from precis.session import checkpoint_dir
 
 SCALER_KEYS = ("data_min", "data_max", "data_range", "scale", "min", "n_features_in")
 
 
 class ImportanceModel:
-    """Scaler + assembler + MLP.  Untrained instances refuse to predict/save."""
+    """Scaler and network.  Untrained instances refuse to predict/save.
 
-    def __init__(self, pipeline: PipelineModel | None = None, scaler: dict | None = None, history=None):
+    The network is that of a fitted pipeline (assembler + MLP), or one made elsewhere.
+    """
+
+    def __init__(self, pipeline: PipelineModel | None = None, scaler: dict | None = None, history=None,
+                 network: Network | None = None):
         self.pipeline = pipeline
         self.scaler = scaler
         self.history = history or []
+        self.network = network or (Network.from_mlp(pipeline.stages[-1]) if pipeline is not None else None)
 
     @property
     def is_trained(self) -> bool:
-        return self.pipeline is not None and self.scaler is not None
+        return self.network is not None and self.scaler is not None
 
     def _check(self):
         if not self.is_trained:
@@ -50,28 +56,30 @@ class ImportanceModel:
 
     # --- M12 -----------------------------------------------------------------
     def transform(self, feats: DataFrame) -> DataFrame:
+        """The scaled features and ``importance``, the network's probability."""
         self._check()
         scaled = apply_scaler(feats, self.scaler)
-        out = self.pipeline.transform(scaled)
-        return out.withColumn("importance", vector_to_array("probability")[1]).drop(
-            "features", "rawPrediction", "probability", "prediction"
-        )
+        return scaled.withColumn("importance", self.network.apply(*[F.col(c) for c in FEATURES]))
 
     # --- S10 / S8 --------------------------------------------------------------
     def save(self, spark: SparkSession, path: str) -> None:
         if not self.is_trained:
             raise RuntimeError("there is no trained model to save")
-        self.pipeline.write().overwrite().save(os.path.join(path, "model"))
+        if self.pipeline is not None:
+            self.pipeline.write().overwrite().save(os.path.join(path, "model"))
+        else:
+            self.network.save(spark, os.path.join(path, "network"))
         save_scaler(spark, self.scaler, os.path.join(path, "scaler"))
 
     # --- S11 / S9 --------------------------------------------------------------
     @staticmethod
     def load(spark: SparkSession, path: str) -> "ImportanceModel":
-        model_path = os.path.join(path, "model")
-        jvm_fs = _exists(spark, model_path)
-        if not jvm_fs:
-            raise FileNotFoundError(f"no model at {path}")
-        return ImportanceModel(PipelineModel.load(model_path), load_scaler(spark, os.path.join(path, "scaler")))
+        model_path, network_path = os.path.join(path, "model"), os.path.join(path, "network")
+        if _exists(spark, model_path):
+            return ImportanceModel(PipelineModel.load(model_path), load_scaler(spark, os.path.join(path, "scaler")))
+        if _exists(spark, network_path):
+            return ImportanceModel(None, load_scaler(spark, os.path.join(path, "scaler")), network=Network.load(spark, network_path))
+        raise FileNotFoundError(f"no model at {path}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -162,20 +170,55 @@ def train(ts: DataFrame, settings: C.Settings = C.DEFAULT, epochs: int | None =
     return ImportanceModel(pipeline, scaler, history)
 
 
+def binary_metrics(scored: DataFrame, split: str = "split", label: str = "label", score: str = "score") -> DataFrame:
+    """(split, rows, accuracy, auc, loss) of scores in [0, 1] against labels 0 and 1, exact at any size.
+
+    ``auc`` is the area under the ROC curve with ties counted half: of all pairs of a
+    positive and a negative the share in which the positive has the higher score; null
+    where a class has no rows.  Rows of one score are one group, pre-aggregated, and the
+    groups are range-partitioned by score, so a group's negatives below it are those of
+    the partitions before (one number each) and those before it in its own: no window
+    spans more than a partition.  Rows without label or score do not count.
+    """
+    checkpoint_dir(scored.sparkSession)
+    p, y = F.col(score).cast("double"), F.col(label).cast("int")
+    rows = scored.select(F.col(split).alias("split"), p.alias("p"), y.alias("y")).where(F.col("p").isNotNull() & F.col("y").isNotNull())
+    likely = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
+    groups = rows.groupBy("split", "p").agg(
+        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"),
+        F.sum(F.when((F.col("p") >= 0.5) == (F.col("y") == 1), 1).otherwise(0)).alias("right"),
+        F.sum(-F.log(F.greatest(likely, F.lit(1e-15)))).alias("loss"))
+    # stored: both uses of the groups must see the same partitions
+    groups = groups.repartitionByRange("split", "p").sortWithinPartitions("split", "p").withColumn("part", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("split").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = groups.groupBy("split", "part").agg(F.sum("neg").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    own = Window.partitionBy("split", "part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = groups.withColumn("below", F.coalesce(F.sum("neg").over(own), F.lit(0))).join(F.broadcast(parts.drop("n")), ["split", "part"])
+    twice = F.col("pos").cast("decimal(38,0)") * (2 * (F.col("offset") + F.col("below")) + F.col("neg")).cast("decimal(20,0)")
+    total = ranked.groupBy("split").agg(
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(twice.cast("double")).alias("twice"),
+        F.sum("right").alias("right"), F.sum("loss").alias("loss"))
+    n = F.col("P") + F.col("N")
+    return total.select(
+        "split", n.alias("rows"), (F.col("right") / n).alias("accuracy"),
+        F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("twice") / (2.0 * F.col("P") * F.col("N"))).alias("auc"),
+        (F.col("loss") / n).alias("loss"))
+
+
 def training_metrics(model: ImportanceModel, ts: DataFrame, settings: C.Settings = C.DEFAULT) -> DataFrame:
-    """Accuracy, AUC and log-loss on the train and validation parts."""
-    spark = ts.sparkSession
+    """Accuracy, AUC and log-loss on the train and validation parts (those that have rows)."""
     split = train_val_split(ts, settings.validation_split)
-    scaled = apply_scaler(split, model.scaler)
-    pred = model.pipeline.transform(scaled)
-    rows = []
-    for name, part in (("train", pred.filter(~F.col("is_val"))), ("validation", pred.filter(F.col("is_val")))):
-        if part.limit(1).count() == 0:
-            continue
-        acc = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label").evaluate(part)
-        auc = BinaryClassificationEvaluator(metricName="areaUnderROC", labelCol="label", rawPredictionCol="probability").evaluate(part)
-        rows.append((name, float(acc), float(auc), log_loss(part)))
-    return spark.createDataFrame(rows, "split string, accuracy double, auc double, loss double")
+    scored = predict_importance(model, split).select(
+        F.when(F.col("is_val"), "validation").otherwise("train").alias("split"), "label", F.col("importance").alias("score"))
+    return binary_metrics(scored).drop("rows")
+
+
+def fixed_model() -> ImportanceModel:
+    """A model of fixed numbers: :func:`fixed_network`, and a scaler of round ranges."""
+    ranges = [1.0, 1.0, 1.0, 50.0, 3.0]
+    return ImportanceModel(network=fixed_network(), scaler={
+        "data_min": [0.0] * 5, "data_max": ranges, "data_range": ranges, "scale": [1.0 / r for r in ranges], "min": [0.0] * 5,
+        "n_features_in": 5})
 
 
 def predict_importance(model: ImportanceModel, feats: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """ROUGE-1 / ROUGE-2 / ROUGE-L.
 
 A pairs table ``(id, [model,] reference, prediction)`` is tokenised (E1),
-stemmed in place (E2, the generated Porter expression) and scored:
+stemmed (E2, each distinct token of an Arrow batch once) and scored:
 
 * ROUGE-N: one ``explode`` of a combined array of reference and prediction
   n-grams (tagged by side), a hash aggregate per (pair, n, n-gram) for the two
@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from precis.functions.porter import stem_tokens
+from precis.functions.stem import stem_arrays
 from precis.functions.tokens import rouge_tokens
 
 
 def stemmed_tokens(df: DataFrame, col: str, out: str) -> DataFrame:
     """E1 + E2: ``out`` = stemmed ROUGE tokens of ``col``."""
-    return df.withColumn(out, rouge_tokens(col)).withColumn(out, stem_tokens(out))
+    return df.withColumn(out, stem_arrays(rouge_tokens(col)))
 
 
 def bigrams(tokens: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precis import config as C
+from precis.operators.sentences import CARRY
 
 
 def resolve_k(k) -> int:
@@ -36,7 +37,9 @@ def rank_key(score_col: str = "score") -> list[Column]:
 def top_k(scores: DataFrame, k, id_col: str = "doc_id", score_col: str = "score") -> DataFrame:
     """K1: the k best sentences of every document, with their rank."""
     k = resolve_k(k)
-    w = Window.partitionBy(id_col).orderBy(*rank_key(score_col))
+    # a document's own row, which carries columns, takes no sentence's place
+    own = [F.col("sent_idx").isNull()] if CARRY in scores.columns else []
+    w = Window.partitionBy(id_col, *own).orderBy(*rank_key(score_col))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import Window
 from precis.functions.sentences import split_sentences
 from precis.functions.text import words_of_normalized
 
+ROW = "_row"  # key of a document's row: no id, so ids may be null or repeat
+CARRY = "_carry"  # struct of the columns that a document's own row carries to the result
+
 
 def with_sentences(df: DataFrame, text_col: str = "text", out: str = "sentences") -> DataFrame:
     """N1 on a whole column: adds ``sentences ARRAY<STRING>`` and ``n_sent``."""
@@ -63,24 +66,72 @@ def spread(df: DataFrame, id_col: str) -> DataFrame:
     return df
 
 
+def _ordered_source(df: DataFrame) -> bool:
+    """Whether the rows come in the same order whenever a task is run again: from files or literals, unshuffled."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() in ("LogicalRelation", "LocalRelation", "Range")
+
+
+def keyed(df: DataFrame, out: str = ROW) -> DataFrame:
+    """Every row with a number of its own, made where the row is read, without a shuffle.
+
+    A task that runs again must give its rows the same numbers, or rows would be lost
+    or doubled in the shuffle that follows; rows that may come in another order (out of
+    a shuffle) are sorted by their content first, within their partition.
+    """
+    if not _ordered_source(df):
+        df = df.sortWithinPartitions(F.xxhash64(F.to_json(F.struct(*[f"`{c}`" for c in df.columns]))))
+    return df.withColumn(out, F.monotonically_increasing_id())
+
+
+def keyed_documents(df: DataFrame, text_col: str, keep=(), arrays=(), settings=None) -> DataFrame:
+    """(_row, _carry, *arrays, sentences, n_sent): every row of ``df``, partitioned by a key of its own.
+
+    ``keep`` columns travel in ``_carry``; the text is shuffled once, kept or not.
+    ``arrays``: (name, column) of arrays with a value for each sentence.
+    """
+    names = list(dict.fromkeys([*keep, text_col]))
+    src = keyed(df.select(F.struct(*names).alias(CARRY), *[c.alias(n) for n, c in arrays]))
+    docs = hash_partition(src, ROW).withColumn("_text", F.col(f"{CARRY}.`{text_col}`"))
+    docs = with_sentences(docs, "_text").drop("_text")
+    if text_col not in keep:
+        docs = docs.withColumn(CARRY, F.struct(*[F.col(f"{CARRY}.`{c}`").alias(c) for c in dict.fromkeys(keep)]))
+    return docs
+
+
 def sentence_table(df: DataFrame, id_col: str = "doc_id", sentences_col: str = "sentences",
-                   min_sent: int = 1, outer: bool = False) -> DataFrame:
-    """(id, n_sent, sent_idx, sentence, n_words), one row per sentence
+                   min_sent: int = 1, outer: bool = False, more=(), also=()) -> DataFrame:
+    """(id, n_sent, sent_idx, sentence, *more, *also, n_words), one row per sentence
     of the documents with at least ``min_sent`` sentences.
 
     The document filter is folded into the explode (``explode(when(...))``)
     instead of a Filter: a Filter would be pushed below the id-partitioning
     exchange and into the scan, re-running the sentence split there and
     preventing the exchange from being shared with the other branches.
-    ``outer`` keeps one row (sent_idx null) for documents without sentences.
+    ``outer`` keeps one row (sent_idx null) for documents without sentences; where the
+    documents have a ``_carry`` column, every document has such a row, which holds it.
+    ``more``: columns with an array of a value for each sentence; ``also``: small columns
+    that every sentence repeats.
     """
     arr = F.when(F.col("n_sent") >= min_sent, F.col(sentences_col))
-    gen = F.posexplode_outer(arr) if outer else F.posexplode(arr)
-    return df.select(
-        id_col,
-        "n_sent",
-        gen.alias("sent_idx", "sentence"),
-    ).withColumn("n_words", words_of_normalized("sentence"))
+    if CARRY in df.columns:
+        # first the document's own row, which alone carries; then its sentences
+        kind = df.schema[CARRY].dataType
+        none = F.lit(None)
+        own = F.struct(none.cast("int").alias("i"), none.cast("string").alias("s"), F.col(CARRY).alias("c"))
+        rows = F.transform(F.coalesce(arr, F.array().cast("array<string>")),
+                           lambda x, i: F.struct(i.alias("i"), x.alias("s"), none.cast(kind).alias("c")))
+        t = df.select(id_col, "n_sent", *more, *also, F.explode(F.concat(F.array(own), rows)).alias("_r"))
+        value = [F.get(c, F.col("_r.i")).alias(c) for c in more]
+        t = t.select(id_col, "n_sent", F.col("_r.i").alias("sent_idx"), F.col("_r.s").alias("sentence"), *value,
+                     *also, F.col("_r.c").alias(CARRY))
+    else:
+        gen = F.posexplode_outer(arr) if outer else F.posexplode(arr)
+        t = df.select(id_col, "n_sent", *more, *also, gen.alias("sent_idx", "sentence"))
+        t = t.select(id_col, "n_sent", "sent_idx", "sentence", *[F.get(c, F.col("sent_idx")).alias(c) for c in more], *also)
+    return t.withColumn("n_words", words_of_normalized("sentence"))
 
 
 def with_positions(sent: DataFrame) -> DataFrame:

@@ -2,25 +2,31 @@
 
 Plan of ``summarize(df, method='tfidf')`` (one exchange in total):
 
-    scan(id, text) -> hash-partition by id          <- the only shuffle
-      -> split sentences -> posexplode (outer) -> explode terms + one text
-         row per sentence -> tf / df / score (aggregates and windows keyed
-         by id) -> top-k (WindowGroupLimit) -> collect <= k rows per id
-
-No self-join: each sentence's text rides on its sentinel row.  TextRank runs
-the vectorised kernel and selects its top rows inside it; side-by-side
-summaries share one term stream and one kernel pass.  Documents with n <= k
-skip scoring (K3); empty texts give '' (K4).
+    scan(row key, id and kept columns, text) -> hash-partition by the key   <- the only shuffle
+      -> split sentences -> posexplode (and one row for the document itself)
+      -> explode terms + one text row per sentence -> tf / df / score
+         (aggregates and windows keyed by the row) -> top-k
+         (WindowGroupLimit) -> collect <= k rows per document
+
+Every row of the input has its summary, whatever its id: documents are told apart by a
+key of their own, and the id travels with the kept columns on the document's own row.
+No self-join: each sentence's text rides on its sentinel row.  TextRank runs the
+vectorised kernel and selects its top rows inside it; side-by-side summaries share one
+term stream and one kernel pass.  Documents with n <= k skip scoring (K3); empty texts
+give '' (K4).  TextRank over a user's sentence vectors is row-local: no shuffle at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precis import config as C
-from precis.operators.select import lead_k, resolve_k, top_k
-from precis.operators.sentences import partition_by_doc, sentence_table, spread, with_sentences
+from precis.operators.dense import best_positions, dense_scores, pick
+from precis.operators.select import lead_k, rank_key, resolve_k, top_k
+from precis.operators.sentences import (
+    CARRY, ROW, keyed_documents, partition_by_doc, sentence_table, spread, with_sentences,
+)
 from precis.operators.tfidf import tfidf_scores
 from precis.operators.textrank import sentence_vectors, textrank_scores
 
@@ -75,7 +81,7 @@ def score_sentences(
     """
     k = resolve_k(k)
     min_sent = k + 1 if only_long else 1
-    text = ["sentence"] if carry_text else []
+    text = ["sentence", *([CARRY] if CARRY in docs.columns else [])] if carry_text else []
     if method == "tfidf":
         sent = sentence_table(docs, id_col, min_sent=0 if carry_text else min_sent, outer=carry_text)
         sc = tfidf_scores(sent, id_col, min_df=settings.min_df_plain, max_df=settings.max_df,
@@ -93,7 +99,8 @@ def score_sentences(
 
         if model is None:
             raise RuntimeError("the hybrid method needs an importance model: train one or load one")
-        sent = sentence_table(docs, id_col, min_sent=0 if carry_text else min_sent, outer=carry_text)
+        given = [c for c in ("given_rank",) if c in docs.columns]
+        sent = sentence_table(docs, id_col, min_sent=0 if carry_text else min_sent, outer=carry_text, more=given)
         feats = sentence_features(sent, id_col, settings, carry_text=carry_text)
         return predict_importance(model, feats).select(
             id_col, "n_sent", "sent_idx", F.col("importance").alias("score"), *text
@@ -101,27 +108,47 @@ def score_sentences(
     raise ValueError(method)
 
 
-def collect_summaries(selected: DataFrame, id_col: str = "doc_id", out: str = "summary") -> DataFrame:
-    """K2 from rows that carry their text: (id, n_sent, summary).
+def collect_summaries(selected: DataFrame, names=(), out: str = "summary", methods=None) -> DataFrame:
+    """K2 from rows that carry their text: (*names, n_sent, summary).
 
-    At most k rows per document reach this aggregation (WindowGroupLimit);
-    null rows of empty documents are skipped by ``array_join``, giving ''.
+    At most k rows per document and method reach this aggregation (WindowGroupLimit),
+    and the document's own row, from which the columns ``names`` are read.  With
+    ``methods`` (rows have a ``method``, or one column of flags for each method)
+    there is one column ``<method>_summary`` for each.
     """
-    picked = selected.groupBy(id_col, "n_sent").agg(
-        F.sort_array(F.collect_list(F.struct("sent_idx", "sentence"))).alias("_p")
-    )
-    return picked.select(
-        id_col,
-        F.col("n_sent").cast("int").alias("n_sent"),
-        F.coalesce(F.array_join(F.transform("_p", lambda x: x["sentence"]), " "), F.lit("")).alias(out),
-    )
+    def of(flag):
+        return F.sort_array(F.collect_list(F.when(F.col("sent_idx").isNotNull() & flag, F.struct("sent_idx", "sentence"))))
+
+    def joined(c):
+        return F.coalesce(F.array_join(F.transform(c, lambda x: x["sentence"]), " "), F.lit(""))
+
+    if methods is None:
+        picks, cols = [of(F.lit(True)).alias("_p")], [joined("_p").alias(out)]
+    else:
+        flags = [F.col("method") == m if "method" in selected.columns else F.col(f"_is_{m}") for m in methods]
+        picks = [of(f).alias(f"_p_{m}") for m, f in zip(methods, flags)]
+        cols = [joined(f"_p_{m}").alias(f"{m}_summary") for m in methods]
+    d = selected.groupBy(ROW, "n_sent").agg(F.first(CARRY, ignorenulls=True).alias(CARRY), *picks)
+    return d.select(*[F.col(f"{CARRY}.`{c}`").alias(c) for c in names], F.col("n_sent").cast("int").alias("n_sent"), *cols)
+
+
+def _status(res: DataFrame, k: int) -> DataFrame:
+    """How each summary came about: 'empty' text, 'whole' text (no more than k sentences), 'scored'."""
+    n = F.col("n_sent")
+    return res.withColumn("status", F.when(n == 0, "empty").when(n <= k, "whole").otherwise("scored"))
 
 
-def _attach(res: DataFrame, df: DataFrame, id_col: str, keep) -> DataFrame:
-    if not keep:
-        return res
-    side = df.select(id_col, *keep).filter(F.col(id_col).isNotNull())
-    return res.join(side, id_col).select(id_col, *keep, *[c for c in res.columns if c != id_col])
+def _by_vectors(df: DataFrame, text_col: str, k: int, id_col: str, out: str, keep, vectors: str, negative_edges: str,
+                settings: C.Settings) -> DataFrame:
+    """K9 on a user's sentence vectors, row by row: nothing is shuffled but a table too small for the cores."""
+    names = dict.fromkeys([id_col, text_col, vectors, *keep])
+    docs = with_sentences(df.select(*names), text_col, "_sentences")
+    # only the texts that are longer than their summary have their graph solved
+    long = F.when(F.col("n_sent") > k, F.col(vectors))
+    docs = docs.withColumn("_scores", dense_scores(long, F.when(F.col("n_sent") > k, F.col("n_sent")), negative_edges, settings))
+    best = pick(F.col("_sentences"), best_positions(F.col("_scores.scores"), k))
+    summary = F.when(F.col("n_sent") > k, best).otherwise(F.array_join("_sentences", " "))
+    return docs.select(*dict.fromkeys([id_col, *keep]), F.col("n_sent").cast("int").alias("n_sent"), summary.alias(out))
 
 
 def summarize(
@@ -134,30 +161,54 @@ def summarize(
     model=None,
     keep=(),
     settings: C.Settings = C.DEFAULT,
+    vectors: str | None = None,
+    negative_edges: str = "keep",
+    status: bool = False,
 ) -> DataFrame:
     """One summary per row: (id, *keep, n_sent, summary).
 
-    TF-IDF, TextRank and Lead run as one linear plan (shuffle by id, split,
-    score, rank, collect) with no self-join: the sentence text rides on one
-    sentinel row per sentence.  ``keep`` columns are joined back by id.
+    Rows with null or repeated ids have a summary each.  TF-IDF, TextRank and hybrid
+    run as one linear plan (shuffle by row, split, score, rank, collect) with no join:
+    the id and the ``keep`` columns travel on each document's own row (columns that
+    Spark cannot group by, such as maps, cannot be kept), sentences on sentinel rows.
+
+    ``vectors`` names a column with a vector for each sentence of the text (array of
+    arrays): TextRank then ranks by their cosines instead of the terms', and the
+    hybrid method takes its TextRank feature from them.  ``negative_edges="clip"``
+    drops negative cosines.  ``status`` adds how the summary came about ('empty',
+    'whole', 'scored').
     """
     method = resolve_method(method)
     k = resolve_k(k)
+    names = list(dict.fromkeys([id_col, *keep]))
+    if vectors is not None and method not in ("textrank", "hybrid"):
+        raise ValueError(f"sentence vectors serve textrank and hybrid summaries, not {method}")
     if method == "lead":
-        # row-local: every row has its summary, whatever its id, and nothing is shuffled
-        docs = with_sentences(spread(df.select(id_col, text_col, *[c for c in keep if c not in (id_col, text_col)]), id_col), text_col)
-        return docs.select(id_col, *keep, F.col("n_sent").cast("int").alias("n_sent"), lead_k("sentences", k).alias(out))
-    docs = prepare_documents(df, text_col, id_col)
-    if method == "tfidf":
-        scored = score_sentences(docs, method, k, id_col, settings, model, carry_text=True)
-        res = collect_summaries(top_k(scored, k, id_col), id_col, out)
-    elif method == "textrank":
-        res = collect_summaries(score_sentences(docs, method, k, id_col, settings, model, carry_text=True, keep_top=k),
-                                id_col, out)
-    else:  # hybrid: features (with text) -> importance -> top-k
-        scored = score_sentences(docs, method, k, id_col, settings, model, carry_text=True)
-        res = collect_summaries(top_k(scored, k, id_col), id_col, out)
-    return _attach(res, df, id_col, keep).select(id_col, *keep, "n_sent", out)
+        # row-local: nothing is shuffled
+        docs = with_sentences(spread(df.select(*dict.fromkeys([*names, text_col])), id_col), text_col)
+        res = docs.select(*names, F.col("n_sent").cast("int").alias("n_sent"), lead_k("sentences", k).alias(out))
+    elif method == "textrank" and vectors is not None:
+        res = _by_vectors(df, text_col, k, id_col, out, keep, vectors, negative_edges, settings)
+    else:
+        arrays = [] if vectors is None else [("_vectors", F.col(vectors))]
+        docs = keyed_documents(df, text_col, names, arrays)
+        if vectors is not None:
+            docs = docs.withColumn("given_rank", dense_scores(F.col("_vectors"), F.col("n_sent"), negative_edges, settings)["scores"])
+        best = score_sentences(docs, method, k, ROW, settings, model, carry_text=True, keep_top=k if method == "textrank" else None)
+        if method != "textrank":
+            best = top_k(best, k, ROW)
+        res = collect_summaries(best, names, out)
+    return _status(res, k) if status else res
+
+
+def summarize_safe(df: DataFrame, text_col: str = "text", k=None, id_col: str = "doc_id", model=None, keep=(),
+                   settings: C.Settings = C.DEFAULT) -> DataFrame:
+    """K10 safe: hybrid summaries with a ``status``; without a trained model every summary is '' ('untrained')."""
+    if model is not None and model.is_trained:
+        return summarize(df, text_col, "hybrid", k, id_col, model=model, keep=keep, settings=settings, status=True)
+    docs = with_sentences(df.select(*dict.fromkeys([id_col, *keep, text_col])), text_col)
+    return docs.select(*dict.fromkeys([id_col, *keep]), F.col("n_sent").cast("int").alias("n_sent"), F.lit("").alias("summary"),
+                       F.lit("untrained").alias("status"))
 
 
 def summarize_side_by_side(
@@ -172,50 +223,46 @@ def summarize_side_by_side(
 ) -> DataFrame:
     """Several methods over the same documents, one column per method.
 
-    Every method yields its selected rows with their text; the selections
-    are unioned and collected in one aggregation per document (no join).
+    One branch whatever the methods: one term stream (TF-IDF scores and TextRank
+    vectors) and one kernel pass.  Without hybrid the kernel selects every method's
+    rows; with it, it hands on every sentence's features, from which the model's score
+    comes, and each method ranks the same rows.
     """
-    methods = [resolve_method(m) for m in methods]
+    from precis.operators.tfidf import scoring_stream
+
+    methods = [resolve_method(m) for m in dict.fromkeys(methods)]
     k = resolve_k(k)
-    docs = prepare_documents(df, text_col, id_col)
-    picks = None
-    if set(methods) <= {"tfidf", "textrank", "lead"}:
-        # one branch: one term stream (TF-IDF score + TextRank vectors) and
-        # one kernel pass that selects the top rows of every method
-        from precis.operators.tfidf import scoring_stream
-
-        sent = sentence_table(docs, id_col, min_sent=0, outer=True)
-        stream = scoring_stream(sent, id_col, settings, min_sent=k + 1)
-        picks = textrank_scores(stream, id_col, settings.damping, settings.tol, settings.max_iter,
+    names = list(dict.fromkeys([id_col, *keep]))
+    sent = sentence_table(keyed_documents(df, text_col, names), ROW, min_sent=0, outer=True)
+    if "hybrid" not in methods:
+        stream = scoring_stream(sent, ROW, settings, min_sent=k + 1)
+        picks = textrank_scores(stream, ROW, settings.damping, settings.tol, settings.max_iter,
                                 keep_top=k, emit=tuple(methods), extra=("tfidf",))
-        methods_iter = ()
-    else:
-        methods_iter = methods
-    for m in methods_iter:
-        if m == "lead":
-            sent = sentence_table(docs, id_col, min_sent=0, outer=True)
-            sel = sent.filter(F.col("sent_idx").isNull() | (F.col("sent_idx") < k))
-        elif m == "tfidf":
-            sel = top_k(score_sentences(docs, m, k, id_col, settings, model, carry_text=True), k, id_col)
-        elif m == "textrank":
-            sel = score_sentences(docs, m, k, id_col, settings, model, carry_text=True, keep_top=k)
-        else:  # hybrid: a trained model is required
-            sel = top_k(score_sentences(docs, m, k, id_col, settings, model, carry_text=True), k, id_col)
-        sel = sel.select(id_col, F.col("n_sent").cast("int").alias("n_sent"), F.lit(m).alias("method"),
-                         "sent_idx", "sentence")
-        picks = sel if picks is None else picks.unionByName(sel)
-    agg = picks.groupBy(id_col, "n_sent").agg(
-        *[
-            F.sort_array(F.collect_list(F.when(F.col("method") == m, F.struct("sent_idx", "sentence")))).alias(f"_{m}")
-            for m in methods
-        ]
-    )
-    cols = [
-        F.coalesce(F.array_join(F.transform(f"_{m}", lambda x: x["sentence"]), " "), F.lit("")).alias(f"{m}_summary")
-        for m in methods
-    ]
-    res = agg.select(id_col, "n_sent", *cols)
-    return _attach(res, df, id_col, keep).select(id_col, *keep, "n_sent", *[f"{m}_summary" for m in methods])
+        return collect_summaries(picks, names, methods=methods)
+    if model is None:
+        raise RuntimeError("the hybrid method needs an importance model: train one or load one")
+    from precis.operators.features import sentence_features
+    from precis.operators.model import predict_importance
+
+    feats = predict_importance(model, sentence_features(sent, ROW, settings, carry_text=True, plain=("tfidf",)))
+    score = {"tfidf": "plain_tfidf", "textrank": "plain_textrank", "hybrid": "importance"}
+    own = F.col("sent_idx").isNull()
+    picked = feats
+    for m in methods:
+        w = Window.partitionBy(ROW, own).orderBy(*([F.col("sent_idx")] if m == "lead" else rank_key(score[m])))
+        picked = picked.withColumn(f"_is_{m}", F.row_number().over(w) <= k)
+    picked = picked.where(own | F.greatest(*[F.col(f"_is_{m}") for m in methods], F.lit(False)))
+    return collect_summaries(picked, names, methods=methods)
+
+
+def summarize_available(df: DataFrame, text_col: str = "text", methods=METHODS, k=None, id_col: str = "doc_id",
+                        model_path: str | None = None, keep=(), settings: C.Settings = C.DEFAULT) -> DataFrame:
+    """S12 + K11: the wanted methods that can run, side by side: hybrid only if a model loads from ``model_path``."""
+    from precis.operators.model import load_optional
+
+    model = load_optional(df.sparkSession, model_path)
+    found = available_methods(methods, model)
+    return summarize_side_by_side(df, text_col, found, k, id_col, model, keep, settings)
 
 
 def summarize_text(spark, text: str, method: str = "tfidf", k=None, model=None) -> DataFrame:

@@ -30,13 +30,14 @@ graph that does not converge gets the uniform 1/n fallback (G6) with
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from precis import config as C
-from precis.operators.tfidf import tfidf_weights
+from precis.operators.sentences import CARRY
+from precis.operators.tfidf import riders, tfidf_weights
 
 
 def sentence_vectors(sent: DataFrame, id_col: str = "doc_id", min_df: int = C.DEFAULT.min_df_hybrid,
@@ -55,7 +56,7 @@ def sentence_vectors(sent: DataFrame, id_col: str = "doc_id", min_df: int = C.DE
         "sent_idx",
         F.when(F.col("keep"), F.col("term")).alias("term"),
         F.when(F.col("keep"), F.col("w") / norm).otherwise(F.lit(0.0)).alias("weight"),
-        *(["sentence"] if carry_text else []),
+        *(["sentence", *riders(w)] if carry_text else []),
     )
 
 
@@ -130,8 +131,39 @@ def _batch_power_iteration(doc_ix, n_doc, node, cols, vals, n_nodes, damping, to
     return x, converged, done_at
 
 
+def document_batches(id_col: str, solve):
+    """The body of a ``mapInArrow`` over rows sorted by ``id_col`` that hands whole documents to ``solve``.
+
+    ``solve(table)`` returns record batches; a table holds all rows of its documents.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        pending, last = [], None  # chunks of the document that may go on in the next batch, and its id
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([b])
+            ids = t.column(id_col)
+            end = ids[t.num_rows - 1]
+            first_tail = int(np.argmax(pc.equal(ids, end).to_numpy(zero_copy_only=False)))
+            if first_tail > 0:
+                yield from solve(pa.concat_tables([*pending, t.slice(0, first_tail)]))
+                pending = []
+            elif pending and last != end:
+                yield from solve(pa.concat_tables(pending))
+                pending = []
+            pending.append(t.slice(first_tail))
+            last = end
+        if pending:
+            yield from solve(pa.concat_tables(pending))
+
+    return run
+
+
 def _arrow_kernel(id_col: str, id_type, damping: float, tol: float, max_iter: int, carry_text: bool, keep_top=None,
-                  emit=None, passthrough=()):
+                  emit=None, passthrough=(), carry_type=None, also=()):
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -144,12 +176,35 @@ def _arrow_kernel(id_col: str, id_type, damping: float, tol: float, max_iter: in
     if passthrough:  # per-sentence values handed through, plus the G5/G6 feature
         out_fields += [pa.field(c, pa.float64()) for c in passthrough]
         out_fields.append(pa.field("textrank_feature", pa.float64()))
+    out_fields += also  # any values of the sentences, handed through
     if emit is not None:  # multi-method selection: (id, n_sent, method, sent_idx, sentence)
         out_fields = [pa.field(id_col, id_type), pa.field("n_sent", pa.int32()), pa.field("method", pa.string()),
                       pa.field("sent_idx", pa.int32()), pa.field("sentence", pa.string())]
-    schema = pa.schema(out_fields)
-
-    def solve(t: "pa.Table") -> "pa.RecordBatch":
+    core = pa.schema(out_fields)
+    schema = core if carry_type is None else core.append(pa.field(CARRY, carry_type))
+    blank = {pa.float64(): 0.0, pa.bool_(): True, pa.int32(): 0}
+
+    def solve_all(t: "pa.Table"):
+        """The sentences' rows, and the documents' own rows with what they carry."""
+        if carry_type is None:
+            yield solve(t, core)
+            return
+        alone = t.column("sent_idx").is_null()
+        own, rest = t.filter(alone), t.filter(pc.invert(alone))
+        if rest.num_rows:
+            found = solve(rest.drop_columns([CARRY]), core)
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, carry_type)], schema=schema)
+        if own.num_rows:
+            n = own.num_rows
+            given = {id_col: own.column(id_col), "n_sent": own.column("n_sent").cast(pa.int32()), CARRY: own.column(CARRY),
+                     "sent_idx": pa.nulls(n, pa.int32())}
+            columns = [
+                given[f.name] if f.name in given else pa.array([blank[f.type]] * n, f.type) if f.type in blank else pa.nulls(n, f.type)
+                for f in schema
+            ]
+            yield from pa.Table.from_arrays(columns, schema=schema).to_batches()
+
+    def solve(t: "pa.Table", schema) -> "pa.RecordBatch":
         doc = t.column(id_col).combine_chunks()
         border = pc.not_equal(doc.slice(1), doc.slice(0, len(doc) - 1)).to_numpy(zero_copy_only=False)
         starts = np.r_[0, np.flatnonzero(border) + 1]
@@ -236,29 +291,13 @@ def _arrow_kernel(id_col: str, id_type, damping: float, tol: float, max_iter: in
             feat = np.where(mxn > 0, x / np.where(mxn > 0, mxn, 1.0), x)
             feat = np.where(conv[node_doc], feat, 1.0 / np.maximum(n_doc, 1)[node_doc])
             arrays.append(pa.array(np.where(empty, 0.0, feat)[sel]))
+        if also:
+            any_row = np.zeros(n_nodes, np.int64)
+            any_row[node_of_row] = np.arange(t.num_rows)
+            arrays += [t.column(f.name).combine_chunks().take(pa.array(any_row[sel])) for f in also]
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    def run(batches):
-        pending, last = [], None  # chunks of the document that may go on in the next batch, and its id
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            t = pa.Table.from_batches([b])
-            ids = t.column(id_col)
-            end = ids[t.num_rows - 1]
-            first_tail = int(np.argmax(pc.equal(ids, end).to_numpy(zero_copy_only=False)))
-            if first_tail > 0:
-                yield solve(pa.concat_tables([*pending, t.slice(0, first_tail)]))
-                pending = []
-            elif pending and last != end:
-                yield solve(pa.concat_tables(pending))
-                pending = []
-            pending.append(t.slice(first_tail))
-            last = end
-        if pending:
-            yield solve(pa.concat_tables(pending))
-
-    return run, schema
+    return document_batches(id_col, solve_all), schema
 
 
 def textrank_scores(
@@ -273,6 +312,7 @@ def textrank_scores(
     emit=None,
     extra=(),
     passthrough=(),
+    also=(),
 ) -> DataFrame:
     """G2-G4 per document: (id, n_sent, sent_idx, textrank, converged, iterations[, sentence]).
 
@@ -286,13 +326,15 @@ def textrank_scores(
     per-sentence windows, so no extra sort), and ``mapInArrow`` solves all
     documents of an Arrow batch in one vectorised power iteration.
 
-    With ``keep_top=k`` only each document's k best sentences are emitted
+    Where the vectors have a ``_carry`` column, so has the result: null but for one row
+    of each document (sent_idx null), its own.  With ``keep_top=k`` only each document's k best sentences are emitted
     (ranked like :func:`precis.operators.select.top_k`): the kernel's output
     carries no partitioning, so selecting here means only k rows per
     document — not every sentence and its text — cross the following shuffle.
     """
+    carry = CARRY in vectors.columns and bool(carry_text or emit)
     cols = [id_col, "n_sent", "sent_idx", "term", "weight", *(["sentence"] if carry_text or emit else []),
-            *extra, *passthrough]
+            *extra, *passthrough, *also, *([CARRY] if carry else [])]
     src = vectors.select(*cols)
     if not partitioned:
         src = src.repartition(id_col)
@@ -301,7 +343,9 @@ def textrank_scores(
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(src.schema[id_col].dataType)
-    fn, schema = _arrow_kernel(id_col, id_type, damping, tol, max_iter, carry_text, keep_top, emit, tuple(passthrough))
+    fn, schema = _arrow_kernel(id_col, id_type, damping, tol, max_iter, carry_text, keep_top, emit, tuple(passthrough),
+                               to_arrow_type(src.schema[CARRY].dataType) if carry else None,
+                               [pa.field(c, to_arrow_type(src.schema[c].dataType)) for c in also])
     from pyspark.sql.pandas.types import from_arrow_schema
 
     return src.sortWithinPartitions(id_col).mapInArrow(fn, from_arrow_schema(schema))

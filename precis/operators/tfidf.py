@@ -27,8 +27,15 @@ from pyspark.sql import Window
 
 from precis import config as C
 from precis.functions.tokens import is_stop_word, terms
+from precis.operators.sentences import CARRY
 
 SENT_KEYS = ("n_sent", "sent_idx", "n_words")
+SENTENCE_VALUES = ("rouge_1", "given_rank", "_id")  # of each sentence, known before the terms are exploded
+
+
+def riders(df: DataFrame) -> list[str]:
+    """Columns that ride along with the sentences: values of each sentence, and what a document's own row carries."""
+    return [c for c in (*SENTENCE_VALUES, CARRY) if c in df.columns]
 
 
 def term_rows(sent: DataFrame, id_col: str = "doc_id", min_sent: int = 1, carry_text: bool = False) -> DataFrame:
@@ -40,15 +47,16 @@ def term_rows(sent: DataFrame, id_col: str = "doc_id", min_sent: int = 1, carry_
     per term.  Terms are extracted only for documents with >= ``min_sent``
     sentences (the others need no score).  Stop words become null terms.
     """
-    toks = F.when(F.col("n_sent") >= min_sent, terms("sentence")).otherwise(F.array().cast("array<string>"))
+    scored = (F.col("n_sent") >= min_sent) & F.col("sentence").isNotNull()
+    toks = F.when(scored, terms("sentence")).otherwise(F.array().cast("array<string>"))
     text = F.col("sentence") if carry_text else F.lit(None).cast("string")
     rows = F.concat(
         F.array(F.struct(F.lit(None).cast("string").alias("term"), text.alias("sentence"))),
         F.transform(toks, lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("sentence"))),
     )
-    t = sent.select(id_col, *SENT_KEYS, F.explode(rows).alias("_r"))
+    t = sent.select(id_col, *SENT_KEYS, *riders(sent), F.explode(rows).alias("_r"))
     term = F.col("_r.term")
-    cols = [id_col, *SENT_KEYS, F.when(is_stop_word(term), F.lit(None)).otherwise(term).alias("term")]
+    cols = [id_col, *SENT_KEYS, *riders(sent), F.when(is_stop_word(term), F.lit(None)).otherwise(term).alias("term")]
     if carry_text:
         cols.append(F.col("_r.sentence").alias("sentence"))
     return t.select(*cols)
@@ -59,7 +67,7 @@ def term_freq(sent: DataFrame, id_col: str = "doc_id", min_sent: int = 1, carry_
     the sentence text with ``carry_text``)."""
     # the text is a grouping key: only the sentinel row has it, so it is
     # hashed once per sentence and the aggregate stays a hash aggregate
-    keys = [id_col, *SENT_KEYS, "term", *(["sentence"] if carry_text else [])]
+    keys = [id_col, *SENT_KEYS, *riders(sent), "term", *(["sentence"] if carry_text else [])]
     return term_rows(sent, id_col, min_sent, carry_text).groupBy(*keys).agg(F.count("term").alias("tf"))
 
 
@@ -139,7 +147,7 @@ def tfidf_scores(
         *SENT_KEYS,
         F.when(F.col("ok"), scored).otherwise(uniform).alias("score"),
         F.when(F.col("ok"), F.lit("ok")).otherwise(F.lit("no_vocabulary")).alias("status"),
-        *(["sentence"] if carry_text else []),
+        *(["sentence", *riders(out)] if carry_text else []),
     )
 
 
@@ -206,4 +214,5 @@ def scoring_stream(sent: DataFrame, id_col: str = "doc_id", settings: C.Settings
         "sentence",
         F.when(ok, raw).otherwise(uniform).alias("tfidf"),
         *extra,
+        *riders(w),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from precis import config as C
 from precis.functions.porter import rouge_stem_sql, stem_sql
+from precis.operators.model import fixed_model
 from precis.plans import sql as S
 
 K = C.DEFAULT.default_k
@@ -66,14 +67,15 @@ def tfidf_ctes(min_df: int, where: str = "TRUE", prefix: str = ""):
     ]
 
 
-def textrank_ctes(where: str, prefix: str = "tr_"):
+def textrank_ctes(where: str, prefix: str = "tr_", vectors: str | None = None):
     """PageRank over L2-normalised TF-IDF rows (min_df = 1) through S = W W^T
     without forming pairs: one recursion step an iteration, and a document takes
     part until its own sum|x' - x| < n * tol or the last iteration.  A document
-    that does not get there has the uniform 1/n (``final``)."""
+    that does not get there has the uniform 1/n (``final``).  ``vectors``: a query of
+    other weights (doc_id, sent_idx, term, w) to build the graph from."""
     p = prefix
     cfg = C.DEFAULT
-    ctes = tfidf_ctes(cfg.min_df_hybrid, where, prefix=p)[:4]
+    ctes = tfidf_ctes(cfg.min_df_hybrid, where, prefix=p)[:4] if vectors is None else [(f"{p}wt", vectors)]
     ctes += [
         (f"{p}vec", f"SELECT doc_id, sent_idx, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, sent_idx)) AS v FROM {p}wt"),
         (f"{p}tdf", f"SELECT doc_id, term, count(*) AS c, sum(v) AS colsum FROM {p}vec GROUP BY ALL"),
@@ -729,5 +731,118 @@ REGISTRY.update({
 })
 
 
+# --- G on documents: dense vectors, strongest neighbours -----------------------------------
+
+def shape_vectors(where: str) -> str:
+    """The non-zeros of the sentences' vectors: how many words have 1, 2, ... 12 or more letters."""
+    return (
+        "SELECT doc_id, sent_idx, least(length(w), 12) AS term, count(*) AS w FROM "
+        f"(SELECT doc_id, sent_idx, unnest(string_split(sentence, ' ')) AS w FROM sents WHERE {where}) "
+        "WHERE length(w) > 0 GROUP BY ALL"
+    )
+
+
+DENSE_FINAL = ("dv", "SELECT doc_id, sent_idx, n_sent, converged, CASE WHEN converged THEN textrank ELSE 1.0 / n_sent END AS textrank "
+                     "FROM tr_final")
+
+
+def q_textrank_vectors():
+    return with_(
+        docs_cte(), sents_cte(), *textrank_ctes("n_sent > 0", vectors=shape_vectors("n_sent > 0")), DENSE_FINAL,
+        body="SELECT doc_id, sent_idx, round(textrank, 7) AS textrank, converged FROM dv",
+    )
+
+
+def q_summaries_textrank_vectors():
+    w = f"n_sent > {K}"
+    return with_(docs_cte(), sents_cte(), *textrank_ctes(w, vectors=shape_vectors(w)), DENSE_FINAL,
+                 ranked_cte("rk", "dv", "textrank"), body=summary_body("rk"))
+
+
+def q_strongest_neighbours():
+    return with_(
+        docs_cte(), sents_cte(), *textrank_ctes("n_sent > 0")[:5],
+        ("sim", "SELECT a.doc_id, a.sent_idx, b.sent_idx AS neighbour, sum(a.v * b.v) AS similarity FROM tr_vec a "
+                "JOIN tr_vec b ON a.doc_id = b.doc_id AND a.term = b.term AND a.sent_idx <> b.sent_idx GROUP BY ALL"),
+        ("best", "SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY round(similarity, 9) DESC, neighbour) AS INTEGER) "
+                 "AS rank FROM sim"),
+        body="SELECT doc_id, sent_idx, rank, neighbour, round(similarity, 6) AS similarity FROM best WHERE rank <= 5",
+    )
+
+
+# --- M on fixed weights ---------------------------------------------------------------------
+
+def importance_cte(src: str = "feat"):
+    """The forward pass of the fixed network over scaled features, layer by layer."""
+    model = fixed_model()
+    cols = ", ".join(f"{c} * {s!r} + {m!r}" for c, s, m in zip(FEATS, model.scaler["scale"], model.scaler["min"]))
+    step = f"SELECT *, [{cols}]::DOUBLE[] AS x0 FROM {src}"
+    for n, layer in enumerate(model.network.layers):
+        rows = "[" + ", ".join("{'w': [" + ", ".join(map(repr, w)) + f"]::DOUBLE[], 'b': {b!r}::DOUBLE}}" for w, b in zip(layer.weights, layer.bias)) + "]"
+        z = f"list_dot_product(r.w, x{n}) + r.b"
+        z = f"greatest({z}, 0.0)" if layer.activation == "relu" else f"1.0 / (1.0 + exp(-({z})))"
+        step = f"SELECT *, list_transform({rows}, lambda r: {z}) AS x{n + 1} FROM ({step})"
+    return ("imp", f"SELECT *, x{len(model.network.layers)}[1] AS importance FROM ({step})")
+
+
+def q_predict_importance():
+    return with_(*feature_ctes([docs_cte()]), importance_cte(), body="SELECT doc_id, sent_idx, round(importance, 6) AS importance FROM imp")
+
+
+def q_summaries_hybrid():
+    status = f", CASE WHEN n_sent = 0 THEN 'empty' WHEN n_sent <= {K} THEN 'whole' ELSE 'scored' END AS status"
+    return with_(*feature_ctes([docs_cte()]), importance_cte(), ranked_cte("rk", "imp", "importance"), ("s", summary_body("rk")),
+                 body=f"SELECT *{status} FROM s")
+
+
+def q_training_metrics():
+    val = (f"CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4)) AS INTEGER) < {int(round(C.DEFAULT.validation_split * 65536))}")
+    p = "CASE WHEN label = 1 THEN importance ELSE 1 - importance END"
+    return with_(
+        *ts_ctes(), importance_cte("ts"),
+        ("sc_", f"SELECT CASE WHEN {val} THEN 'validation' ELSE 'train' END AS split, label, importance FROM imp"),
+        ("g", "SELECT split, importance, sum(label) AS pos, sum(1 - label) AS neg FROM sc_ GROUP BY ALL"),
+        ("b", "SELECT *, coalesce(sum(neg) OVER (PARTITION BY split ORDER BY importance ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+              "AS below FROM g"),
+        ("auc", "SELECT split, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM b GROUP BY split"),
+        body="SELECT split, round(avg(CASE WHEN (importance >= 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, "
+             f"round(any_value(auc.auc), 6) AS auc, round(avg(-ln(greatest({p}, 1e-15))), 6) AS loss FROM sc_ JOIN auc USING (split) GROUP BY split",
+    )
+
+
+def q_compare_all_models():
+    hybrid = feature_ctes([])[1:]  # documents and sentences are those of the predictions
+    hybrid = [(n, q) for n, q in hybrid if n == "feat"]
+    long = " UNION ALL ".join(f"SELECT doc_id, highlights, '{m}' AS model, {c} AS prediction FROM allp" for m, c in (
+        ("TF-IDF", "tfidf_summary"), ("TextRank", "textrank_summary"), (C.MODEL_NAMES["hybrid"], "hybrid_summary"), ("Lead", "lead_summary")))
+    base = [(n, q) for n, q in prediction_ctes() if n not in {c[0] for c in textrank_ctes("TRUE")} and n not in {c[0] for c in tfidf_ctes(2)}]
+    head, rest = base[:3], base[3:]
+    # one set of scores over all sentences: documents of at most K sentences are whole anyway
+    plain = tfidf_ctes(2, prefix="p_")
+    extra = [
+        *tfidf_ctes(1), *textrank_ctes("n_sent > 0"), *hybrid, importance_cte(), ranked_cte("rk3", "imp", "importance"),
+        ("pc", summary_body("rk3", "hybrid_summary")),
+        ("allp", "SELECT pred.*, pc.hybrid_summary FROM pred JOIN pc USING (doc_id)"), ("lng", long),
+    ]
+    rest = [(n, q.replace("FROM sc", "FROM p_sc")) if n == "rk" else (n, q) for n, q in rest]
+    order = [*head, *plain, *extra[:len(tfidf_ctes(1)) + len(textrank_ctes("TRUE"))], *rest, *extra[len(tfidf_ctes(1)) + len(textrank_ctes("TRUE")):]]
+    keys = ["doc_id", "model"]
+    sql = with_(*order, *rouge_ctes("lng", keys, "highlights", "prediction"), body="")
+    return sql.rstrip("\n") + rouge_final(keys) + (
+        "SELECT model, round(avg(rouge_1), 6) AS rouge_1, round(avg(rouge_2), 6) AS rouge_2, "
+        "round(avg(rouge_l), 6) AS rouge_l FROM scores GROUP BY model")
+
+
+REGISTRY.update({
+    "textrank_vectors": q_textrank_vectors,
+    "summaries_textrank_vectors": q_summaries_textrank_vectors,
+    "strongest_neighbours": q_strongest_neighbours,
+    "predict_importance": q_predict_importance,
+    "summaries_hybrid": q_summaries_hybrid,
+    "training_metrics": q_training_metrics,
+    "compare_all_models": q_compare_all_models,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f() for name, f in REGISTRY.items()}

@@ -314,10 +314,8 @@ def conv_pairs(spark, sf_dir) -> DataFrame:
     )
 
 
-def predictions(spark, sf_dir) -> DataFrame:
-    return summarize.summarize_side_by_side(
-        conv_pairs(spark, sf_dir), "article", ("tfidf", "textrank", "lead"), K, keep=("highlights",)
-    )
+def predictions(spark, sf_dir, methods=("tfidf", "textrank", "lead"), model=None) -> DataFrame:
+    return summarize.summarize_side_by_side(conv_pairs(spark, sf_dir), "article", methods, K, keep=("highlights",), model=model)
 
 
 def q_rouge_tokens(spark, sf_dir):
@@ -345,7 +343,7 @@ def q_ngram_counts(spark, sf_dir):
 
 
 def _rouge_tfidf(spark, sf_dir):
-    return E.rouge_scores(predictions(spark, sf_dir), ["doc_id"], "highlights", "tfidf_summary")
+    return E.rouge_scores(predictions(spark, sf_dir, ("tfidf",)), ["doc_id"], "highlights", "tfidf_summary")
 
 
 def q_rouge_1(spark, sf_dir):
@@ -364,19 +362,26 @@ def q_rouge_l(spark, sf_dir):
 
 
 def q_evaluate_tfidf(spark, sf_dir):
-    e = E.evaluate_model(predictions(spark, sf_dir), "tfidf_summary", "highlights")
+    e = E.evaluate_model(predictions(spark, sf_dir, ("tfidf",)), "tfidf_summary", "highlights")
     return e.select(*[r6(c).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l")])
 
 
 def q_compare_models(spark, sf_dir):
-    cm = E.compare_models(
-        predictions(spark, sf_dir),
-        {"TF-IDF": "tfidf_summary", "TextRank": "textrank_summary", "Lead": "lead_summary"},
-        "highlights",
-    )
+    return _compared(predictions(spark, sf_dir), ("tfidf", "textrank", "lead"))
+
+
+def _compared(preds, methods):
+    names = {"lead": "Lead", **{m: C.MODEL_NAMES[m] for m in methods if m != "lead"}}
+    cm = E.compare_models(preds, {names[m]: f"{m}_summary" for m in methods}, "highlights")
     return cm.select("model", *[r6(c).alias(c) for c in ("rouge_1", "rouge_2", "rouge_l")])
 
 
+def q_compare_all_models(spark, sf_dir):
+    """The comparison with the hybrid method (a network of fixed weights) in the table."""
+    methods = ("tfidf", "textrank", "hybrid", "lead")
+    return _compared(predictions(spark, sf_dir, methods, MD.fixed_model()), methods)
+
+
 REGISTRY.update({
     "rouge_tokens": q_rouge_tokens,
     "token_stems": q_token_stems,
@@ -386,6 +391,7 @@ REGISTRY.update({
     "rouge_l": q_rouge_l,
     "evaluate_tfidf": q_evaluate_tfidf,
     "compare_models": q_compare_models,
+    "compare_all_models": q_compare_all_models,
 })
 
 
@@ -425,8 +431,7 @@ def q_scaler_fit(spark, sf_dir):
 
 
 def q_scaler_transform(spark, sf_dir):
-    ts = _training_set(spark, sf_dir).persist()
-    scaled = M.apply_scaler(ts, M.fit_scaler(ts))
+    scaled = M.fit_transform(_training_set(spark, sf_dir))
     return scaled.select("doc_id", "sent_idx", *[r6(c).alias(c) for c in M.FEATURES])
 
 
@@ -444,6 +449,12 @@ def q_train_importance(spark, sf_dir):
 
 
 def q_training_metrics(spark, sf_dir):
+    """Of fixed weights, so that the scores are the same everywhere."""
+    m = MD.training_metrics(MD.fixed_model(), _training_set(spark, sf_dir))
+    return m.select("split", *[r6(c).alias(c) for c in ("accuracy", "auc", "loss")])
+
+
+def q_training_metrics_trained(spark, sf_dir):
     ts = _training_set(spark, sf_dir).persist()  # training and metrics read it
     try:
         return MD.training_metrics(MD.train(ts), ts)
@@ -451,13 +462,26 @@ def q_training_metrics(spark, sf_dir):
         ts.unpersist()
 
 
-def q_predict_importance(spark, sf_dir):
-    """Importance of every sentence of every document."""
+def _importance(spark, sf_dir, model):
     feats = M.sentence_features(sent_table(spark, sf_dir), "doc_id")
-    return MD.predict_importance(trained_model(spark, sf_dir), feats).select("doc_id", "sent_idx", "importance")
+    return MD.predict_importance(model, feats)
+
+
+def q_predict_importance(spark, sf_dir):
+    """Importance of every sentence of every document by a network of fixed weights."""
+    return _importance(spark, sf_dir, MD.fixed_model()).select("doc_id", "sent_idx", r6("importance").alias("importance"))
+
+
+def q_predict_importance_trained(spark, sf_dir):
+    return _importance(spark, sf_dir, trained_model(spark, sf_dir)).select("doc_id", "sent_idx", "importance")
 
 
 def q_summaries_hybrid(spark, sf_dir):
+    """By a network of fixed weights, with the status of each summary."""
+    return summarize.summarize(table(spark, sf_dir, "documents"), "text", "hybrid", K, model=MD.fixed_model(), status=True)
+
+
+def q_summaries_hybrid_trained(spark, sf_dir):
     model = trained_model(spark, sf_dir)
     return summarize.summarize(table(spark, sf_dir, "documents"), "text", "hybrid", K, model=model)
 
@@ -474,6 +498,9 @@ REGISTRY.update({
     "training_metrics": q_training_metrics,
     "predict_importance": q_predict_importance,
     "summaries_hybrid": q_summaries_hybrid,
+    "training_metrics_trained": q_training_metrics_trained,
+    "predict_importance_trained": q_predict_importance_trained,
+    "summaries_hybrid_trained": q_summaries_hybrid_trained,
 })
 
 
@@ -504,3 +531,55 @@ REGISTRY.update({
     "pagerank_embeddings": q_pagerank_embeddings,
     "sentence_vectors": q_sentence_vectors,
 })
+
+
+# --- G on documents: a user's sentence vectors, strongest neighbours ---------------------
+
+from precis.operators import dense as D  # noqa: E402
+
+DIMS = 12
+
+
+def sentence_shape(sentence) -> "F.Column":
+    """A small dense vector of a sentence: how many of its words have 1, 2, ... letters."""
+    sizes = F.transform(F.split(sentence, " "), lambda w: F.least(F.length(w), F.lit(DIMS)))
+    return F.transform(F.sequence(F.lit(1), F.lit(DIMS)), lambda d: F.size(F.filter(sizes, lambda n: n == d)).cast("double"))
+
+
+def documents_with_vectors(spark, sf_dir) -> DataFrame:
+    """(doc_id, text, n_sent, vectors): the documents with a vector for each sentence, as a user's encoder would add."""
+    d = sentences.with_sentences(sentences.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text")
+    return d.select("doc_id", "text", "n_sent", F.transform("sentences", lambda s: sentence_shape(s)).alias("vectors"))
+
+
+def q_textrank_vectors(spark, sf_dir):
+    d = documents_with_vectors(spark, sf_dir)
+    r = d.select("doc_id", D.dense_scores(F.col("vectors"), F.col("n_sent")).alias("r"))
+    return r.select("doc_id", "r.converged", F.posexplode("r.scores").alias("sent_idx", "x")).select(
+        "doc_id", "sent_idx", F.round("x", 7).alias("textrank"), "converged")
+
+
+def q_summaries_textrank_vectors(spark, sf_dir):
+    return summarize.summarize(documents_with_vectors(spark, sf_dir), "text", "textrank", K, vectors="vectors")
+
+
+def q_textrank_clipped(spark, sf_dir):
+    """Over centred vectors, whose cosines are often negative: those edges are dropped."""
+    d = documents_with_vectors(spark, sf_dir)
+    centred = F.transform("vectors", lambda v: F.transform(v, lambda x: x - F.aggregate(v, F.lit(0.0), lambda a, z: a + z) / DIMS))
+    r = d.select("doc_id", D.dense_scores(centred, F.col("n_sent"), "clip").alias("r"))
+    return r.select("doc_id", "r.converged", F.posexplode("r.scores").alias("sent_idx", "x")).select(
+        "doc_id", "sent_idx", F.round("x", 7).alias("textrank"), "converged")
+
+
+def q_strongest_neighbours(spark, sf_dir):
+    vec = textrank.sentence_vectors(sent_table(spark, sf_dir))
+    return D.strongest_neighbours(vec, 5).select("doc_id", "sent_idx", "rank", "neighbour", r6("similarity").alias("similarity"))
+
+
+REGISTRY.update({
+    "textrank_vectors": q_textrank_vectors,
+    "summaries_textrank_vectors": q_summaries_textrank_vectors,
+    "textrank_clipped": q_textrank_clipped,
+    "strongest_neighbours": q_strongest_neighbours,
+})
