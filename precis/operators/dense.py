@@ -162,7 +162,8 @@ def _solve(vectors: pa.Array, sentences: pa.Array, negative_edges: str, settings
         ["scores", "converged", "iterations"])
 
 
-def dense_scores(vectors: Column, n_sent: Column, negative_edges: str = "keep", settings: C.Settings = C.DEFAULT) -> Column:
+def dense_scores(vectors: Column, n_sent: Column, negative_edges: str = "keep", settings: C.Settings = C.DEFAULT,
+                 movable: bool = True) -> Column:
     """G1-G4, G6 for one document a row: struct<scores, converged, iterations>, a score for each sentence.
 
     ``vectors``: array of the sentences' vectors.  A graph that does not converge has
@@ -175,7 +176,18 @@ def dense_scores(vectors: Column, n_sent: Column, negative_edges: str = "keep",
         return _solve(v, n, negative_edges, settings)
 
     given = vectors.cast("array<array<double>>")
-    return F.arrow_udf(run, SCORES)(given, n_sent.cast("int"))
+    udf = F.arrow_udf(run, SCORES)
+    return (udf if movable else udf.asNondeterministic())(given, n_sent.cast("int"))
+
+
+def textrank_vectors(docs: DataFrame, id_col: str, vectors: Column, n_sent: Column, negative_edges: str = "keep",
+                     settings: C.Settings = C.DEFAULT) -> DataFrame:
+    """:func:`dense_scores` as rows (id, sent_idx, textrank, converged, iterations), one for each sentence."""
+    # evaluated once, below the generator: Spark must not move the UDF into it
+    scores = dense_scores(vectors, n_sent, negative_edges, settings, movable=False)
+    r = docs.select(id_col, scores.alias("r")).select(id_col, "r.scores", "r.converged", "r.iterations")
+    return r.select(id_col, "converged", "iterations", F.posexplode("scores").alias("sent_idx", "textrank")).select(
+        id_col, "sent_idx", "textrank", "converged", "iterations")
 
 
 def best_positions(scores: Column, k: int) -> Column:

@@ -540,23 +540,29 @@ from precis.operators import dense as D  # noqa: E402
 DIMS = 12
 
 
-def sentence_shape(sentence) -> "F.Column":
-    """A small dense vector of a sentence: how many of its words have 1, 2, ... letters."""
-    sizes = F.transform(F.split(sentence, " "), lambda w: F.least(F.length(w), F.lit(DIMS)))
-    return F.transform(F.sequence(F.lit(1), F.lit(DIMS)), lambda d: F.size(F.filter(sizes, lambda n: n == d)).cast("double"))
+def sentence_shapes(sents: str) -> "F.Column":
+    """A small dense vector of each sentence: how many of its words have 1, 2, ... letters (the last: or more)."""
+    sizes = F.transform(sents, lambda s: F.transform(F.split(s, " "), lambda w: F.least(F.length(w), F.lit(DIMS))))
+
+    def count(n, d):
+        return F.size(F.filter(n, lambda x: x == d)).cast("double")
+
+    return F.transform(sizes, lambda n: F.array(*[count(n, d) for d in range(1, DIMS + 1)]))
 
 
 def documents_with_vectors(spark, sf_dir) -> DataFrame:
     """(doc_id, text, n_sent, vectors): the documents with a vector for each sentence, as a user's encoder would add."""
     d = sentences.with_sentences(sentences.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "text")
-    return d.select("doc_id", "text", "n_sent", F.transform("sentences", lambda s: sentence_shape(s)).alias("vectors"))
+    return d.select("doc_id", "text", "n_sent", sentence_shapes("sentences").alias("vectors"))
+
+
+def _dense_rows(d, vectors, negative_edges="keep"):
+    r = D.textrank_vectors(d, "doc_id", vectors, F.col("n_sent"), negative_edges)
+    return r.select("doc_id", "sent_idx", F.round("textrank", 7).alias("textrank"), "converged")
 
 
 def q_textrank_vectors(spark, sf_dir):
-    d = documents_with_vectors(spark, sf_dir)
-    r = d.select("doc_id", D.dense_scores(F.col("vectors"), F.col("n_sent")).alias("r"))
-    return r.select("doc_id", "r.converged", F.posexplode("r.scores").alias("sent_idx", "x")).select(
-        "doc_id", "sent_idx", F.round("x", 7).alias("textrank"), "converged")
+    return _dense_rows(documents_with_vectors(spark, sf_dir), F.col("vectors"))
 
 
 def q_summaries_textrank_vectors(spark, sf_dir):
@@ -564,12 +570,10 @@ def q_summaries_textrank_vectors(spark, sf_dir):
 
 
 def q_textrank_clipped(spark, sf_dir):
-    """Over centred vectors, whose cosines are often negative: those edges are dropped."""
+    """Over shifted vectors, whose cosines are often negative: those edges are dropped."""
     d = documents_with_vectors(spark, sf_dir)
-    centred = F.transform("vectors", lambda v: F.transform(v, lambda x: x - F.aggregate(v, F.lit(0.0), lambda a, z: a + z) / DIMS))
-    r = d.select("doc_id", D.dense_scores(centred, F.col("n_sent"), "clip").alias("r"))
-    return r.select("doc_id", "r.converged", F.posexplode("r.scores").alias("sent_idx", "x")).select(
-        "doc_id", "sent_idx", F.round("x", 7).alias("textrank"), "converged")
+    shifted = F.transform("vectors", lambda v: F.transform(v, lambda x: x - 1.5))
+    return _dense_rows(d, shifted, "clip")
 
 
 def q_strongest_neighbours(spark, sf_dir):
