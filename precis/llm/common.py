@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int):
-    """A bounded training sample: (texts, labels, share of label 1 among all training labels).
+    """A bounded training sample: (texts, labels, share of label 1 among all eligible rows).
 
-    At most ``per_class`` documents of each class, those with the smallest hash of
-    the id; only labelled documents that are not held out and have at most
-    ``max_chars`` characters are eligible.  So at most ``2 * per_class * max_chars``
-    characters reach the driver.  The ids are chosen on the narrow label table
-    first, so the texts are read in one scan without a shuffle of the corpus.
+    Eligible are labelled documents of ``docs`` that are not held out and have at most
+    ``max_chars`` characters; of each class the ``per_class`` with the smallest hash of
+    the id are drawn.  So at most ``2 * per_class * max_chars`` characters reach the
+    driver, and a class is as large as what is there allows: a narrow scan (ids and
+    lengths, joined with the labels) finds what is eligible before anything is drawn.
     Repeated labels of an id count once (the largest), repeated documents once.
+
+    A class whose documents are all longer than ``max_chars`` is an error, because the
+    model could not know it; one without any document here is only warned of.
     """
     y = F.col(label).cast("int")
     lab = (
@@ -41,11 +45,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
-    lab = lab.withColumn("h", F.xxhash64("doc_id"))
-    n1, n = lab.agg(F.sum("y"), F.count("y")).first()
+    present = (
+        docs.select("doc_id", F.length("text").alias("size")).where(F.col("size").isNotNull())
+        .groupBy("doc_id").agg(F.min("size").alias("size")).join(lab, "doc_id")
+    )
+    checkpoint_dir(docs.sparkSession)
+    present = present.withColumn("h", F.xxhash64("doc_id")).checkpoint()  # read three times
+    fits = F.col("size") <= max_chars
+    counts = {r["y"]: (r["n"], r["k"]) for r in present.groupBy("y").agg(
+        F.count("*").alias("n"), F.count(F.when(fits, 1)).alias("k")).collect()}
+    for cls in (0, 1):
+        n, k = counts.get(cls, (0, 0))
+        if n and not k:
+            raise ValueError(f"all {n} training documents with {label} = {cls} are longer than {max_chars} characters")
+        if counts and not n:
+            warnings.warn(f"no training document has {label} = {cls}")
     ids = [
         tuple(r) for cls in (0, 1)
-        for r in lab.where(F.col("y") == cls).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y").collect()
+        for r in present.where((F.col("y") == cls) & fits).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y").collect()
     ]
     if not ids:
         return [], np.zeros(0), None
@@ -59,7 +76,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .select("doc_id", "text", "y").toArrow()
     )
     rows = rows.sort_by("doc_id")  # the same training order however Spark dealt the rows
-    return rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.float64), (n1 or 0) / n
+    eligible = {c: k for c, (_, k) in counts.items()}
+    return rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.float64), eligible.get(1, 0) / sum(eligible.values())
 
 
 def free_name(name: str, taken: list[str]) -> str:

@@ -359,8 +359,9 @@ def extract(page: str, weights: Weights) -> str:
 
 
 def train(pages: DataFrame, html: str, order: str, cfg: ExtractConfig = DEFAULT) -> Weights:
-    """Learn from a bounded sample: the pages with the smallest hash of ``order``, up to ``cfg.pages``."""
-    ids = pages.select(F.xxhash64(order).alias("h"), F.col(order).alias("o")).orderBy("h", "o").limit(cfg.pages)
+    """Learn from a bounded sample of the pages that mark an article: those with the smallest hash of ``order``, up to ``cfg.pages``."""
+    marked = pages.where((F.length(html) <= cfg.max_chars) & F.col(html).rlike(r"(?i)<(?:article|main)[\s/>]"))
+    ids = marked.select(F.xxhash64(order).alias("h"), F.col(order).alias("o")).orderBy("h", "o").limit(cfg.pages)
     keys = [r["o"] for r in ids.collect() if r["o"] is not None]
     if not keys:
         return Weights()

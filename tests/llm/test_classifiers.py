@@ -83,3 +83,30 @@ def test_nulls_repeats_and_clashing_columns(spark):
         texts, y, _ = common.labelled_sample(docs, labels, label, 1000, 10_000)
         assert len(texts) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60)) == len(y)
     assert docs.limit(0).select(mod.score(F.col("text"), empty)).count() == 0
+
+
+def test_sample_is_drawn_from_what_is_there(spark):
+    """30 of 5,000 positives are left by an earlier stage, half of the rest is too long: all 30 are drawn."""
+    from precis.llm import common
+
+    kept = [i for i in range(5000) if not common_held_out(i)][:30]
+    docs = [(i, "good text") for i in kept] + [(i, "x" * (50 if i % 2 else 500)) for i in range(5000, 6000)]
+    docs += [(7000, None), (None, "no id"), (kept[0], "y" * 900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 5000)) for i in range(8000)], "doc_id long, quality int")
+    texts, y, share = common.labelled_sample(df, labels, "quality", 50, 100)
+    zeros = sum(not common_held_out(i) for i in range(5001, 6000, 2))
+    assert y.sum() == 30 and len(y) == 80 and texts.count("good text") == 30
+    assert abs(share - 30 / (30 + zeros)) < 1e-12
+    with pytest.raises(ValueError):
+        common.labelled_sample(df, labels, "quality", 50, 5)  # every document is longer
+    with pytest.warns(UserWarning):
+        _, y, share = common.labelled_sample(df.where("doc_id >= 5000"), labels, "quality", 50, 100)
+    assert share == 0 and not y.any()
+    assert common.labelled_sample(df.limit(0), labels, "quality", 50, 100)[0] == []
+
+
+def common_held_out(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 5 == 0
