@@ -11,29 +11,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from precis import config as C
-from precis.operators.corpus import REQUIRED, clean_corpus, require_columns
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from precis import config as C
+from precis.operators.corpus import REQUIRED, require_columns
+from precis.sources.store import path_exists  # noqa: F401 - part of this module's functions
 
 
-def _fmt(path: str, fmt: str | None) -> str:
+def _fmt(path, fmt: str | None) -> str:
     if fmt:
         return fmt
+    path = path if isinstance(path, str) else path[0]
     return "csv" if path.rstrip("/").lower().endswith(".csv") else "parquet"
 
 
-def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, id_col: str = "doc_id") -> DataFrame:
+def read_corpus(spark: SparkSession, path, fmt: str | None = None, id_col: str = "doc_id", first_file: int = 0) -> DataFrame:
     """S1 + S2: (doc_id, article, highlights); extra columns are dropped.
 
     CSV is read with a header, quoted multi-line fields and no schema inference
     (all strings); it needs an id column, because its rows have no place of their
     own once files are split.  Parquet without one is numbered by (file name, row in
     the file), so keep-first de-duplication keeps the first row of the first file
-    whatever order Spark reads the files in.
+    whatever order Spark reads the files in; ``first_file`` numbers come before them.
+    ``path``: one path or a list of them.
     """
     f = _fmt(path, fmt)
     if f == "csv":
@@ -51,7 +50,7 @@ def read_corpus(spark: SparkSession, path: str, fmt: str | None = None, id_col:
         raise ValueError(f"a {f} corpus needs an id column ({id_col!r}) that gives its rows an order")
     rows = df.select(*texts, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_no"))
     files = sorted(r["file"] for r in rows.select("file").distinct().collect())  # names only, one for each file
-    order = spark.createDataFrame(list(zip(files, range(len(files)))), "file string, file_no long")
+    order = spark.createDataFrame([(f, first_file + i) for i, f in enumerate(files)], "file string, file_no long")
     return rows.join(F.broadcast(order), "file").select(
         (F.col("file_no") * F.lit(1 << 40) + F.col("row_no")).alias("doc_id"), "article", "highlights")
 
@@ -66,16 +65,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 def load_or_build_clean(spark: SparkSession, raw_path: str, clean_path: str,
                         settings: C.Settings = C.DEFAULT) -> DataFrame:
-    """Read the cleaned corpus if it is complete, else clean, write, re-read.
+    """The cleaned corpus, of which only what is not stored yet is built.
 
-    Complete means that the writer has left its success marker.
-
-    Writing and re-reading also cuts the lineage of the cleaning plan, so
-    later jobs start from the stored table.
+    New files below ``raw_path`` are cleaned and de-duplicated against the stored rows;
+    changed settings or changed files build it anew (:mod:`precis.sources.clean_store`).
+    A part counts only once its manifest is written, so a failed run leaves nothing.
     """
-    if not path_exists(spark, f"{clean_path.rstrip('/')}/_SUCCESS"):
-        write_table(clean_corpus(read_corpus(spark, raw_path), settings=settings), clean_path)
-    return spark.read.parquet(clean_path)
+    from precis.sources.clean_store import build_clean
+
+    return build_clean(spark, raw_path, clean_path, settings)
 
 
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
