@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from precis.functions.html import tag_end
 from precis.llm import common
 
 
@@ -50,7 +51,7 @@ DEFAULT = ExtractConfig()
 # Elements whose content is raw text up to their end tag.
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript", "template"}
 # Elements that never hold a part of the article.
-EXCLUDED = RAW | {"head", "nav", "aside", "footer", "form", "button", "select", "option", "menu", "svg", "math", "canvas",
+EXCLUDED = RAW | {"head", "nav", "aside", "footer", "form", "button", "select", "option", "menu", "svg", "canvas",
                   "object", "audio", "video", "dialog", "datalist"}
 # Words in class, id and role that mark such places.
 MARKS = {
@@ -60,9 +61,14 @@ MARKS = {
     "footer", "contentinfo", "masthead", "share", "sharing", "social", "related", "recommended", "newsletter",
     "subscribe", "subscription", "signup", "popup", "modal", "overlay", "widget", "pagination", "login", "search",
 }
+# Marks of adverts and of what readers write, which are no part of an article in whatever element they stand.
+FOREIGN = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "comment", "comments",
+           "respond", "disqus"}
 # Words that, beside such a mark, still name the place and not what it tells of.
 NEUTRAL = {"box", "container", "wrapper", "wrap", "bar", "slot", "unit", "inner", "outer", "top", "bottom", "left", "right",
-           "site", "main", "primary", "secondary", "button", "buttons", "icon", "icons", "link", "links"}
+           "site", "main", "primary", "secondary", "button", "buttons", "icon", "icons", "link", "links", "list", "area", "section",
+           "block", "row", "col", "column", "item", "items", "thread", "panel", "module", "holder", "zone", "reader", "readers",
+           "user", "users", "group", "card", "cell"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Elements that are part of the running text where they stand in an article.
 RUNNING = HEADINGS | {"section", "p", "blockquote", "pre", "code", "figure", "figcaption", "table", "thead", "tbody", "tr", "td",
@@ -72,7 +78,7 @@ SITE_MARKS = {"header", "banner", "masthead", "topbar"}  # of the page, not of t
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
     "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
-    "wbr", "img",
+    "wbr", "img", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # Start tags that end an open paragraph.
@@ -83,44 +89,51 @@ ENDS_P = {
 MAIN = {"article", "main"}
 UNMARKED = {"html", "body"} | MAIN  # whose classes describe the page, not a place in it
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
-ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true)""", re.I)
+NAME = re.compile(r"/?([a-zA-Z][^\t\n\f\r />]*)")
 MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def _named(attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether a class, id or role names a place that is no part of an article, and whether one contains such a word.
+def _named(attrs: list[tuple], in_main: bool, block: bool) -> tuple[bool, bool, bool]:
+    """Whether a class, id or role names a place that is no part of an article, such a place in any element, or contains such a word.
 
-    In an article an id is an anchor and names nothing.
+    In an article an id is an anchor and names nothing but a block of comments or adverts.
     """
     marks = MARKS if in_main else MARKS | SITE_MARKS
-    whole = part = False
-    for m in ATTR.finditer(attrs):
-        for name in (m[2] or m[3] or m[4] or "").split():
+    whole = foreign = part = False
+    for key, value in attrs:
+        if key not in ("class", "id", "role"):
+            continue
+        for name in value.split():
             words = {w.lower() for w in MARK_WORD.findall(name) if not w.isdigit()}
-            if words & marks:
-                part = True
-                whole = whole or words <= marks | NEUTRAL and not (in_main and m[1].lower() == "id")
-    return whole, part
+            if not words & marks:
+                continue
+            part = True
+            if words <= marks | NEUTRAL:
+                whole = whole or not (in_main and key == "id")
+                foreign = foreign or bool(words & FOREIGN) and (block or key != "id")
+    return whole, foreign, part
 
 
-def _standing(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool, bool]:
+def _standing(tag: str, attrs: list[tuple], in_main: bool) -> tuple[bool, bool, bool]:
     """(never part of an article, not unless it holds the article, less likely) of an element of its own."""
     if tag != "form" and tag in EXCLUDED or (tag == "header" and not in_main):
         return True, False, False
     if not attrs or tag in UNMARKED:
         return False, tag == "form", False
-    if HIDDEN.search(attrs):
+    if any(k == "hidden" or k == "aria-hidden" and v.strip().lower() == "true" for k, v in attrs):
         return True, False, False
-    whole, part = _named(attrs, in_main)
-    cut = whole and not (tag in HEADINGS or in_main and tag in RUNNING)
+    whole, foreign, part = _named(attrs, in_main, tag not in INLINE and tag not in HEADINGS and tag != "p")
+    cut = whole and not (tag in HEADINGS or in_main and tag in RUNNING) or foreign and tag not in HEADINGS
     return False, cut or tag == "form", part
 
 
 def _around_article(elements: list[tuple], texts: list[tuple]) -> set[int]:
     """The elements that would be left out but hold the article, among forms and marked places.
 
+    On a page without any ``<article>`` or ``<main>`` a marked place that holds nearly
+    all of the running text is none: its words are three times those outside of all
+    such places, and half at least of those inside.
+
     Such an element holds most of the text that is marked as article on the page (a
     form may do without a mark), and more words than remain without all of them.  In
     an article it must hold a single further one: several are cards or comments.
@@ -130,8 +143,9 @@ def _around_article(elements: list[tuple], texts: list[tuple]) -> set[int]:
     for e in range(size - 1, -1, -1):  # a parent stands before what it holds
         if elements[e][0] >= 0:
             held[elements[e][0]] += 1 if elements[e][1] in MAIN else held[e]
+    bare = not any(x[1] in MAIN for x in elements)
     asked = {e for e, (_, tag, main, _, soft, _) in enumerate(elements) if soft and (
-        held[e] == 1 if main else held[e] or tag == "form")}
+        bare or (held[e] == 1 if main else held[e] or tag == "form"))}
     if not asked:
         return asked
     words, marked, rest, total = [0] * size, [0] * size, 0, 0
@@ -156,6 +170,9 @@ def _around_article(elements: list[tuple], texts: list[tuple]) -> set[int]:
             marked[parent] += inner
         else:
             total += inner
+    if bare:
+        inside = sum(words[e] for e in asked if not (elements[e][0] >= 0 and within[elements[e][0]]))
+        return {e for e in asked if words[e] > 0 and words[e] > 3 * rest and 2 * words[e] >= inside}
     return {e for e in asked if (words[e] if elements[e][1] == "form" else marked[e]) > rest and (
         elements[e][2] or 2 * marked[e] >= total)}
 
@@ -193,8 +210,14 @@ def _parse(page: str):
     parts: list[tuple] = []
     elements: list[tuple] = []
     stack: list[int] = []
+    open_: Counter = Counter()  # open elements of each name: a stray end tag costs no search
     at, start, size = 0, 0, len(page)
 
+    def close(depth):
+        for e in stack[depth:]:
+            open_[elements[e][1]] -= 1
+        del stack[depth:]
+
     def text(upto):
         if upto > start:
             parts.append(("text", page[start:upto], False, stack[-1] if stack else -1))
@@ -213,41 +236,43 @@ def _parse(page: str):
             end = page.find(">", at)
             at = start = size if end < 0 else end + 1
             continue
-        m = TAG.match(page, at)
-        if not m:
+        m = NAME.match(page, at + 1)
+        attrs: list[tuple] = []
+        end = tag_end(page, m.end(), attrs) if m else -1
+        if end < 0:
             at += 1
             continue
         text(at)
-        at = start = m.end()
-        close, tag, attrs = m[1], m[2].lower(), m[3]
-        if close:
+        at = start = end
+        tag = m[1].lower()
+        if m[0][0] == "/":
             inner = stack[-1] if stack else -1
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if elements[stack[i]][1] == tag), -1)
-            if depth >= 0:
-                del stack[depth:]
+            if open_[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if elements[stack[i]][1] == tag))
             parts.append(("tag", "/" + tag, tag not in INLINE, inner))
             continue
         if tag in ENDS_P:
             # an open paragraph ends, unless a block of its own stands in between
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_["p"] else ():
                 name = elements[stack[i]][1]
                 if name == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if name not in INLINE:
                     break
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and elements[stack[-1]][1] == tag:
-            stack.pop()
+            close(len(stack) - 1)
         parent = stack[-1] if stack else -1
         main = tag in MAIN or parent >= 0 and elements[parent][2]
         parts.append(("tag", tag, tag not in INLINE, len(elements)))
         elements.append((parent, tag, main, *_standing(tag, attrs, main)))
-        if tag in VOID or attrs.endswith("/"):
+        if tag in VOID or page[end - 2] == "/":
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = start = size if end is None else end.start()
         stack.append(len(elements) - 1)
+        open_[tag] += 1
     text(size)
     return parts, elements
 
