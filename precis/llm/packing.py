@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, doc_id: str, length: Column, cfg: PackConfig = DEFAU
     return d.select("doc_id", "piece", start.alias("start"), F.least(F.lit(top).cast("long"), F.col("n") - start).alias("n_tokens"))
 
 
-PACKED = "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_capacity long"
+PACKED = "doc_id {kind}, piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_capacity long"
 
 
 def pack_documents(docs: DataFrame, doc_id: str, length: Column, cfg: PackConfig = DEFAULT) -> DataFrame:
@@ -128,4 +128,4 @@ def pack_documents(docs: DataFrame, doc_id: str, length: Column, cfg: PackConfig
         yield from rows.to_batches()
 
     # dealt round robin, so a hot id or length cannot fill one shard
-    return table.repartition(shards).mapInArrow(run, PACKED)
+    return table.repartition(shards).mapInArrow(run, PACKED.format(kind=dict(table.dtypes)["doc_id"]))
