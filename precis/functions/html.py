@@ -63,8 +63,11 @@ def unescape(text: str) -> str:
     return _REFERENCE.sub(_reference, text) if "&" in text else text
 
 
-def _tag_end(page: str, at: int) -> int:
-    """The place after the ``>`` of a tag whose name ends at ``at``; -1 if the page ends first."""
+def tag_end(page: str, at: int, attributes: list | None = None) -> int:
+    """The place after the ``>`` of a tag whose name ends at ``at``; -1 if the page ends first.
+
+    ``attributes`` gets the (name, value) pairs, names in lower case, values as they stand.
+    """
     n = len(page)
     while True:
         at = _SKIP.match(page, at).end()
@@ -72,18 +75,24 @@ def _tag_end(page: str, at: int) -> int:
             return -1
         if page[at] == ">":
             return at + 1
-        at = _ATTRIBUTE.match(page, at).end()
+        begin, at = at, _ATTRIBUTE.match(page, at).end()
+        name = page[begin:at].lower() if attributes is not None else ""
         value = _EQUALS.match(page, at)
         if value is None:
+            if attributes is not None:
+                attributes.append((name, ""))
             continue
-        at = value.end()
+        begin = at = value.end()
         quote = page[at:at + 1]
         if quote and quote in "\"'":
-            at = page.find(quote, at + 1) + 1
+            begin += 1
+            at = page.find(quote, begin) + 1
             if not at:
                 return -1
         else:
             at = _VALUE.match(page, at).end()
+        if attributes is not None:
+            attributes.append((name, page[begin:at - 1 if quote and quote in "\"'" else at]))
 
 
 def _after(page: str, what: str, at: int) -> int:
@@ -115,7 +124,7 @@ def text_of(page: str) -> str:
         if kind in LETTERS and kind:
             end = _NAME.match(page, begin + 1).end()
             name = page[begin + 1:end].lower()
-            at = _tag_end(page, end)
+            at = tag_end(page, end)
             if at < 0:
                 break
             put(" ")
@@ -134,7 +143,7 @@ def text_of(page: str) -> str:
                 at = end
         elif kind == "/" and page[begin + 2:begin + 3] in LETTERS and begin + 2 < n:
             end = _NAME.match(page, begin + 2).end()
-            at = _tag_end(page, end)
+            at = tag_end(page, end)
             if at < 0:
                 break
             if page[begin + 2:end].lower() == "template":
