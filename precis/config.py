@@ -8,11 +8,7 @@ the original pipeline's for the same results are grouped at the bottom under
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -113,22 +109,20 @@ def html_entities() -> dict[str, str]:
     return {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
 
 
-@functools.lru_cache(maxsize=1)
+# The English stop words of Spark ML's StopWordsRemover.
+ENGLISH_STOP_WORDS = tuple((
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers "
+    "herself it its itself they them their theirs themselves what which who whom this that these those am is are "
+    "was were be been being have has had having do does did doing a an the and but if or because as until while of "
+    "at by for with about against between into through during before after above below to from up down in out on "
+    "off over under again further then once here there when where why how all any both each few more most other "
+    "some such no nor not only own same so than too very s t can will just don should now i'll you'll he'll she'll "
+    "we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've "
+    "they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't "
+    "mustn't can't couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's "
+    "would "
+).split())
+
+
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the Spark jar.
-
-    Read from the jar on the Python side so that the oracle SQL can embed the
-    very same list without a JVM; falls back to the JVM loader.
-    """
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                words = z.read(name).decode("utf-8").split()
-                return tuple(w.strip() for w in words if w.strip())
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    return ENGLISH_STOP_WORDS

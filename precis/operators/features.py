@@ -123,7 +123,7 @@ def fit_scaler(ts: DataFrame, features=FEATURES) -> dict:
     """
     row = ts.agg(*[F.min(c).alias(f"min_{c}") for c in features], *[F.max(c).alias(f"max_{c}") for c in features]).first()
     if row is None or row[f"min_{features[0]}"] is None:
-        raise ValueError("Training data is empty")
+        raise ValueError("a scaler cannot be fitted without rows")
     dmin = [float(row[f"min_{c}"]) for c in features]
     dmax = [float(row[f"max_{c}"]) for c in features]
     rng = [b - a for a, b in zip(dmin, dmax)]

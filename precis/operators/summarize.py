@@ -37,7 +37,7 @@ def resolve_method(method: str) -> str:
     """K7: case-folded; anything else is an error."""
     m = (method or "").lower()
     if m not in METHODS:
-        raise ValueError(f"Method must be one of {', '.join(METHODS)}; got {method!r}")
+        raise ValueError(f"no summaries by {method!r}; there are {', '.join(METHODS)}")
     return m
 
 

@@ -7,6 +7,8 @@ Scores are rounded to 6 digits so both engines agree bit for bit.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,6 +169,8 @@ def queries():
 
 from precis.functions import text as T  # noqa: E402
 from precis.operators import corpus as R, log as L  # noqa: E402
+from precis.session import checkpoint_dir  # noqa: E402
+from precis.sources import io as SRC  # noqa: E402
 
 
 def injected(spark, sf_dir) -> DataFrame:
@@ -249,7 +253,10 @@ def corpus(spark, sf_dir) -> DataFrame:
 
 
 def q_corpus_scan(spark, sf_dir):
-    return corpus(spark, sf_dir)
+    """S1 + S2 over a stored corpus (written to the shared folder, which the cluster cleans)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    SRC.write_table(corpus(spark, sf_dir), path)
+    return SRC.read_corpus(spark, path)
 
 
 def q_drop_blank(spark, sf_dir):

@@ -15,11 +15,11 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precis import config as C
-from precis.operators.corpus import clean_columns, drop_blank, length_filter
+from precis.operators.corpus import clean_columns, digest_of, drop_blank, first_places, length_filter
 from precis.sources import store
 
 
@@ -30,26 +30,6 @@ def fingerprint(settings: C.Settings) -> str:
     return hashlib.sha256(json.dumps([used, fixed], sort_keys=True).encode()).hexdigest()
 
 
-def digest_of(text: Column) -> Column:
-    """SHA-256 of a text as 32 bytes: a key of fixed size for texts of any length."""
-    return F.unhex(F.sha2(text, 256))
-
-
-def first_places(rows: DataFrame) -> DataFrame:
-    """(digest, doc_id, place) of the row with the smallest id of each digest; of equal ids the first place.
-
-    ``rows``: (digest, doc_id long, place long, not negative).  Id and place are one
-    decimal number, so the minimum is kept in a hash aggregate.  A null id comes first.
-    """
-    size = F.lit(1 << 62).cast("decimal(19,0)")
-    low = F.lit(-(1 << 62)).cast("decimal(19,0)")  # below any id that can be packed
-    packed = (F.coalesce(F.col("doc_id").cast("decimal(19,0)"), low) * size + F.col("place").cast("decimal(19,0)")).cast("decimal(38,0)")
-    best = rows.groupBy("digest").agg(F.min(packed).alias("best"))
-    place = F.pmod("best", size.cast("decimal(38,0)"))
-    doc_id = ((F.col("best") - place) / size).cast("decimal(38,0)")
-    return best.select("digest", F.when(doc_id != low, doc_id.cast("long")).alias("doc_id"), place.cast("long").alias("place"))
-
-
 def build_clean(spark: SparkSession, raw_path: str, clean_path: str, settings: C.Settings = C.DEFAULT,
                 read=None, broadcast_rows: int | None = None) -> DataFrame:
     """The cleaned corpus of all files below ``raw_path``, of which only new ones are read.

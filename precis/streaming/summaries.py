@@ -10,6 +10,7 @@ cluster's shared folder), which makes the query restartable after a failure.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,7 @@ def summarize_stream(
     k=None,
     id_col: str = "doc_id",
     model=None,
-    name: str = "summaries",
+    name: str | None = None,
     available_now: bool = False,
     settings: C.Settings = C.DEFAULT,
     checkpoint: str | None = None,
@@ -48,8 +49,10 @@ def summarize_stream(
 
     ``checkpoint`` is the stream's own folder; a restart with the same folder goes on
     where the stream stopped.  Without it the folder follows from the name, below the
-    shared checkpoint folder.
+    shared checkpoint folder; the default name follows from the output path, so streams
+    with different outputs never share a folder.
     """
+    name = name or "summaries-" + hashlib.sha256(out_path.rstrip("/").encode()).hexdigest()[:16]
     ckpt = checkpoint or os.path.join(checkpoint_dir(stream.sparkSession), "stream-" + name)
 
     def batch(df: DataFrame, epoch_id: int) -> None:

@@ -36,7 +36,7 @@ def test_textrank_uses_vectorised_kernel_without_new_shuffle(spark):
 
 
 def test_clean_corpus_cleans_once(spark):
-    p = plan(ENTRY.queries()["clean_corpus"](spark, SF))
+    p = plan(ENTRY.queries()["length_filter"](spark, SF))  # what clean_corpus stores
     assert "Generate explode(array(struct(" in p  # filters stay above the cleaning
     assert "CartesianProduct" not in p and "BatchEvalPython" not in p
 
@@ -110,3 +110,25 @@ def test_side_by_side_reads_its_input_once(spark):
     p = plan(ENTRY.queries()["summaries_side_by_side"](spark, SF))
     assert p.count("FileScan parquet") == 1 and "Join" not in p
     assert p.count("MapInArrow") == 1
+
+
+def test_texts_are_not_aggregated(spark):
+    """Keep-first de-duplication: texts are stored once, then dropped by place."""
+    p = plan(ENTRY.queries()["clean_corpus"](spark, SF))
+    assert "SortAggregate" not in p and "Exchange hashpartitioning" not in p
+    for name, scans in (("summary_log", 1), ("compression_ratio", 1), ("training_set", 2), ("rouge_1", 2), ("compare_models", 2)):
+        p = plan(ENTRY.queries()[name](spark, SF))
+        assert p.count("FileScan") == scans, name
+
+
+def test_queries_run_no_job_while_planned(spark, monkeypatch):
+    from precis.plans import queries as Q
+
+    read = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "conversations")}  # reading a schema is a job
+    monkeypatch.setattr(Q, "table", lambda spark, sf_dir, name: read[name])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    for name in ("scaler_transform", "training_set", "summaries_hybrid", "compare_all_models", "summary_log", "textrank_vectors"):
+        Q.queries()[name](spark, SF)
+    assert len(tracker.getJobIdsForGroup("planning")) == 0
+    spark.sparkContext.setJobGroup("", "")

@@ -74,11 +74,11 @@ def test_changed_settings_and_files_build_anew(spark, tmp_path):
 
 
 def test_digests_are_aggregated_by_hash_without_texts(spark):
-    rows = spark.range(100).select(CS.digest_of(F.col("id").cast("string")).alias("digest"), F.col("id").alias("doc_id"), F.col("id").alias("place"))
-    plan = CS.first_places(rows)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(100).select(R.digest_of(F.col("id").cast("string")).alias("digest"), F.col("id").alias("doc_id"), F.col("id").alias("place"))
+    plan = R.first_places(rows)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
     many = [(b"a", 5, 1), (b"a", 5, 0), (b"a", 6, 2), (b"b", None, 9), (b"b", -(1 << 61), 3), (b"c", (1 << 61), (1 << 61)), (b"c", (1 << 61), 7), (b"d", -3, 2), (b"d", -3, 4)]
-    got = CS.first_places(spark.createDataFrame(many, "digest binary, doc_id long, place long")).collect()
+    got = R.first_places(spark.createDataFrame(many, "digest binary, doc_id long, place long")).collect()
     assert sorted((bytes(r[0]), r[1], r[2]) for r in got) == [(b"a", 5, 0), (b"b", None, 9), (b"c", 1 << 61, 7), (b"d", -3, 2)]
 
 
