@@ -4,19 +4,22 @@ Documents longer than the longest sequence are cut into pieces; no token is lost
 Pieces are dealt evenly over shards of a bounded number of pieces, and each shard is
 packed on its own in a task of its own: pieces by falling length, each into the open
 bin that it leaves fullest (best fit).  Where no open bin has room a new one is
-opened.  Which size to open is optimised jointly: the shard is packed once for each
-permitted size as the one to open (or the next larger one that holds the piece),
-every bin is then downsized to the smallest permitted length that holds its
-contents, and the packing of least total cost stays.
+opened, of the size of least cost: for each permitted size the lengths still to be
+placed are filled in, largest first, and the size whose bin, downsized to that fill,
+costs least for each of its tokens is opened.  In the end every bin is downsized to the
+smallest permitted length that holds its contents.  The shard is also packed with each
+size as the only one to open, and the packing of least total cost stays, so choosing
+size by size never costs more than one size for all.
 
 Only ids and lengths are shuffled.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,32 +33,71 @@ from precis.session import checkpoint_dir
 class PackConfig:
     sizes: tuple = (512, 1024, 2048, 4096)  # permitted sequence lengths, in tokens
     bin_cost: float = 16.0  # what a sequence costs besides its length, in tokens
+    attention: float = 0.0  # and for the square of its length
     shard_pieces: int = 20_000  # pieces that one task packs
 
 
+    def cost(self, size):
+        """What a sequence of a permitted length costs."""
+        return size + self.bin_cost + self.attention * size * size
+
+
 DEFAULT = PackConfig()
 
 
-def best_fit(lengths: np.ndarray, sizes: list[int], opened: int):
+class _Left:
+    """Lengths in falling order, of which the first are placed already: what a new bin could hold."""
+
+    def __init__(self, falling: list[int], cfg: PackConfig):
+        self.neg = [-n for n in falling]
+        self.total = [0, *accumulate(falling)]
+        self.cfg, self.sizes = cfg, sorted(cfg.sizes)
+
+    def fill(self, at: int, room: int) -> int:
+        """Tokens that fit into ``room`` out of the lengths from ``at`` on, the largest that fits first."""
+        left = room
+        while True:
+            at = bisect_left(self.neg, -left, at)  # the first that fits
+            if at >= len(self.neg) or left == 0:
+                return room - left
+            end = bisect_right(self.total, self.total[at] + left) - 1  # and all after it that fit with it
+            left -= self.total[end] - self.total[at]
+            at = end
+
+    def opening(self, at: int, length: int) -> int:
+        """The size to open for the piece before ``at``: least cost for each token; of equal ones the larger."""
+        best = None
+        for size in self.sizes:
+            if size < length:
+                continue
+            load = length + self.fill(at, size - length)
+            cost = self.cfg.cost(self.sizes[bisect_left(self.sizes, load)]) / load
+            if best is None or cost <= best[0]:
+                best = cost, size
+        return best[1]
+
+
+def best_fit(lengths: np.ndarray, sizes: list[int], opened: int | None = None, cfg: PackConfig = DEFAULT):
     """Best fit by falling length: (bin of each piece, offset in the bin, load of each bin).
 
-    ``opened``: the size of a new bin, or the smallest permitted one that holds the piece.
-    Ties: equal pieces in input order; of bins with equal room the one opened first.
+    ``opened``: the size of a new bin, or the smallest permitted one that holds the
+    piece; None: the size of least cost for each opening.  Ties: equal pieces in input
+    order; of bins with equal room the one opened first.
     """
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     load: list[int] = []
-    cap: list[int] = []
     room: list[tuple[int, int]] = []  # open bins as (free tokens, bin), ascending
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    order = np.argsort(-lengths, kind="stable").tolist()
+    left = _Left([int(lengths[i]) for i in order], cfg) if opened is None else None
+    for k, i in enumerate(order):
         n = int(lengths[i])
         at = bisect_left(room, (n, -1))
         if at < len(room):
             free, b = room.pop(at)
         else:
             b = len(load)
-            free = max(opened, sizes[bisect_left(sizes, n)])
+            free = left.opening(k + 1, n) if left else max(opened, sizes[bisect_left(sizes, n)])
             load.append(0)
-            cap.append(free)
         where[i], offset[i] = b, load[b]
         load[b] += n
         if free > n:
@@ -64,17 +106,17 @@ def best_fit(lengths: np.ndarray, sizes: list[int], opened: int):
 
 
 def pack(lengths: np.ndarray, cfg: PackConfig = DEFAULT):
-    """(bin, offset, capacity of the bin) of each piece, by the opening size of least total cost.
+    """(bin, offset, capacity of the bin) of each piece, by the packing of least total cost.
 
     Every length must be from 1 to the largest size.  A piece without tokens would
     fit anywhere; callers give it its end mark, so lengths are at least 1.
     """
     sizes = sorted(cfg.sizes)
     best = None
-    for opened in sizes:
-        where, offset, load = best_fit(lengths, sizes, opened)
+    for opened in (None, *sizes):
+        where, offset, load = best_fit(lengths, sizes, opened, cfg)
         caps = np.array(sizes)[np.searchsorted(sizes, load)]  # downsizing
-        cost = caps.sum() + cfg.bin_cost * len(caps)
+        cost = cfg.cost(caps.astype(np.float64)).sum()
         if best is None or cost < best[0]:
             best = cost, where, offset, caps
     _, where, offset, caps = best
