@@ -151,7 +151,9 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, i
 def scan_text(text: str, cfg: SecretConfig = DEFAULT):
     """(base spans, candidates as (start, end, group, p-value bin)) of a whole text.
 
-    A candidate lies in no base span; decimal strings are numbers, not candidates.
+    A candidate lies in no base span; decimal strings are numbers, not candidates.  A
+    run that fits an alphabet with signs is a candidate as a whole and in its parts,
+    which may overlap in the result.
     """
     runs = [m.span() for m in RUN.finditer(text)]
     base = base_spans(text, runs)
@@ -160,9 +162,10 @@ def scan_text(text: str, cfg: SecretConfig = DEFAULT):
         if b - a < cfg.min_token:
             continue
         enc = infer_encoding(text[a:b])
-        parts = [(a, b, enc)]
-        if enc is None:  # mixed alphabets, such as a key in a path
-            parts = [(*m.span(), infer_encoding(m[0])) for m in PART.finditer(text, a, b) if m.end() - m.start() >= cfg.min_token]
+        parts = [] if enc is None else [(a, b, enc)]
+        # signs may join a key to a path as well as belong to it: the whole run and its parts are tested, under one control
+        parts += [(*m.span(), infer_encoding(m[0])) for m in PART.finditer(text, a, b)
+                  if m.end() - m.start() >= cfg.min_token and m.span() != (a, b)]
         for s, e, enc in parts:
             if enc:  # not decimal
                 p = randomness_p(text[s:e], enc)
