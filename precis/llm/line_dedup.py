@@ -6,22 +6,25 @@ own, so null and repeated ids mix nothing.
 
 Counting needs no row key: a row's distinct hashes are exploded, so a hash's rows are
 its documents, and they are pre-aggregated before the shuffle however frequent a line
-is.  Only positions of dropped lines travel back to the rows; texts move only where
+is.  Texts are hashed once; the hashes are stored.  Only positions of dropped lines travel back to the rows; texts move only where
 those positions are too many to broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precis.llm.common import free_name, with_row_key
+from precis.llm.common import free_name, portions, with_row_key
 from precis.session import checkpoint_dir
 
 SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -39,17 +42,25 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+def line_hashes(texts: pa.Array, min_chars: int) -> pa.Array:
+    """For every text the 16-byte hashes of its lines' keys, null for keys that are too short.
+
+    Splitting, trimming and lower-casing run on whole Arrow arrays; each distinct key of
+    a batch is hashed once.
+    """
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    keys = pc.ascii_lower(pc.ascii_trim(pc.list_flatten(lines), SPACE)).dictionary_encode()
+    distinct = [hashlib.blake2b(k.encode(), digest_size=16).digest() if len(k) >= min_chars else None for k in keys.dictionary.to_pylist()]
+    return pa.ListArray.from_arrays(lines.offsets, pa.array(distinct, pa.binary()).take(keys.indices))
 
 
-def _hashes(lines: Column, min_chars: int) -> Column:
-    """128 bits for every line's key, null for keys that are too short."""
-    def one(x):
-        k = key_of(x)
-        return F.when(F.length(k) >= min_chars, F.unhex(F.md5(k.cast("binary"))))
+def _hashes(text: Column, min_chars: int) -> Column:
+    @F.arrow_udf("array<binary>")
+    def hashes(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in portions(it, 2_000):
+            yield line_hashes(a, min_chars)
 
-    return F.transform(lines, one)
+    return hashes(text)
 
 
 def _small(df: DataFrame, row_bytes: int, cfg: LineConfig) -> bool:
@@ -68,7 +79,8 @@ def drop_common(docs: DataFrame, text: str = "text", cfg: LineConfig = DEFAULT)
     checkpoint_dir(docs.sparkSession)
     row = free_name("row", docs.columns)
     numbered = with_row_key(docs, row)
-    hashed = numbered.select(F.col(row).alias("row"), _hashes(lines_of(F.col(text)), cfg.min_chars).alias("h"))
+    # stored: 16 bytes a line, read for the counts and for the positions
+    hashed = numbered.select(F.col(row).alias("row"), _hashes(F.col(text), cfg.min_chars).alias("h")).checkpoint()
     common = (
         hashed.select(F.explode(F.array_distinct("h")).alias("k")).where(F.col("k").isNotNull())
         .groupBy("k").count().where(F.col("count") >= cfg.min_docs).select("k").checkpoint()
