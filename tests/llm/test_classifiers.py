@@ -110,3 +110,92 @@ def common_held_out(i):
     import zlib
 
     return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def plain_toxicity(text, m):
+    """The forward pass over n-grams, one by one."""
+    import math
+    import re
+
+    cfg, u32 = m.cfg, 0xFFFFFFFF
+    norm = " " + re.sub(r"[\W_]+", " ", text.lower()).strip() + " "
+    norm = re.sub(r"( [^ ]+)\1+(?= )", r"\1", norm)
+    if len(norm) <= 2:
+        return 1 / (1 + math.exp(-(m.empty + m.bias)))
+    borders = [i for i, c in enumerate(norm[:-1]) if c == " "]
+    first = [0] + borders[cfg.window::cfg.window]  # each window begins at the blank before its first word
+    total, count = [0.0] * len(first), [0] * len(first)
+    for n in cfg.ngrams:
+        for i in range(len(norm) - n + 1):
+            gram = norm[i:i + n]
+            if " " in gram[1:-1]:
+                continue
+            h = ord(gram[0])
+            for c in gram[1:]:
+                h = (h * 0x9E3779B1 + ord(c)) & u32
+            x = h * 0x85EBCA6B & u32
+            bucket = ((x ^ (x >> 15)) * 0xC2B2AE35 & u32) >> (32 - (cfg.buckets.bit_length() - 1))
+            w = max(k for k, f in enumerate(first) if f <= i)
+            total[w] += m.logits[bucket]
+            count[w] += 1
+    best = max(t / max(c, 1) for t, c in zip(total, count))
+    return 1 / (1 + math.exp(-max(-50, min(50, best + m.bias))))
+
+
+def plain_quality(text, m):
+    """The forward pass over passages, one by one."""
+    import math
+
+    cfg, p, u32 = m.cfg, m.params, 0xFFFFFFFF
+    groups = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!", "?", "|", "%", "$", "#",
+              "&", "*", "@", "\"'`", "()[]{}", "<>", "/\\", "-_", "=+~^"]
+    hidden, scores = [], []
+    for at in range(0, max(1, len(text)), cfg.passage):
+        part = text[at:at + cfg.passage]
+        x = np.zeros(len(groups) + 2 + cfg.trigrams + 3)
+        size = len(part)
+        if len(text):
+            hist = {}
+            for i, c in enumerate(part):
+                k = next((j for j, g in enumerate(groups) if c in g), len(groups) + (ord(c) >= 128))
+                x[k] += 1
+                if at + i >= 2:
+                    a, b, d = (ord(z) for z in text[at + i - 2:at + i + 1])
+                    h = (((a * 0x9E3779B1 + b) & u32) * 0x85EBCA6B + d) & u32
+                    h = ((h ^ (h >> 15)) * 0xC2B2AE35 & u32) >> 8
+                    hist[h % cfg.trigrams] = hist.get(h % cfg.trigrams, 0) + 1
+            x[:len(groups) + 2] = np.sqrt(x[:len(groups) + 2] / size)
+            if len(text) > 2:
+                for k, n in hist.items():
+                    x[len(groups) + 2 + k] = math.sqrt(n / size)
+                x[-3] = len(hist) / min(size, cfg.trigrams)
+                x[-2] = max(hist.values(), default=0) / size
+            x[-1] = math.log1p(size) / 10
+        h = np.tanh((x - p["mu"]) / p["sd"] @ p["W"] + p["b"])
+        hidden.append(h)
+        scores.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]))
+    a = np.exp(np.array(scores) - max(scores))
+    z = (a / a.sum()) @ np.array(hidden)
+    return 1 / (1 + math.exp(-float((z @ p["c"] + p["c0"])[0])))
+
+
+ODD = ["", " ", "a", "ab", "Blockhead!", "river " * 30, "you numbskull " * 9, "x" * 700, "ÜBER straße 🙂 " * 60, "a\nb\tc | d % 5 (x) <y> " * 40, "1 2 3"]
+
+
+def test_scores_equal_a_plain_forward_pass():
+    texts, y = corpus(160, 3, lambda rng: rng.choice(BAD))
+    tox = toxicity.fit(texts, y, None, toxicity.ToxicityConfig(epochs=3))
+    good = quality.fit(texts, y, None, quality.QualityConfig(epochs=3))
+    sample = ODD + texts[:40]
+    np.testing.assert_allclose(tox.score(sample), [plain_toxicity(t, tox) for t in sample], rtol=1e-5)
+    np.testing.assert_allclose(good.score(sample), [plain_quality(t, good) for t in sample], rtol=1e-4)
+
+
+def test_held_out_recall_and_precision(spark):
+    """Of the toxic documents that the test tables mark, and of the good ones."""
+    for q, label, least in ((Q.op1_toxicity, "toxic", (0.5, 0.8)), (Q.op6_quality, "quality", (0.95, 0.95))):
+        r = q(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", label), "doc_id").where("held_out").toPandas()
+        hit = ((r.predicted == 1) & (r[label] == 1)).sum()
+        recall, precision = hit / (r[label] == 1).sum(), hit / (r.predicted == 1).sum()
+        print(label, "recall", round(recall, 3), "precision", round(precision, 3), "accuracy", round((r.predicted == r[label]).mean(), 3), len(r))
+        assert recall >= least[0] and precision >= least[1]

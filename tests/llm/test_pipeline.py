@@ -7,6 +7,7 @@ import sys
 import pyspark.sql.functions as F
 import pytest
 
+import corpus_pipeline
 import corpus_pipeline as P
 from precis.llm import quality, secret_scan, toxicity
 from tests.llm.test_searches import brute
@@ -87,3 +88,12 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
         "assert not [k for k in e.queries() if k.startswith('op') or k == 'pipeline'] and e.oracle_sql()\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_near_duplicates_of_a_table_with_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([("b", text, 1, 2), ("a", text, 3, 4), (None, text, 5, 6), ("c", "other words entirely", 7, 8), ("d", None, 9, 9), ("e", "", 9, 9)],
+                               "doc_id string, text string, __row int, sid int")
+    kept = corpus_pipeline.stage_near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.select("doc_id", "__row").collect()) == [("a", 3), ("c", 7), ("d", 9), ("e", 9)]

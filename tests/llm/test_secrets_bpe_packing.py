@@ -218,3 +218,67 @@ def test_packing_loses_nothing(spark):
     assert whole.doc_id.nunique() == 1000
     used = whole.groupby("bin_id").agg(n=("n_tokens", "sum"), c=("bin_capacity", "first"))
     assert (used.n <= used.c).all() and used.n.sum() / used.c.sum() > 0.95
+
+
+def test_keys_in_paths_are_found():
+    """A random key behind a path that fits base64 as a whole; ordinary paths and names are left alone."""
+    import random
+    import string
+
+    from precis.llm import secret_scan as S
+
+    rng = random.Random(8)
+    chars = string.ascii_letters + string.digits
+    words = "release docs service internal configuration payload workers templates customers accounting inventory production".split()
+    keys = ["".join(rng.choice(chars) for _ in range(40)) for _ in range(150)]
+    ways = ["/srv/app/release/docs/v2/", "https://hooks.example.com/services/T0000/B0000/", "cache/objects-", "id_"]
+    texts = [f"see {ways[i % 4]}{k} for it" for i, k in enumerate(keys)]
+    plain = ["/".join(rng.choice(words) for _ in range(rng.randint(3, 6))) for _ in range(400)]
+    plain += ["".join(rng.choice(words).title() for _ in range(3)) + "/" + rng.choice(words) for _ in range(200)]
+    scanned = [S.scan_text(t) for t in texts + plain]
+    hist = {}
+    for _, found in scanned:
+        for _, _, g, b in found:
+            hist.setdefault(g, np.zeros(S.DEFAULT.bins))[b] += 1
+    cut = {g: S.cut_of(h) for g, h in hist.items()}
+    hit = [[(s, e) for s, e, g, b in found if b >= cut[g]] for _, found in scanned]
+    caught = sum(any(s <= t.index(k) and t.index(k) + 40 <= e for s, e in h) for t, k, h in zip(texts, keys, hit))
+    assert caught >= 0.85 * len(keys), caught
+    assert sum(map(bool, hit[len(texts):])) <= 0.05 * len(plain)
+
+
+def packing_cost(lengths, opened, cfg):
+    from precis.llm import packing as P
+
+    sizes = sorted(cfg.sizes)
+    where, offset, load = P.best_fit(lengths, sizes, opened, cfg)
+    assert sorted(np.bincount(where, weights=lengths).tolist()) == sorted(load.tolist()) and load.max() <= sizes[-1]
+    return cfg.cost(np.array(sizes, float)[np.searchsorted(sizes, load)]).sum()
+
+
+def test_opening_sizes_bin_by_bin():
+    """The whole packing never costs more than with one opening size, and less on mixtures where lengths cost more than in proportion."""
+    from precis.llm import packing as P
+
+    rng = np.random.default_rng(1)
+    mixtures = [np.concatenate([np.full(200, 3900), np.full(300, 500), np.full(150, 1010)]), rng.integers(1, 4097, 600), np.full(50, 600),
+                np.minimum(4096, rng.lognormal(5, 1.5, 2000).astype(int) + 1), np.array([1]), np.array([4096] * 3 + [1] * 5)]
+    for attention in (0.0, 1e-4, 1e-3):
+        cfg, gain = P.PackConfig(attention=attention), []
+        for lengths in mixtures:
+            uniform = min(packing_cost(lengths, s, cfg) for s in cfg.sizes)
+            _, _, caps = P.pack(lengths, cfg)
+            where, _, _ = P.pack(lengths, cfg)
+            total = sum(cfg.cost(c) for c in dict(zip(where.tolist(), caps.tolist())).values())
+            assert total <= uniform + 1e-6
+            gain.append(uniform - packing_cost(lengths, None, cfg))
+        assert not attention or max(gain) > 0
+
+
+def test_ids_of_any_type_are_packed(spark):
+    from precis.llm import packing as P
+
+    df = spark.createDataFrame([("a", "x y"), (None, None), ("a", "")], "doc_id string, text string")
+    got = P.pack_documents(df, "doc_id", P.word_count(F.col("text"))).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == [("None", 1), ("a", 1), ("a", 3)]
+    assert P.pack_documents(df.limit(0), "doc_id", P.word_count(F.col("text"))).count() == 0
