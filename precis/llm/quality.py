@@ -176,7 +176,9 @@ def fit(texts: list[str], y: np.ndarray, share: float | None, cfg: QualityConfig
 
 def train(docs: DataFrame, labels: DataFrame, cfg: QualityConfig = DEFAULT) -> QualityModel:
     """Fit on the labelled documents that are not held out (a bounded sample, see the settings)."""
-    return fit(*common.labelled_sample(docs, labels, "quality", cfg.per_class, cfg.max_chars), cfg)
+    model = fit(*common.labelled_sample(docs, labels, "quality", cfg.per_class, cfg.max_chars), cfg)
+    common.give_back()  # of the driver: texts and features of the sample
+    return model
 
 
 def score(text: Column, model: QualityModel) -> Column:
