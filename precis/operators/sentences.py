@@ -25,17 +25,29 @@ def with_sentences(df: DataFrame, text_col: str = "text", out: str = "sentences"
     return df.withColumn(out, split_sentences(text_col)).withColumn("n_sent", F.size(out))
 
 
+MOST_BYTES = 256 << 20  # of stored input for each partition of a text stage
+
+
+def _stored_bytes(df: DataFrame) -> int:
+    """What the plan's sources hold, by their statistics; 0 where they tell nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total if total < 1 << 60 else 0  # tables of unknown size claim the most there is
+
+
 def hash_partition(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-partition into ``spark.sql.shuffle.partitions`` partitions.
+    """Hash-partition into ``spark.sql.shuffle.partitions`` partitions, or more for a large input.
 
     The count is passed explicitly: the stages after this shuffle are
     CPU-heavy text processing (regexes, stemming, kernels), and AQE would
     otherwise coalesce a small shuffle into one or two partitions and run
-    them on one or two cores.  The count is still the cluster's setting.
+    them on one or two cores.  The count is the cluster's setting, raised so that a
+    partition stands for ``MOST_BYTES`` of the input at most: a setting made for
+    small tables does not starve a large one.
     """
     n = df.sparkSession.conf.get("spark.sql.shuffle.partitions", None)
     try:
-        return df.repartition(int(n), *cols)
+        return df.repartition(max(int(n), -(-_stored_bytes(df) // MOST_BYTES)), *cols)
     except (TypeError, ValueError):
         return df.repartition(*cols)
 

@@ -132,3 +132,17 @@ def test_queries_run_no_job_while_planned(spark, monkeypatch):
         Q.queries()[name](spark, SF)
     assert len(tracker.getJobIdsForGroup("planning")) == 0
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_partitions_follow_the_size_of_the_input(spark, monkeypatch):
+    from precis.operators import sentences as N
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    size = os.path.getsize(f"{SF}/documents.parquet")
+    assert N.hash_partition(docs, "doc_id").rdd.getNumPartitions() == 8
+    monkeypatch.setattr(N, "MOST_BYTES", size // 30)
+    assert 30 <= N.hash_partition(docs, "doc_id").rdd.getNumPartitions() <= 32
+    joined = docs.join(docs.select("doc_id"), "doc_id")  # the sources' sizes, not a product
+    assert N.hash_partition(joined, "doc_id").rdd.getNumPartitions() <= 64
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "doc_id int")
+    assert N.hash_partition(unknown, "doc_id").rdd.getNumPartitions() == 8
