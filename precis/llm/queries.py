@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from precis.llm import (
@@ -50,6 +49,8 @@ def op4_packing(spark, sf_dir):
 
 
 def op5_bpe(spark, sf_dir):
+    import public_tokenizers  # of this query alone: the others run without it
+
     vocab = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), vocab).alias("ids"))
     both = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.decode(F.col("ids"), vocab).alias("d"))
