@@ -30,6 +30,9 @@ HEADLINE = (
     "html_to_text",
     "compare_models",
     "training_set",
+    "summaries_hybrid",
+    "training_metrics",
+    "strongest_neighbours",
 )
 
 
