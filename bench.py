@@ -32,7 +32,6 @@ HEADLINE = (
     "training_set",
     "summaries_hybrid",
     "training_metrics",
-    "strongest_neighbours",
 )
 
 
