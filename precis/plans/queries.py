@@ -248,7 +248,7 @@ def corpus(spark, sf_dir) -> DataFrame:
     return d.select(
         "doc_id",
         F.col("text").alias("article"),
-        F.coalesce(F.element_at(split_sentences("text"), 1), F.lit("")).alias("highlights"),
+        F.coalesce(F.get(split_sentences("text"), F.lit(0)), F.lit("")).alias("highlights"),  # a text may have no sentence
     )
 
 
