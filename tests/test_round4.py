@@ -2,6 +2,7 @@
 
 import pytest
 
+from precis.llm import jaccard
 from precis.plans import queries as Q
 
 LONG = "The river is wide and cold here. " + " ".join(["Rain"] * 40) + "."
@@ -21,3 +22,45 @@ def test_documents_without_a_sentence_have_empty_highlights(spark, sparse, name,
     rows = {r.doc_id: r.highlights for r in Q.queries()[name](spark, sparse).collect()}
     first = "The river is wide and cold here."
     assert rows == {i: first if i in (1, 5) else "" for i in ids}
+
+
+def _passages(n):
+    """Texts that share a passage and differ by eight words: in one neighbourhood, but no two link."""
+    passage = [f"p{i}" for i in range(40)]
+    return [(i, " ".join(passage + [f"w{i}x{j}" for j in range(8)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("listed", [1_000_000, 50])
+def test_block_pairs_of_a_neighbourhood_come_in_rounds_of_few_copies(spark, monkeypatch, listed):
+    rows, sizes, solve = _passages(120), [], jaccard.solve_blocks
+
+    def measured(dealt, cfg):
+        sizes.append(dealt.count())
+        return solve(dealt, cfg)
+
+    monkeypatch.setattr(jaccard, "solve_blocks", measured)
+    cfg = jaccard.JaccardConfig(block_docs=10, block_tokens=400, broadcast_rows=listed, count_bits=6)  # few groups: the passage is no rarer than the rest
+    near = [(1000 + i, rows[i][1].replace("w%dx7" % i, "other")) for i in range(3)]  # each links with its original
+    df = spark.createDataFrame(rows + near, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.components(df, cfg=cfg).collect()}
+    assert got == {i: i % 1000 for i in got} and len(got) == 123
+    assert sum(sizes) > 123 * 10  # all pairs of some 13 blocks
+    assert max(sizes) <= 123 * 4, sizes  # but never many copies at once
+
+
+def test_shuffles_of_a_stored_query_go_with_it(spark):
+    from precis.llm.common import freed_shuffles
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with freed_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+        df = spark.range(100).repartition(3, "id")
+        assert df.count() == df.count() == 100  # made again where they are needed again
+    assert spark.conf.get(key) == before
+
+
+def test_packed_texts_come_back():
+    for text in (b"x", b"a b " * 100_000, "é \0".encode()):
+        assert jaccard.unpacked(jaccard.packed(text)) == text
+    assert len(jaccard.packed(b"a b " * 100_000)) < 10_000
