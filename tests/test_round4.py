@@ -1,8 +1,19 @@
 """Rows that the fixtures lack, and figures that must not grow faster than the input."""
 
+import random
+
+import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
+from precis import config as C
 from precis.llm import jaccard
+from precis.operators import dense, training
+from precis.operators import model as MD
+from precis.operators.features import FEATURES, train_val_split
 from precis.plans import queries as Q
 
 LONG = "The river is wide and cold here. " + " ".join(["Rain"] * 40) + "."
@@ -64,3 +75,60 @@ def test_packed_texts_come_back():
     for text in (b"x", b"a b " * 100_000, "é \0".encode()):
         assert jaccard.unpacked(jaccard.packed(text)) == text
     assert len(jaccard.packed(b"a b " * 100_000)) < 10_000
+
+
+def _rows(spark, n=700, parts=3):
+    rnd = random.Random(3)
+    rows = [(i // 4, *[rnd.random() for _ in range(5)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, tfidf double, textrank double, position double, length double, norm_length double")
+    return df.withColumn("label", ((F.col("tfidf") + F.col("position") * F.col("length")) > 0.9).cast("double")).repartition(parts, "doc_id")
+
+
+def test_training_takes_the_steps_of_spark_ml(spark):
+    data = train_val_split(_rows(spark)).persist()
+    start = MD._classifier(spark, C.DEFAULT)
+    blocks = training.Blocks(data, list(FEATURES))
+    fitted = MD._mlp(C.DEFAULT, 5, start.weights.toArray()).fit(blocks)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(data)
+    spark_ml = MultilayerPerceptronClassifier(layers=[5, 64, 32, 2], maxIter=5, seed=C.DEFAULT.random_state, blockSize=128, solver="l-bfgs")
+    theirs = spark_ml.fit(vectors.where("not is_val"))
+    assert fitted.weights == pytest.approx(theirs.weights.toArray(), rel=1e-6, abs=1e-8)
+    loss = MulticlassClassificationEvaluator(metricName="logLoss").evaluate(theirs.transform(vectors.where("is_val")))
+    assert MD.log_loss(fitted.losses(blocks)) == pytest.approx(loss, rel=1e-8)
+    blocks.close()
+
+
+def test_training_computes_its_features_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for b in it:
+            seen.add(b.num_rows)
+            yield b
+
+    ts = _rows(spark, 300)
+    ts = ts.mapInArrow(counted, ts.schema)
+    MD.train(ts, epochs=1, iters_per_epoch=2)
+    assert seen.value == 300
+
+
+def test_a_gradient_passes_blocks_of_rows(spark):
+    """Of a wide range of rows in a few tasks, each of which returns one gradient."""
+    data = train_val_split(_rows(spark, 20_000, 16))
+    blocks = training.Blocks(data, list(FEATURES))
+    sizes, w = [5, 64, 32, 2], MD._classifier(spark, C.DEFAULT).weights.toArray()
+    assert len(blocks.sums(training.loss_and_gradient, w, sizes, False)) <= spark.sparkContext.defaultParallelism
+    value, gradient = blocks.objective(w, sizes)
+    rnd = random.Random(1)
+    for at in rnd.sample(range(len(w)), 6):
+        near = w.copy()
+        near[at] += 1e-5
+        assert (blocks.objective(near, sizes)[0] - value) / 1e-5 == pytest.approx(gradient[at], abs=1e-5)
+    blocks.close()
+
+
+@pytest.mark.parametrize("label, tfidf", [(None, 0.5), (2.0, 0.5), (1.0, None), (1.0, float("nan"))])
+def test_rows_that_cannot_be_learned_from_are_an_error(spark, label, tfidf):
+    bad = spark.createDataFrame([(10_000, tfidf, 0.1, 0.1, 0.1, 0.1, label)], _rows(spark).schema)
+    with pytest.raises(Exception, match="training row"):
+        training.Blocks(train_val_split(_rows(spark).unionAll(bad)), list(FEATURES))
