@@ -11,9 +11,9 @@ similarities are S = W Wᵀ without its diagonal:
   built from tiles of rows, which are bounded by ``TILE`` numbers whatever the
   document's size, and kept from step to step only while the whole matrix is that small.
 
-Strongest neighbours come from an inverted index over the sparse sentence vectors: the
-terms of a sentence are read by falling weight bound, and once the bounds left cannot
-lift an unseen sentence among the ``m`` best, only sentences already seen are scored.
+Strongest neighbours come from the sparse sentence vectors, a tile of the similarity matrix
+at a time: terms of many sentences by a matrix product, rarer ones by the pairs that share
+them.
 """
 
 from __future__ import annotations
@@ -205,7 +205,45 @@ def pick(sentences: Column, positions: Column) -> Column:
 # Strongest neighbours of sparse sentence vectors
 # ---------------------------------------------------------------------------
 
-CLOSE = 1e-9  # similarities are compared after rounding to 9 digits
+OFTEN = 8  # a term in more than a sentence of so many goes into a matrix product, a rarer one is listed by pairs
+
+
+def _similarities(sent: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, rows of the similarity matrix) of ``n`` sentences, in tiles of at most ``TILE`` numbers.
+
+    ``code``: numbers of the terms, from 0; entries are sorted by them.
+    """
+    count = np.bincount(code)
+    often = count > max(1, n // OFTEN)
+    dense = often[code]
+    place = np.cumsum(often) - 1
+    width = int(often.sum())
+    s, c, w = sent[~dense], code[~dense], weight[~dense]
+    begin = np.searchsorted(c, c)  # of an entry's term
+    size = np.where(often, 0, count)[c]
+    by_sent = np.argsort(s, kind="stable")
+    edges = np.searchsorted(s[by_sent], np.arange(n + 1))
+    rows = max(1, TILE // max(n, width))
+    parts = [np.arange(a, min(width, a + max(1, TILE // n))) for a in range(0, width, max(1, TILE // n))]
+    entries = [np.flatnonzero(dense)] if len(parts) == 1 else [np.flatnonzero(dense & (place[code] >= p[0]) & (place[code] <= p[-1])) for p in parts]
+    for first in range(0, n, rows):
+        last = min(n, first + rows)
+        out = np.zeros((last - first, n))
+        for p, e in zip(parts, entries):  # so many of the frequent terms at once that their matrix is a tile
+            m = np.bincount(sent[e] * len(p) + place[code[e]] - p[0], weights=weight[e], minlength=n * len(p)).reshape(n, len(p))
+            out += m[first:last] @ m.T
+        mine = by_sent[edges[first]:edges[last]]
+        ends = np.cumsum(size[mine])
+        at = 0
+        while at < len(mine):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TILE, side="right")))
+            e = mine[at:to]
+            k = size[e]
+            own = np.repeat(e, k)
+            other = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k) + begin[own]
+            out += np.bincount((s[own] - first) * n + s[other], weights=w[own] * w[other], minlength=out.size).reshape(out.shape)
+            at = to
+        yield first, out
 
 
 def nearest_of_document(sent: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int):
@@ -216,43 +254,25 @@ def nearest_of_document(sent: np.ndarray, term: np.ndarray, weight: np.ndarray,
     that share no term are no neighbours.
     """
     n = int(sent.max(initial=-1)) + 1
-    by_term = np.lexsort((sent, term))
-    s, t, w = sent[by_term], term[by_term], weight[by_term]
-    begin = np.r_[0, np.flatnonzero(np.diff(t)) + 1, len(t)] if len(t) else np.zeros(1, np.int64)
-    code = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    most = np.maximum.reduceat(w, begin[:-1]) if len(t) else np.zeros(0)
-    by_sent = np.argsort(s, kind="stable")
-    edges = np.searchsorted(s[by_sent], np.arange(n + 1))
-    out = [[], [], []]
-    total, seen = np.zeros(n), np.zeros(n, bool)
-    for i in range(n):
-        mine = by_sent[edges[i]:edges[i + 1]]
-        if not len(mine):
-            continue
-        bound = w[mine] * most[code[mine]]
-        order = np.argsort(-bound)
-        mine, left = mine[order], np.r_[np.cumsum(bound[order][::-1])[::-1], 0.0]
-        total[:], seen[:] = 0.0, False
-        closed = False
-        for j, e in enumerate(mine):
-            a, b = begin[code[e]], begin[code[e] + 1]
-            others, gain = s[a:b], w[e] * w[a:b]
-            if not closed and seen.sum() > m:
-                top = total[seen & (np.arange(n) != i)]
-                closed = len(top) >= m and left[j] < np.partition(top, len(top) - m)[len(top) - m] - 2 * CLOSE
-            if closed:  # what is unseen cannot come among the best any more
-                old = seen[others]
-                others, gain = others[old], gain[old]
-            total[others] += gain
-            seen[others] = True
-        seen[i] = False
-        found = np.flatnonzero(seen)
-        sim = np.round(total[found], 9)
-        best = np.lexsort((found, -sim))[:m]
-        out[0].append(np.full(len(best), i))
-        out[1].append(found[best])
-        out[2].append(total[found[best]])
-    return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    if n:
+        by_term = np.argsort(term, kind="stable")
+        code = np.unique(term[by_term], return_inverse=True)[1]
+        for first, total in _similarities(sent[by_term].astype(np.int64), code, weight[by_term], n):
+            here = np.arange(len(total))
+            total[here, here + first] = 0.0
+            sim = np.round(total, 9)
+            found = total > 0
+            if n > m:  # only those that reach the m-th best
+                found &= sim >= np.partition(sim, n - m, axis=1)[:, n - m, None]
+            i, j = np.nonzero(found)
+            order = np.lexsort((j, -sim[i, j], i))
+            i, j = i[order], j[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < m
+            i, j = i[best], j[best]
+            for o, x in zip(out, (i + first, j, total[i, j])):
+                o.append(x)
+    return tuple(np.concatenate(o) for o in out)
 
 
 def strongest_neighbours(vectors: DataFrame, m: int, id_col: str = "doc_id") -> DataFrame:

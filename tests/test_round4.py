@@ -132,3 +132,25 @@ def test_rows_that_cannot_be_learned_from_are_an_error(spark, label, tfidf):
     bad = spark.createDataFrame([(10_000, tfidf, 0.1, 0.1, 0.1, 0.1, label)], _rows(spark).schema)
     with pytest.raises(Exception, match="training row"):
         training.Blocks(train_val_split(_rows(spark).unionAll(bad)), list(FEATURES))
+
+
+def test_neighbours_of_a_long_document_in_tiles(monkeypatch):
+    rng = np.random.default_rng(5)
+    sent = np.repeat(np.arange(1500), 12)
+    term = (3000 * rng.random(len(sent)) ** 3).astype(int)
+    pairs = np.unique(np.column_stack([sent, term]), axis=0)
+    sent, term, weight = pairs[:, 0], pairs[:, 1], rng.random(len(pairs))
+    W = np.zeros((1500, 3000))
+    W[sent, term] = weight
+    S = np.round(W @ W.T, 9)
+    np.fill_diagonal(S, 0.0)
+    most = []
+    real = np.bincount
+    monkeypatch.setattr(dense, "TILE", 1 << 16)
+    monkeypatch.setattr(dense.np, "bincount", lambda *a, **k: most.append(k.get("minlength", 0)) or real(*a, **k))
+    i, j, sim = dense.nearest_of_document(sent, term, weight, 5)
+    monkeypatch.undo()
+    assert 0 < max(most) <= 1 << 16
+    for row in rng.choice(1500, 100, replace=False):
+        best = [k for k in np.lexsort((np.arange(1500), -S[row]))[:5] if S[row, k] > 0]
+        assert list(j[i == row]) == best and sim[i == row] == pytest.approx(S[row, best], abs=2e-9)
